@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
@@ -45,3 +46,11 @@ def lower_az(text: Column) -> Column:
     or break such a word, but for the Kelvin sign, which it turns into an ASCII k."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.when(F.contains(text, F.lit("K")), F.translate(text, upper, upper.lower())).otherwise(F.lower(text))
+
+
+def per_worker(name: str, make):
+    """make(), once per Python process; functions sent by value keep no module state from task to task."""
+    store = vars(sys).setdefault("_emberwatch", {})
+    if name not in store:
+        store[name] = make()
+    return store[name]

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
-from .common import table
+from . import langid, packing, simhash
+from .common import crc_mod, cut, table
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +16,21 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, learn=crc_mod(F.col("doc_id"), 3) != 1)
+    held = (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out")
+    return langid.predict(docs, model).select("doc_id", held, "lang_pred", "score")
+
+
+def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(cut(packing.tokenised(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_langid": op3_langid,
     "op5_simhash": op5_simhash,
+    "op10_best_fit": op10_best_fit,
 }
 
 ORACLE_SQL: dict[str, str] = {}
