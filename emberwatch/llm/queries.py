@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, simhash
+from . import decontam, langid, packing, quality, simhash
 from .common import crc_mod, cut, table
 
 
@@ -16,6 +16,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, learn=crc_mod(F.col("doc_id"), 3) != 1)
@@ -23,13 +27,26 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held, "lang_pred", "score")
 
 
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
+    return quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=crc_mod(F.col("doc_id"), 5) != 0)
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("long"))
+    held = (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out")
+    scored = quality.scores(docs, quality_model(spark, sf_dir))
+    return scored.select("doc_id", held, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut(packing.tokenised(table(spark, sf_dir, "documents"))))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": op2_decontamination,
     "op3_langid": op3_langid,
     "op5_simhash": op5_simhash,
+    "op6_quality": op6_quality,
     "op10_best_fit": op10_best_fit,
 }
 
