@@ -235,13 +235,17 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows of docs that match no item; columns as they are."""
     kept = docs
     for k, items in enumerate(_blocks(benchmark)):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
+        kept = kept.withColumn(f"__hit{k}", _tester(docs, items, how)(F.col("text").cast("string"))).filter(f"not __hit{k}").drop(f"__hit{k}")
+    return kept
 
-        @F.pandas_udf("boolean")
-        def found(batches: Iterator[pd.Series], sent=sent) -> Iterator[pd.Series]:
-            index = Index(sent.value, **how)
-            for texts in batches:
-                yield pd.Series([bool(index.matches(t)) for t in texts], dtype=bool)
 
-        kept = kept.withColumn(f"__hit{k}", found(F.col("text").cast("string"))).filter(f"not __hit{k}").drop(f"__hit{k}")
-    return kept
+def _tester(docs: DataFrame, items: list, how: dict):
+    sent = docs.sparkSession.sparkContext.broadcast(items)
+
+    @F.pandas_udf("boolean")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = Index(sent.value, **how)
+        for texts in batches:
+            yield pd.Series([bool(index.matches(t)) for t in texts], dtype=bool)
+
+    return found
