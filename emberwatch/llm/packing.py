@@ -14,7 +14,10 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,39 +28,77 @@ from pyspark.sql import functions as F
 
 from .common import per_worker
 
-#: Distinct words whose ids one worker remembers.
-REMEMBERED = 800_000
+#: Distinct pieces whose ids one worker remembers.
+REMEMBERED = 600_000
 
 
-class _Words(dict):
-    """Ids (packed, little-endian) of text between blanks, which the tokenizer never joins across a blank."""
+#: The pieces that byte-pair merges never reach across, of lower-case text: letters, a contraction's end, one digit, marks.
+PIECES = r"\p{L}+|'(?:s|t|re|ve|m|ll|d)|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
+ASCII_PIECES = r"[a-z]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\t-\r a-z0-9]+"
 
-    def __init__(self, tokenizer) -> None:
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 as it is, others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in shown else next(rest)) for b in range(256)} | {10: "\n"}
+
+
+class _Ids(dict):
+    """Ids (packed, little-endian) of pieces, and of texts by their pieces.
+
+    Pieces are merged once and then remembered. Texts that hold a special token's mark, or a sigma,
+    whose lower case would depend on its place, go through the whole tokenizer.
+    """
+
+    def __init__(self, path: str) -> None:
         super().__init__()
-        self.tokenizer = tokenizer
-
-    def learn(self, words: set[str]) -> None:
-        """Looks up the words that aren't remembered, in one call."""
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > REMEMBERED:
-            self.clear()
-            new = list(words)
-        for word, x in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[word] = np.array(x.ids, "<u4").tobytes()
-
-    def ids(self, texts: list[str | None], end: bytes) -> Iterator[bytes]:
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole, self.letters = Tokenizer.from_file(path), byte_letters()
+        self.merges = Tokenizer(self.whole.model)
+        self.last = np.zeros(self.whole.get_vocab_size(), bool)  # tokens that end a piece
+        self.last[[k for w, k in self.whole.get_vocab().items() if w.endswith("</w>")]] = True
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.pieces, self.ascii_pieces = regex.compile(PIECES), re.compile(ASCII_PIECES)
+
+    def learn(self, new: list[str]) -> None:
+        joined = "\n".join(new).encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        got = self.merges.encode_batch_fast([joined], add_special_tokens=False)[0]
+        raw = array("I", got.ids).tobytes()
+        ends = (4 * (np.flatnonzero(self.last[np.frombuffer(raw, "<u4")]) + 1)).tolist()
+        self.update(zip(new, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+
+    def split(self, text: str) -> list[str] | None:
+        if "<|" in text or "\u03a3" in text:
+            return None
+        if text.isascii():
+            return self.ascii_pieces.findall(text.lower())
+        return self.pieces.findall(unicodedata.normalize("NFC", text).lower())
+
+    def texts(self, texts: list[str | None], end: bytes) -> Iterator[bytes]:
         """Packed ids of each text and then end."""
         for k in range(0, len(texts), 256):
-            parts = [(t or "").replace("\n", " ").split(" ") for t in texts[k : k + 256]]
-            self.learn(set().union(*parts))
-            for own in parts:
-                yield b"".join([*map(self.__getitem__, own), end])
+            some = [t or "" for t in texts[k : k + 256]]
+            split = list(map(self.split, some))
+            pieces = set().union(*filter(None, split))
+            if len(self) > REMEMBERED:
+                self.clear()
+            if new := [p for p in pieces if p not in self]:
+                self.learn(new)
+            for text, own in zip(some, split, strict=True):
+                if own is None:
+                    yield array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes() + end
+                else:
+                    yield b"".join([*map(self.__getitem__, own), end])
 
 
 def tokenised(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 0, most_tokens: int = 2048, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 (and ids).
 
-    tokenizer: path of a tokenizers JSON file whose pre-tokenizer splits at blanks.
+    tokenizer: path of a tokenizers JSON file; it has to lower-case, split as PIECES does, work on bytes
+    and mark the ends of pieces, as the one by default does.
     """
     if tokenizer is None:
         import public_tokenizers
@@ -67,12 +108,10 @@ def tokenised(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 0,
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        words = per_worker(f"words {tokenizer}", lambda: _Words(Tokenizer.from_file(tokenizer)))
+        known = per_worker(f"ids {tokenizer}", lambda: _Ids(tokenizer))
         for pdf in batches:
             rows = []
-            for doc_id, ids in zip(pdf["doc_id"].tolist(), words.ids(pdf["text"].tolist(), end), strict=True):
+            for doc_id, ids in zip(pdf["doc_id"].tolist(), known.texts(pdf["text"].tolist(), end), strict=True):
                 for k, a in enumerate(range(0, len(ids) // 4, most_tokens)):
                     own = ids[4 * a : 4 * (a + most_tokens)]
                     rows.append((doc_id, k, a, len(own) // 4, zlib.crc32(own), *([np.frombuffer(own, "<u4")] if with_ids else [])))
