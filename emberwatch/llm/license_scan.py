@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, lower_az
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# In lower-cased text [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ finds the same words, but a class of ranges that are in is much faster.
+WORD = r"[0-9a-z\x{80}-\x{10FFFF}]++"
 #: Phrases whose words standing consecutively name a license.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 #: Typical sentences of license notices; the label of each. A fixed, small set.
