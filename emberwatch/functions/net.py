@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 STRICT_V4 = r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?=[0-9])|$)){4}$"
 LOOSE_V4 = r"^[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}$"
@@ -24,7 +25,7 @@ def is_strict_v4(text: Column) -> Column:
     return F.coalesce(F.rlike(text, F.lit(STRICT_V4)), F.lit(False))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def is_ip(values: pd.Series) -> pd.Series:
     """Strict test for a version 4 or 6 address."""
 
@@ -61,7 +62,7 @@ def in_any(text: Column, cidrs: list[str]) -> Column:
     """Whether a version 4 or 6 address lies in one of the ranges. Version 6 is only looked at where a colon is."""
     nets = [ipaddress.ip_network(c, strict=False) for c in cidrs if ":" in c]
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(BooleanType())
     def in_v6(values: pd.Series) -> pd.Series:
         def test(x: str | None) -> bool:
             try:

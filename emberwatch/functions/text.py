@@ -43,8 +43,8 @@ def shortened(text: Column, limit: int) -> Column:
 
 def slug(text: Column, limit: int = 60) -> Column:
     """Lower-case words joined by hyphens, at most limit characters."""
-    dashed = F.trim(F.lit("-"), F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"))
-    return F.trim(F.lit("-"), F.substring(dashed, 1, limit))
+    dashed = F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), F.lit("-"))
+    return F.trim(F.substring(dashed, 1, limit), F.lit("-"))
 
 
 def sentences(text: Column) -> Column:

@@ -47,25 +47,29 @@ def mapped(df: DataFrame, event_type: str = "event_type", log_text: str = "text"
     check_rules(rules)
     kind, text = F.col(event_type), F.coalesce(F.col(log_text), F.lit(""))
     hits = [F.when(rule(r, kind, text), F.lit(r["id"])) for r in rules]
-    df = df.withColumn("matched_rules", F.array_compact(F.array(*hits)))
 
     def said(t: dict) -> Column:
         return F.struct(*[F.lit(t[k]).alias(k) for k in ("technique_id", "tactic", "confidence")])
 
-    first = reduce(lambda c, r: c.when(F.get("matched_rules", F.lit(0)) == r["id"], said(r["techniques"][0] if r["techniques"] else r["legacy"])), rules, F.when(F.lit(False), said(FALLBACK)))
-    per_rule = [F.when(F.array_contains("matched_rules", r["id"]), F.array(*map(said, r["techniques"]))) for r in rules if r["techniques"]]
-    none = F.array().cast("array<struct<technique_id:string,tactic:string,confidence:string>>")
-    every = F.flatten(F.array_compact(F.array(*per_rule)))
-    df = df.withColumns({"primary": first.otherwise(said(FALLBACK)), "__all": F.coalesce(every, none)})
-    ids = F.transform("__all", lambda t: t["technique_id"])
+    def merged(every: Column) -> Column:
+        ids = F.transform(every, lambda t: t["technique_id"])
 
-    def merged(t: Column) -> Column:
-        ranks = F.transform(F.filter("__all", lambda o: o["technique_id"] == t["technique_id"]), lambda o: confidence_rank(o["confidence"]))
-        best = F.array_max(ranks)
-        return F.struct(t["technique_id"].alias("technique_id"), t["tactic"].alias("tactic"), F.when(best == 2, "high").when(best == 1, "medium").otherwise("low").alias("confidence"))
+        def best(t: Column) -> Column:
+            rank = F.array_max(F.transform(F.filter(every, lambda o: o["technique_id"] == t["technique_id"]), lambda o: confidence_rank(o["confidence"])))
+            return F.struct(t["technique_id"].alias("technique_id"), t["tactic"].alias("tactic"), F.when(rank == 2, "high").when(rank == 1, "medium").otherwise("low").alias("confidence"))
 
-    firsts = F.filter("__all", lambda t, i: F.array_position(ids, t["technique_id"]) == i + 1)
-    return df.withColumn("techniques", F.transform(firsts, merged)).drop("__all")
+        return F.transform(F.filter(every, lambda t, i: F.array_position(ids, t["technique_id"]) == i + 1), best)
+
+    def outcome(matched: Column) -> Column:
+        first = F.get(matched, F.lit(0))
+        primary = reduce(lambda c, r: c.when(first == r["id"], said(r["techniques"][0] if r["techniques"] else r["legacy"])), rules, F.when(F.lit(False), said(FALLBACK))).otherwise(said(FALLBACK))
+        table = F.create_map(*[x for r in rules if r["techniques"] for x in (F.lit(r["id"]), F.array(*map(said, r["techniques"])))])
+        every = F.flatten(F.array_compact(F.transform(matched, lambda i: F.element_at(table, i))))
+        return F.struct(matched.alias("matched_rules"), primary.alias("primary"), F.get(F.transform(F.array(every), merged), F.lit(0)).alias("techniques"))
+
+    # bound by one-element arrays, the tests of the rules stand in the plan once
+    df = df.withColumn("__m", F.get(F.transform(F.array(F.array_compact(F.array(*hits))), outcome), F.lit(0)))
+    return df.withColumns({c: F.col(f"__m.{c}") for c in ("matched_rules", "primary", "techniques")}).drop("__m")
 
 
 def confidence_rank(label: Column) -> Column:
@@ -79,7 +83,8 @@ def technique_name(technique_id: Column) -> Column:
 
 def merged_over_rows(mapped_rows: DataFrame, key: str) -> DataFrame:
     """Techniques of all rows of a key: key, technique_id, tactic of the first row (by idx), highest confidence, n rows."""
-    each = mapped_rows.select(key, "idx", F.posexplode("techniques").alias("pos", "t")).select(key, "idx", "pos", "t.*")
+    # the outer form keeps the optimizer from repeating the mapping in a filter below the explosion
+    each = mapped_rows.select(key, "idx", F.posexplode_outer("techniques").alias("pos", "t")).filter("t is not null").select(key, "idx", "pos", "t.*")
     rank = confidence_rank(F.col("confidence"))
     out = each.groupBy(key, "technique_id").agg(F.min(F.struct("idx", "pos", "tactic")).alias("first"), F.max(rank).alias("rank"), F.count(F.lit(1)).alias("n"))
     return out.select(key, "technique_id", F.col("first.tactic").alias("tactic"), F.when(F.col("rank") == 2, "high").when(F.col("rank") == 1, "medium").otherwise("low").alias("confidence"), F.col("first.idx").alias("first_idx"), "n")

@@ -67,6 +67,7 @@ def normalised_matches(records: DataFrame, *keep: str, raw: str = "raw") -> Data
 
 def response_plans(events: DataFrame, key: str = "event_id") -> DataFrame:
     """Plans for the techniques of events, with their sources as targets."""
-    techniques = events.select(key, F.explode("techniques.technique_id").alias("technique_id"))
+    # the outer form keeps the optimizer from repeating the mapping in a filter below the explosion
+    techniques = events.select(key, F.explode_outer("techniques.technique_id").alias("technique_id")).filter("technique_id is not null")
     targets = events.select(key, F.col("source").alias("target"))
     return response.plans(techniques, targets, key)

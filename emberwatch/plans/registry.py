@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import queries_data, queries_security
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = queries_security.QUERIES | queries_data.QUERIES
+ORACLE_SQL: dict[str, str] = queries_security.ORACLE_SQL | queries_data.ORACLE_SQL

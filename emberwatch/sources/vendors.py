@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ..functions.observables import observables, sysmon_hashes
 from ..functions.text import coerced
@@ -414,7 +415,7 @@ def _event(v: Vendor, p: Payload) -> Column:
     )
 
 
-@F.udf("int")
+@F.udf(IntegerType())
 def _depth(text: str | None) -> int:
     """Nesting depth of JSON text; only asked of texts with many brackets."""
     deepest = now = 0
@@ -458,17 +459,26 @@ def normalised(df: DataFrame, raw: str = "raw", vendors: list[Vendor] = VENDORS)
     Rows keep their order columns; nothing shuffles. Null raw text counts as empty.
     """
     df = with_payload(df, raw)
-    plan = Payload("payload")
+    asked = Payload("payload")
     for v in vendors:
-        v.claims(plan)
-        _event(v, plan)
-    names = {path: f"__p{k}" for k, path in enumerate(plan.asked)}
-    df = df.withColumns({name: plan.text(path) for path, name in names.items()})  # every path is read once
-    p = Payload("payload", names)
-    df = claims(df, p)
+        v.claims(asked)
+    names = {path: f"__c{k}" for k, path in enumerate(asked.asked)}
+    df = df.withColumns({name: asked.text(path) for path, name in names.items()})
+    df = claims(df, Payload("payload", names))
+    own = F.when(F.size("claimed_by") == 1, F.get("claimed_by", F.lit(0)))
+    df = df.withColumn("__vendor", own)
+    wanted: dict[str, list[str]] = {}
+    for v in vendors:
+        each = Payload("payload", names)
+        _event(v, each)
+        for path in each.asked:
+            wanted.setdefault(path, []).append(v.name)
+    more = {path: f"__p{k}" for k, path in enumerate(wanted)}
+    # every path is read once, and only from records of vendors that have it
+    df = df.withColumns({more[path]: F.when(F.col("__vendor").isin(who), asked.text(path)) for path, who in wanted.items()})
+    p = Payload("payload", names | more)
     text = F.coalesce(F.col(raw).cast("string"), F.lit(""))
-    one = F.size("claimed_by") == 1
-    parsed = reduce(lambda c, v: c.when(one & (F.get("claimed_by", F.lit(0)) == v.name), _event(v, p)), vendors, F.when(F.lit(False), _event(vendors[0], p)))
+    parsed = reduce(lambda c, v: c.when(F.col("__vendor") == v.name, _event(v, p)), vendors, F.when(F.lit(False), _event(vendors[0], p)))
     message = F.coalesce(coerced(text, MOST_EXCERPT), F.lit(""))
     note = F.coalesce("problem", F.when(F.col("payload").isNotNull(), "no vendor claims this record alone"))
     nothing = [F.struct(*[(F.array().cast(TEXT_ARRAY) if f in ("recipients", "urls") else F.lit(None).cast("string")).alias(f) for f in own]).alias(s) for s, own in STRUCTS.items()]
@@ -487,7 +497,7 @@ def normalised(df: DataFrame, raw: str = "raw", vendors: list[Vendor] = VENDORS)
     df = df.withColumn("event", F.coalesce(parsed.otherwise(F.lit(None)), plain))
     seen = observables(F.col("event.watched"), MOST_OBSERVABLES)
     df = df.withColumn("event", F.col("event").withField("observables", seen).dropFields("watched"))
-    return df.withColumn("raw_excerpt", F.substring(text, 1, MOST_EXCERPT)).drop("payload", "payload_keys", "problem", *names.values())
+    return df.withColumn("raw_excerpt", F.substring(text, 1, MOST_EXCERPT)).drop("payload", "payload_keys", "problem", "__vendor", *names.values(), *more.values())
 
 
 #: Columns that rules match on, and where they are in an event.
