@@ -66,6 +66,8 @@ def run(rule: dict, events: DataFrame, hits: dict[str, Column]) -> DataFrame:
     missing = [r for r in own.get("rules", []) if r not in hits]
     if missing:
         raise RuleError(f"no rules {missing}")
+    if not own.get("rules") or not own.get("group-by"):
+        raise RuleError("a correlation rule needs rules and keys")
     keys = own["group-by"]
     if own.get("type") == "event_count":
         return event_count(events, hits[own["rules"][0]], keys, own["timespan"], int(own["condition"]["gte"]))

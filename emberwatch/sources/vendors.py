@@ -415,8 +415,7 @@ def _event(v: Vendor, p: Payload) -> Column:
     )
 
 
-@F.udf(IntegerType())
-def _depth(text: str | None) -> int:
+def _nesting(text: str | None) -> int:
     """Nesting depth of JSON text; only asked of texts with many brackets."""
     deepest = now = 0
     quoted = escaped = False
@@ -433,6 +432,9 @@ def _depth(text: str | None) -> int:
     return deepest
 
 
+_depth = F.udf(_nesting, IntegerType(), useArrow=False)
+
+
 def with_payload(df: DataFrame, raw: str = "raw") -> DataFrame:
     """df with payload (VARIANT of a JSON object within bounds), payload_keys and problem (why there is none)."""
     text = F.col(raw).cast("string")

@@ -24,16 +24,21 @@ def split_untimed(events: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFr
     return events.filter(whole), events.filter(~whole)
 
 
+def _late_test(hit: Column) -> Column:
+    """hit, in a form that isn't moved below the watermark, so that other events advance the watermark too."""
+    return F.when(F.col("ts").isNotNull(), hit)
+
+
 def event_counts(events: DataFrame, hit: Column, keys: list[str], timespan: str, least: int, *, slide: str = "1 minute", late: str = "10 minutes") -> DataFrame:
     """Windows of a timespan, one per slide, in which a group has at least `least` matching events."""
-    own = events.withColumn("ts", F.col("ts").cast("timestamp")).filter(hit).withWatermark("ts", late)
+    own = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).filter(_late_test(hit))
     counted = own.groupBy(F.window("ts", f"{seconds(timespan)} seconds", slide), *keys).agg(F.count(F.lit(1)).alias("match_count"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     return counted.filter(F.col("match_count") >= least).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *keys, "match_count", "first_ts", "last_ts")
 
 
 def bursts(events: DataFrame, hit: Column, keys: list[str], gap: str, least: int, *, late: str = "10 minutes") -> DataFrame:
     """Sessions of matching events no further apart than the gap, with at least `least` of them."""
-    own = events.withColumn("ts", F.col("ts").cast("timestamp")).filter(hit).withWatermark("ts", late)
+    own = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).filter(_late_test(hit))
     counted = own.groupBy(F.session_window("ts", f"{seconds(gap)} seconds").alias("session"), *keys).agg(F.count(F.lit(1)).alias("match_count"))
     return counted.filter(F.col("match_count") >= least).select(F.col("session.start").alias("start"), F.col("session.end").alias("end"), *keys, "match_count")
 
