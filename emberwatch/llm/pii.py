@@ -31,6 +31,9 @@ CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.|$)){4}$"
 TERM = r"[\p{L}\p{M}]{3,}"
+#: Within matches that are dropped as too long: numbers that stand alone in them, and numbers that end at a mark.
+CARD_WITHIN = r"(?<![0-9])(?:[0-9]{16,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])"
+PHONE_WITHIN = r"\+[0-9](?:[ ().-]*[0-9]){7,14}(?![0-9])"
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT, GENERALISE, REMOVE, SUPPORT = 64, 0.6, 0.9, 2
 
@@ -83,6 +86,16 @@ def _each(f, *args):
     return lambda x: f(x, *args)
 
 
+def _too_long(span: Column, kind: str) -> Column:
+    return F.length(_digits(span["value"])) > (19 if kind == "card" else 15)
+
+
+def _inner(span: Column, kind: str) -> Column:
+    """Valid cards or phones inside a match that is too long."""
+    pattern = CARD_WITHIN if kind == "card" else PHONE_WITHIN
+    return F.filter(_placed(*_split(span["value"], pattern), span["start"]), _each(_valid_span, kind))
+
+
 def _maybe(kind: str, text: Column) -> Column:
     """A cheap test that all texts with a match pass."""
     if kind == "email":
@@ -97,13 +110,16 @@ def _split(text: Column, pattern: str) -> tuple[Column, Column]:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key (hash of the text), text, and an array of spans per kind: email, ip, card, phone."""
+    """doc_id, text_key (hash of the text), text, an array of spans per kind: email, ip, card, phone, and
+    extra: cards and phones inside matches that are dropped as too long."""
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     df = df.withColumn("text_key", F.xxhash64("text"))
     for kind, pattern in zip(KINDS, (EMAIL, IP, CARD, PHONE), strict=True):
         found, gaps = _split(F.col("text"), pattern)
-        spans = F.filter(_placed(found, gaps, F.lit(0)), _each(_valid_span, kind))
-        df = df.withColumn(kind, F.when(_maybe(kind, F.col("text")), spans).otherwise(F.array().cast(_SPAN)))
+        df = df.withColumn(f"all_{kind}", F.when(_maybe(kind, F.col("text")), _placed(found, gaps, F.lit(0))).otherwise(F.array().cast(_SPAN)))
+        df = df.withColumn(kind, F.filter(f"all_{kind}", _each(_valid_span, kind)))
+    within = [F.flatten(F.transform(F.filter(f"all_{k}", _each(_too_long, k)), _each(_inner, k))) for k in ("card", "phone")]
+    df = df.withColumn("extra", F.concat(*within)).drop(*[f"all_{k}" for k in KINDS])
     return df
 
 
@@ -153,8 +169,8 @@ def disclosures(docs: DataFrame, found: DataFrame, *, generalise: float, remove:
 
 
 def analyse(docs: DataFrame, *, reach: int = CONTEXT, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT) -> DataFrame:
-    """One row per row of docs: doc_id, text_key, the base spans per kind, and `terms`
-    (array of start, end, action): disclosing terms that overlap no base span, by start.
+    """One row per row of docs: doc_id, text_key, the base spans per kind, extra, and `terms`
+    (array of start, end, action): disclosing terms that overlap no other span, by start.
     """
     found = cut(_mentions(base_spans(docs), reach))
     disclosing = disclosures(docs, found, generalise=generalise, remove=remove, support=support)
@@ -164,7 +180,7 @@ def analyse(docs: DataFrame, *, reach: int = CONTEXT, generalise: float = GENERA
     own = hits.groupBy(F.col("doc_id").alias("__d"), F.col("text_key").alias("__t")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
     base = found.drop("mentions")
     out = base.join(own, base["doc_id"].eqNullSafe(own["__d"]) & (base["text_key"] == own["__t"]), "left").drop("__d", "__t")
-    taken = F.concat(*[F.transform(F.col(k), lambda s: F.struct(s["start"], s["end"])) for k in KINDS])
+    taken = F.concat(*[F.transform(F.col(k), lambda s: F.struct(s["start"], s["end"])) for k in (*KINDS, "extra")])
     free = F.filter("terms", lambda t: ~F.exists(taken, lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"])))
     return out.withColumn("terms", F.coalesce(free, F.array().cast("array<struct<start:int,end:int,action:string>>")))
 
@@ -191,6 +207,8 @@ def sanitised(docs: DataFrame, **how) -> DataFrame:
     """
     spans = analyse(docs, **how)
     marks = [F.transform(F.col(k), _each(_mark, k)) for k in KINDS]
+    number = lambda s: F.when(F.startswith(s["value"], F.lit("+")), "[PHONE]").otherwise("[CARD]")
+    marks.append(F.transform("extra", lambda s: F.struct(s["start"], s["end"], number(s).alias("mark"))))
     marks.append(F.transform("terms", lambda s: F.struct(s["start"], s["end"], F.when(s["action"] == "remove", "").otherwise("[TERM]").alias("mark"))))
     changes = spans.select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__t"), F.array_sort(F.concat(*marks)).alias("__m"))
     changes = changes.filter(F.size("__m") > 0).dropDuplicates(["__d", "__t"])

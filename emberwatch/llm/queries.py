@@ -34,7 +34,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.analyse(table(spark, sf_dir, "documents"))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     digest = F.sha2(pii.span_text(pii.KINDS).cast("binary"), 256).alias("base_sha256")
-    return found.select("doc_id", *counts, digest, pii.span_text((*pii.KINDS, "term")).alias("spans"))
+    return found.select("doc_id", *counts, digest, pii.span_text((*pii.KINDS, "extra", "term")).alias("spans"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

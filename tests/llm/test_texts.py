@@ -93,6 +93,13 @@ def test_sanitised(spark):
     assert pii.sanitised(df.filter("false")).count() == 0
 
 
+def test_numbers_inside_matches_that_are_too_long(spark):
+    texts = ["x 4111111111111111 4012888888881881 y", "+1 (826) 555-4081 190.137.223.204", "1" * 40, "4111111111111111 4111111111111112"]
+    got = {r["doc_id"]: r["s"] for r in pii.analyse(docs(spark, texts)).select("doc_id", pii.span_text((*pii.KINDS, "extra")).alias("s")).collect()}
+    assert got == {0: "extra:2:18,extra:19:35", 1: "ip:18:33,extra:0:21", 2: "", 3: "extra:0:16"}
+    assert {r["doc_id"]: r["text"] for r in pii.sanitised(docs(spark, texts)).collect()} == {0: "x [CARD] [CARD] y", 1: "[PHONE]", 2: texts[2], 3: "[CARD] 4111111111111112"}
+
+
 def test_license_scan(spark):
     half = max(len(t.split()) for own in license_scan.TEMPLATES.values() for t in own)
     rng = random.Random(6)
