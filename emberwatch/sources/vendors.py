@@ -23,24 +23,41 @@ TEXT_ARRAY = "array<string>"
 
 
 class Payload:
-    """Values of a VARIANT column by path, coerced to bounded text; containers and missing paths are null."""
+    """Values of a VARIANT column by path, coerced to bounded text; containers and missing paths are null.
 
-    def __init__(self, column: str, read: dict[str, str] | None = None) -> None:
+    Given a prefix, texts are names of columns that hold them, each path once; `asked` tells which paths
+    those columns have to be made for (see texts_of), and `owner` whose declaration is being read.
+    """
+
+    def __init__(self, column: str, prefix: str | None = None) -> None:
         self.v, self.keys = F.col(column), F.col(f"{column}_keys")
-        self.read, self.asked = read or {}, {}  # path -> column that holds its text already; paths asked for
+        self.prefix, self.owner = prefix, ""
+        self.asked: dict[str, tuple[str, set[str]]] = {}
 
     def raw(self, path: str) -> Column:
         return F.try_variant_get(self.v, path if path.startswith("$") else f"$.{path}", "variant")
 
     def text(self, path: str) -> Column:
-        """A scalar as text. Objects and arrays, which a cast would render as JSON, count as missing."""
         path = path if path.startswith("$") else f"$.{path}"
-        if path in self.read:
-            return F.col(self.read[path])
-        self.asked[path] = None
-        kind = F.schema_of_variant(F.try_variant_get(self.v, path, "variant"))
-        scalar = ~(F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY")))
-        return coerced(F.when(F.coalesce(scalar, F.lit(False)), F.try_variant_get(self.v, path, "string")))
+        if self.prefix is None:
+            return self.read(path)
+        name, owners = self.asked.setdefault(path, (f"{self.prefix}{len(self.asked)}", set()))
+        owners.add(self.owner)
+        return F.col(name)
+
+    def read(self, path: str) -> Column:
+        """A scalar as text. A cast renders objects and arrays as JSON, so what looks like one is looked at again."""
+
+        def scalar(s: Column) -> Column:
+            kind = F.schema_of_variant(F.try_variant_get(self.v, path, "variant"))
+            container = F.substring(s, 1, 1).isin("{", "[") & (F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY")))
+            return F.when(~container, coerced(s))
+
+        return F.get(F.transform(F.array(F.try_variant_get(self.v, path, "string")), scalar), F.lit(0))
+
+    def texts_of(self, only: Column | None = None) -> dict[str, Column]:
+        """The columns asked for; only: the vendor of a row, to read paths of that vendor only."""
+        return {name: self.read(path) if only is None else F.when(only.isin(sorted(owners)), self.read(path)) for path, (name, owners) in self.asked.items()}
 
     def first(self, *paths: str) -> Column:
         return F.coalesce(*map(self.text, paths)) if paths else F.lit(None).cast("string")
@@ -448,11 +465,14 @@ def with_payload(df: DataFrame, raw: str = "raw") -> DataFrame:
     return df.withColumns({"payload_keys": keys, "problem": problem}).drop("__deep")
 
 
-def claims(df: DataFrame, p: Payload | None = None) -> DataFrame:
+def claim_tests(p: Payload, vendors: list[Vendor] = VENDORS) -> list[Column]:
+    """Per vendor its name where it recognises the record, else null."""
+    return [F.when(F.coalesce(v.claims(p), F.lit(False)), F.lit(v.name)) for v in vendors]
+
+
+def claims(df: DataFrame) -> DataFrame:
     """df (with payload) with claimed_by: the vendors that recognise each record."""
-    p = p or Payload("payload")
-    tests = [F.when(F.coalesce(v.claims(p), F.lit(False)), F.lit(v.name)) for v in VENDORS]
-    return df.withColumn("claimed_by", F.array_compact(F.array(*tests)))
+    return df.withColumn("claimed_by", F.array_compact(F.array(*claim_tests(Payload("payload")))))
 
 
 def normalised(df: DataFrame, raw: str = "raw", vendors: list[Vendor] = VENDORS) -> DataFrame:
@@ -461,26 +481,18 @@ def normalised(df: DataFrame, raw: str = "raw", vendors: list[Vendor] = VENDORS)
     Rows keep their order columns; nothing shuffles. Null raw text counts as empty.
     """
     df = with_payload(df, raw)
-    asked = Payload("payload")
-    for v in vendors:
-        v.claims(asked)
-    names = {path: f"__c{k}" for k, path in enumerate(asked.asked)}
-    df = df.withColumns({name: asked.text(path) for path, name in names.items()})
-    df = claims(df, Payload("payload", names))
-    own = F.when(F.size("claimed_by") == 1, F.get("claimed_by", F.lit(0)))
-    df = df.withColumn("__vendor", own)
-    wanted: dict[str, list[str]] = {}
-    for v in vendors:
-        each = Payload("payload", names)
-        _event(v, each)
-        for path in each.asked:
-            wanted.setdefault(path, []).append(v.name)
-    more = {path: f"__p{k}" for k, path in enumerate(wanted)}
+    first = Payload("payload", "__c")
+    tests = claim_tests(first, vendors)
+    df = df.withColumns(first.texts_of()).withColumn("claimed_by", F.array_compact(F.array(*tests)))
+    df = df.withColumn("__vendor", F.when(F.size("claimed_by") == 1, F.get("claimed_by", F.lit(0))))
     # every path is read once, and only from records of vendors that have it
-    df = df.withColumns({more[path]: F.when(F.col("__vendor").isin(who), asked.text(path)) for path, who in wanted.items()})
-    p = Payload("payload", names | more)
+    p, parsed = Payload("payload", "__p"), F.when(F.lit(False), F.lit(None))
+    for v in vendors:
+        p.owner = v.name
+        parsed = parsed.when(F.col("__vendor") == v.name, _event(v, p))
+    df = df.withColumns(p.texts_of(F.col("__vendor")))
+    made = [name for x in (first, p) for name, _ in x.asked.values()]
     text = F.coalesce(F.col(raw).cast("string"), F.lit(""))
-    parsed = reduce(lambda c, v: c.when(F.col("__vendor") == v.name, _event(v, p)), vendors, F.when(F.lit(False), _event(vendors[0], p)))
     message = F.coalesce(coerced(text, MOST_EXCERPT), F.lit(""))
     note = F.coalesce("problem", F.when(F.col("payload").isNotNull(), "no vendor claims this record alone"))
     nothing = [F.struct(*[(F.array().cast(TEXT_ARRAY) if f in ("recipients", "urls") else F.lit(None).cast("string")).alias(f) for f in own]).alias(s) for s, own in STRUCTS.items()]
@@ -496,10 +508,10 @@ def normalised(df: DataFrame, raw: str = "raw", vendors: list[Vendor] = VENDORS)
         F.substring(message, 1, 2048).alias("watched"),
         F.array_compact(F.array(note)).alias("notes"),
     )
-    df = df.withColumn("event", F.coalesce(parsed.otherwise(F.lit(None)), plain))
+    df = df.withColumn("event", F.coalesce(parsed, plain))
     seen = observables(F.col("event.watched"), MOST_OBSERVABLES)
     df = df.withColumn("event", F.col("event").withField("observables", seen).dropFields("watched"))
-    return df.withColumn("raw_excerpt", F.substring(text, 1, MOST_EXCERPT)).drop("payload", "payload_keys", "problem", "__vendor", *names.values(), *more.values())
+    return df.withColumn("raw_excerpt", F.substring(text, 1, MOST_EXCERPT)).drop("payload", "payload_keys", "problem", "__vendor", *made)
 
 
 #: Columns that rules match on, and where they are in an event.
