@@ -32,7 +32,9 @@ def stripped(text: Column) -> Column:
 def coerced(text: Column, limit: int = FIELD_LIMIT) -> Column:
     """A field's text: line and tab runs as blanks, no control characters, trimmed, cut to limit; null if empty."""
     out = F.regexp_replace(F.regexp_replace(text, "[\\t\\n\\r]+", " "), "[\\x00-\\x1f\\x7f]", "")
-    return F.nullif(F.substring(stripped(out), 1, limit), F.lit(""))
+    # most values are plain: no control characters, no white space at the ends
+    odd = F.rlike(text, F.lit(r"[\x00-\x1f\x7f]|(?U:^\s|\s$)"))
+    return F.nullif(F.substring(F.when(odd, stripped(out)).otherwise(text), 1, limit), F.lit(""))
 
 
 def shortened(text: Column, limit: int) -> Column:

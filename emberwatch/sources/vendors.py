@@ -12,7 +12,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from ..functions.observables import observables, sysmon_hashes
 from ..functions.text import coerced
@@ -144,9 +143,9 @@ def _sysmon_activity(p: Payload) -> Column:
 
 def _argv(p: Payload) -> Column:
     """a0, a1, ... of a record, by number, joined by blanks."""
-    names = F.filter(p.keys, lambda k: F.rlike(k, F.lit("^a[0-9]+$")))
-    all_values = F.from_json(F.to_json(p.v), "map<string,string>")
-    pairs = F.transform(names, lambda k: F.struct(F.substring(k, 2, 9).try_cast("int").alias("n"), coerced(F.element_at(all_values, k)).alias("v")))
+    entries = F.map_entries(F.from_json(F.to_json(p.v), "map<string,string>"))
+    own = F.filter(entries, lambda e: F.rlike(e["key"], F.lit("^a[0-9]+$")))
+    pairs = F.transform(own, lambda e: F.struct(F.substring(e["key"], 2, 9).try_cast("int").alias("n"), coerced(e["value"]).alias("v")))
     return F.nullif(F.array_join(F.transform(F.array_sort(pairs), lambda x: x["v"]), " "), F.lit(""))
 
 
@@ -432,36 +431,27 @@ def _event(v: Vendor, p: Payload) -> Column:
     )
 
 
-def _nesting(text: str | None) -> int:
-    """Nesting depth of JSON text; only asked of texts with many brackets."""
-    deepest = now = 0
-    quoted = escaped = False
-    for c in text or "":
-        if quoted:
-            quoted, escaped = (escaped or c != '"', c == "\\" and not escaped)
-        elif c == '"':
-            quoted = True
-        elif c in "{[":
-            now += 1
-            deepest = max(deepest, now)
-        elif c in "}]":
-            now -= 1
-    return deepest
+def nesting(text: Column) -> Column:
+    """Depth of brackets outside string literals of JSON text."""
+    marks = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"', ""), r"[^\[\]{}]+", "")
 
+    def step(a: Column, c: Column) -> Column:
+        now = a["now"] + F.when(c.isin("{", "["), 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
 
-_depth = F.udf(_nesting, IntegerType(), useArrow=False)
+    return F.aggregate(F.filter(F.split(marks, ""), lambda c: c != ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda a: a["most"])
 
 
 def with_payload(df: DataFrame, raw: str = "raw") -> DataFrame:
     """df with payload (VARIANT of a JSON object within bounds), payload_keys and problem (why there is none)."""
     text = F.col(raw).cast("string")
     large = F.length(text) > MOST_RAW
-    brackets = F.length(text) - F.length(F.translate(text, "{[", ""))
-    df = df.withColumn("__deep", F.when(~large & (brackets > MOST_DEPTH), _depth(F.when(~large & (brackets > MOST_DEPTH), text)) > MOST_DEPTH).otherwise(False))
+    brackets = 2 * F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit(""))) - F.length(F.replace(text, F.lit("["), F.lit("")))
+    df = df.withColumn("__deep", F.when(~large & (brackets > MOST_DEPTH), nesting(text) > MOST_DEPTH).otherwise(False))
     parsed = F.when(~F.coalesce(large, F.lit(False)) & ~F.col("__deep"), F.try_parse_json(text))
     df = df.withColumn("payload", F.when(F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")), parsed))
     problem = F.when(large, "too large").when(F.col("__deep"), "too deep").when(F.col("payload").isNull() & F.startswith(F.trim(text), F.lit("{")), "not JSON")
-    keys = F.coalesce(F.json_object_keys(F.to_json("payload")), F.array().cast(TEXT_ARRAY))
+    keys = F.coalesce(F.when(F.col("payload").isNotNull(), F.json_object_keys(text)), F.array().cast(TEXT_ARRAY))
     return df.withColumns({"payload_keys": keys, "problem": problem}).drop("__deep")
 
 
