@@ -113,7 +113,7 @@ class Index:
     """q-grams of benchmark items: a bit filter, and places by hash."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], q: int = Q, window: int = WINDOW, errors: float = ERRORS) -> None:
-        self.q, self.window, self.ids = q, window, [i for i, _ in items]
+        self.q, self.errors, self.ids = q, errors, [i for i, _ in items]
         self.codes = [normal(t)[0] for _, t in items]
         self.limits = [limits(len(c), q, window, errors) if len(c) >= q else (0, 0, 0) for c in self.codes]
         hashes = [grams(c, q) for c in self.codes]
@@ -133,7 +133,7 @@ class Index:
         if not self.kinds:
             return out
         for w, need in self.kinds:
-            span = w + int(w * ERRORS) + 1 - self.q + 1
+            span = w + int(w * self.errors) - self.q + 2
             if total[-1] < need:
                 continue
             upper = np.minimum(np.arange(len(hit)) + span, len(hit))
