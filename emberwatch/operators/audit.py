@@ -102,3 +102,22 @@ def queue_counts(records: DataFrame) -> DataFrame:
         F.count_if("consumed").alias("consumed"),
         F.count_if(F.col("submitted") & ~F.col("resolved")).alias("pending"),
     )
+
+
+def queue_digest() -> Column:
+    """Hash of an approval record: decision_id, payload (JSON text) and prev_hash as JSON with sorted keys.
+
+    For payloads of ASCII text; others are escaped differently and don't verify.
+    """
+    payload = F.to_json(F.try_parse_json("payload"))
+    text = F.concat(F.lit('{"decision_id":'), F.to_json(F.try_parse_json(F.concat(F.lit('"'), F.replace(F.replace(F.col("decision_id"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')))), F.lit(',"payload":'), payload, F.lit(',"prev":"'), F.col("prev_hash"), F.lit('"}'))
+    return F.concat(F.lit("sha256:"), F.sha2(text.cast("binary"), 256))
+
+
+def queue_problems(records: DataFrame, genesis: str) -> DataFrame:
+    """records (line from 1, decision_id, payload, prev_hash, record_hash) with problem: hash mismatch, chain break or null."""
+    before = records.select((F.col("line") + 1).alias("__line"), F.col("record_hash").alias("__before"))
+    out = records.join(before, F.col("line") == F.col("__line"), "left")
+    expected = F.when(F.col("line") == 1, F.lit(genesis)).otherwise(F.col("__before"))
+    problem = F.when(~F.col("prev_hash").eqNullSafe(expected), "chain break").when(~queue_digest().eqNullSafe(F.col("record_hash")), "hash mismatch")
+    return out.withColumn("problem", problem).drop("__line", "__before")

@@ -116,3 +116,23 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 3, *, key: st
 def embedded(own_chunks: DataFrame) -> DataFrame:
     """chunks with the offline embedding of their text."""
     return own_chunks.withColumn("vector", letter_histogram(F.col("text")))
+
+
+def search(own_chunks: DataFrame, vectors: DataFrame | None, query: str, k: int = 5, *, category: str | None = None) -> DataFrame:
+    """rank, source, score, snippet, backend: vector search where there are vectors, else by terms.
+
+    category: only sources in that folder, filtered before the best are taken.
+    """
+    spark = own_chunks.sparkSession
+
+    def wanted(df: DataFrame) -> DataFrame:
+        return df if category is None else df.filter(F.get(F.reverse(F.split("source", "/")), F.lit(1)) == category)
+
+    if vectors is not None and vectors.limit(1).count():
+        asked = spark.createDataFrame([(1, query)], "query_id int, text string").select("query_id", letter_histogram(F.col("text")).alias("query"))
+        rows = wanted(vectors).withColumn("key", F.struct("source", "index"))
+        found = vector_search(rows, asked, k, key="key", vector="vector")
+        texts = rows.select("key", F.substring(squeezed(F.col("text")), 1, 160).alias("snippet"))
+        return found.join(texts, "key").select("rank", "key.source", "score", "snippet", F.lit("vector").alias("backend"))
+    asked = spark.createDataFrame([(1, query)], "query_id int, query string")
+    return retrieve(wanted(own_chunks), asked, k).select("rank", "source", "score", "snippet", F.lit("lexical").alias("backend"))

@@ -194,3 +194,26 @@ def test_readers_and_sinks(spark, tmp_path):
     old, new = spark.createDataFrame([(1, "o"), (2, "o")], "k int, v string"), spark.createDataFrame([(2, "n"), (3, "n")], "k int, v string")
     assert {tuple(r) for r in sinks.keyed_overwrite(old, new, "k").collect()} == {(1, "o"), (2, "n"), (3, "n")}
     assert json.loads(sinks.canonical(new, "k"))[0] == {"k": 2, "v": "n"}
+
+
+def test_approval_chain(spark):
+    prev, rows = "sha256:0", []
+    for i in range(4):
+        payload = {"type": "submitted", "ref": f"r{i}", "n": i, "a": {"z": 1, "b": "q\"x"}}
+        text = json.dumps({"decision_id": f"d{i}", "payload": payload, "prev": prev}, sort_keys=True, separators=(",", ":"))
+        digest = "sha256:" + hashlib.sha256(text.encode()).hexdigest()
+        rows.append([i + 1, f"d{i}", json.dumps(payload), prev, digest])
+        prev = digest
+    schema = "line long, decision_id string, payload string, prev_hash string, record_hash string"
+    assert {r["problem"] for r in audit.queue_problems(spark.createDataFrame(rows, schema), "sha256:0").collect()} == {None}
+    rows[2][1] = "other"
+    assert [r["problem"] for r in audit.queue_problems(spark.createDataFrame(rows, schema), "sha256:0").orderBy("line").collect()] == [None, None, "hash mismatch", None]
+
+
+def test_search_backends(spark):
+    docs = spark.createDataFrame([("kb/a.md", "alpha beta"), ("kb/b.md", "zzz qqq"), ("other/c.md", "alpha beta")], "source string, text string")
+    chunks = retrieval.chunks(docs)
+    assert [(r["source"], r["backend"]) for r in retrieval.search(chunks, None, "alpha", category="kb").collect()] == [("kb/a.md", "lexical")]
+    found = retrieval.search(chunks, retrieval.embedded(chunks), "alpha beta", 1).collect()
+    assert [(r["source"], r["backend"]) for r in found] == [("kb/a.md", "vector")]
+    assert retrieval.search(chunks, retrieval.embedded(chunks).filter("false"), "alpha").count() == 2
