@@ -30,3 +30,13 @@ TECHNIQUE_ACTIONS = {
     "T1557.002": ["isolate-host-network"],
 }
 ALWAYS = "capture-volatile-memory"
+
+#: Mitigation behind each containment capability, and capabilities that stand for another one. Fixed values.
+MITIGATIONS = {
+    "quarantine_file": ("M1049", "Antivirus/Antimalware"),
+    "stop_process": ("M1040", "Behavior Prevention on Endpoint"),
+    "isolate_host": ("M1030", "Network Segmentation"),
+    "block_indicator": ("M1037", "Filter Network Traffic"),
+    "disable_account": ("M1026", "Privileged Account Management"),
+}
+ALIASES = {"release_file": "quarantine_file", "resume_process": "stop_process", "stop_process_force": "stop_process", "restore_host": "isolate_host", "unblock_indicator": "block_indicator", "enable_account": "disable_account"}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..content.response import ACTIONS, ALWAYS, TECHNIQUE_ACTIONS
+from ..content.response import ACTIONS, ALIASES, ALWAYS, MITIGATIONS, TECHNIQUE_ACTIONS
 from ..functions.text import sanitised_target
 
 DEFAULT_TARGET = "affected-host"
@@ -44,3 +44,12 @@ def plan_ids(techniques: DataFrame, targets: DataFrame, key: str) -> DataFrame:
     parts = F.concat("t", F.array(F.lit("|")), F.coalesce("g", F.array(F.lit(DEFAULT_TARGET))))
     joined = F.concat(F.array_join(parts, "\x00"), F.lit("\x00"))
     return t.join(g, key, "left").select(key, F.substring(F.sha2(joined.cast("binary"), 256), 1, 16).alias("plan_id"))
+
+
+def mitigations(rows: DataFrame, capability: str = "capability") -> DataFrame:
+    """rows with primary (the capability an alias stands for), mitigation_id and mitigation; null for unknown ones."""
+    spark = rows.sparkSession
+    aliases = spark.createDataFrame(list(ALIASES.items()), "__alias string, __primary string")
+    table = spark.createDataFrame([(k, *v) for k, v in MITIGATIONS.items()], "primary string, mitigation_id string, mitigation string")
+    own = rows.join(F.broadcast(aliases), F.col(capability) == F.col("__alias"), "left").withColumn("primary", F.coalesce("__primary", F.col(capability)))
+    return own.drop("__alias", "__primary").join(F.broadcast(table), "primary", "left")

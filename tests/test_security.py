@@ -200,3 +200,9 @@ def test_end_to_end(spark):
 
     texts = [r["report"] for r in report.event_reports(out["events"], "2026-08-21").collect()]
     assert len(texts) == 5 and not any("<b>" in t for t in texts)
+
+
+def test_mitigations(spark):
+    rows = spark.createDataFrame([("isolate_host",), ("enable_account",), ("odd",), (None,)], "capability string")
+    got = {r["capability"]: (r["primary"], r["mitigation_id"]) for r in response.mitigations(rows).collect()}
+    assert got == {"isolate_host": ("isolate_host", "M1030"), "enable_account": ("disable_account", "M1026"), "odd": ("odd", None), None: (None, None)}
