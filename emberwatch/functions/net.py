@@ -25,18 +25,20 @@ def is_strict_v4(text: Column) -> Column:
     return F.coalesce(F.rlike(text, F.lit(STRICT_V4)), F.lit(False))
 
 
-@F.pandas_udf(BooleanType())
-def is_ip(values: pd.Series) -> pd.Series:
-    """Strict test for a version 4 or 6 address."""
-
-    def test(x: str | None) -> bool:
-        try:
-            ipaddress.ip_address(x or "")
-        except ValueError:
-            return False
-        return True
-
-    return values.map(test)
+def is_v6(text: Column) -> Column:
+    """Strict test for a version 6 address: eight groups, or fewer around one double colon; the last two may be
+    dotted, and a scope may follow a percent sign."""
+    body = F.regexp_replace(text, r"^([^%]*)%[^%]+$", "$1")
+    body = F.regexp_replace(body, r"(?<=:)" + STRICT_V4[1:], "0:0")
+    groups = r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*"
+    whole = F.rlike(body, F.lit(r"^(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$"))
+    short = F.rlike(body, F.lit(f"^(?:{groups})?::(?:{groups})?$")) & (F.size(F.filter(F.split(body, ":"), lambda g: g != "")) <= 7)
+    return F.coalesce(F.contains(text, F.lit(":")) & (whole | short), F.lit(False))
+
+
+def is_ip(text: Column) -> Column:
+    """Strict test for a version 4 or 6 address, without Python."""
+    return is_strict_v4(text) | is_v6(text)
 
 
 def v4_number(text: Column) -> Column:

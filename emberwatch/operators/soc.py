@@ -127,21 +127,11 @@ def after_from(text: Column) -> Column:
 
 
 def with_source(df: DataFrame) -> DataFrame:
-    """Adds source (a structured field as it stands, else the first address after from) and source_valid.
-
-    Addresses of version 4 are tested natively; only rows with another candidate reach the Arrow test.
-    """
-    df = df.withColumns({"__given": F.coalesce(*[F.element_at("fields", k) for k in SOURCE_FIELDS]), "__near": after_from(F.col("text"))})
-    strict = r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?=[0-9])|$)){4}$"
-    colon = F.filter("__near", lambda x: F.contains(x, F.lit(":")))
-    df = df.withColumns({f"__c{k}": F.get(colon, F.lit(k)) for k in range(3)})
-    valid = {f"__v{k}": F.col(f"__c{k}").isNotNull() & is_ip(F.col(f"__c{k}")) for k in range(3)}
-    df = df.withColumns(valid)
-    six = F.array_compact(F.array(*[F.when(F.col(f"__v{k}"), F.col(f"__c{k}")) for k in range(3)]))
-    first = F.get(F.filter("__near", lambda x: F.rlike(x, F.lit(strict)) | F.array_contains(six, x)), F.lit(0))
-    df = df.withColumn("source", F.coalesce("__given", first))
-    df = df.withColumn("source_valid", F.coalesce(F.rlike("source", F.lit(strict)), F.lit(False)) | (F.contains("source", F.lit(":")) & F.array_contains(six, F.col("source"))))
-    return df.drop("__given", "__near", *[f"__c{k}" for k in range(3)], *valid)
+    """Adds source (a structured field as it stands, else the first address after from) and source_valid."""
+    given = F.coalesce(*[F.element_at("fields", k) for k in SOURCE_FIELDS])
+    near = F.get(F.filter(after_from(F.col("text")), is_ip), F.lit(0))
+    df = df.withColumn("source", F.coalesce(given, near))
+    return df.withColumn("source_valid", is_ip(F.col("source")))
 
 
 def indicators(text: Column, fields: Column) -> Column:

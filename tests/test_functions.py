@@ -1,5 +1,7 @@
 import hashlib
+import ipaddress
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,6 +38,23 @@ def test_ranges(spark):
     assert [r["x"] for r in ips] == [True, True, False, False]
 
 
+def test_addresses_like_the_standard_library(spark):
+    rng, parts = random.Random(12), ["1", "ab", "0", "ffff", "12345", "g", ":", "::", ":", ":", "1.2.3.4", "01.2.3.4", "%eth0", "%", "."]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 16))) for _ in range(3000)]
+    texts += [":".join(rng.choice(["1", "a", "", "ffff"]) for _ in range(rng.randint(5, 9))) for _ in range(3000)]
+    texts += ["::", "1::", "::1", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8", "::ffff:1.2.3.4", "1:2:3:4:5:6:1.2.3.4", "fe80::1%eth0", ":::", "1.2.3.4", "0.0.0.0", "1.2.3.04", ""]
+
+    def want(x):
+        try:
+            ipaddress.ip_address(x)
+        except ValueError:
+            return False
+        return True
+
+    got = spark.createDataFrame([(x,) for x in texts], "t string").select("t", net.is_ip(F.col("t")).alias("x")).collect()
+    assert [r["t"] for r in got if r["x"] != want(r["t"])] == []
+
+
 def test_observables(spark):
     digest = hashlib.sha256(b"x").hexdigest()
     raw = f"get http://a.example/p from 1.2.3.4 and 999.1.1.1 {digest} b.example A.EXAMPLE B.example 1.2.3.4 2001:db8:0:1:2:3:4:5"
