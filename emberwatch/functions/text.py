@@ -11,6 +11,11 @@ FIELD_LIMIT = 2048
 SENTENCE_END = r"(?<=[.!?])\s+"
 
 
+def bound(value: Column, f) -> Column:
+    """f of value, with value computed once however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def any_of(text: Column, needles: list[str] | tuple[str, ...]) -> Column:
     """Whether text contains one of the needles; a null text contains nothing."""
     return F.coalesce(reduce(lambda a, b: a | b, [F.contains(text, F.lit(n)) for n in needles]), F.lit(False))

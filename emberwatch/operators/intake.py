@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import any_of, sentences, shortened, squeezed, stripped
+from ..functions.text import any_of, bound, sentences, shortened, squeezed, stripped
 
 #: Category of the first set that has a word in the text. Fixed values, in order.
 CATEGORIES = {
@@ -42,13 +42,11 @@ TAG = "[a-z0-9][a-z0-9+#-]{2,}"
 
 
 def category(text: Column) -> Column:
-    t = F.lower(text)
-    return reduce(lambda c, kv: c.when(any_of(t, kv[1]), kv[0]), CATEGORIES.items(), F.when(F.lit(False), "")).otherwise("general")
+    return bound(F.lower(text), lambda t: reduce(lambda c, kv: c.when(any_of(t, kv[1]), kv[0]), CATEGORIES.items(), F.when(F.lit(False), "")).otherwise("general"))
 
 
 def all_topics(text: Column, rules: dict[str, list[str]] = TOPICS) -> Column:
-    t = F.lower(text)
-    return F.array_compact(F.array(*[F.when(any_of(t, words), F.lit(name)) for name, words in rules.items()]))
+    return bound(F.lower(text), lambda t: F.array_compact(F.array(*[F.when(any_of(t, words), F.lit(name)) for name, words in rules.items()])))
 
 
 def checklist(topics: Column, items: dict[str, list[str]]) -> Column:
@@ -58,7 +56,7 @@ def checklist(topics: Column, items: dict[str, list[str]]) -> Column:
 
 
 def risk_flags(text: Column) -> Column:
-    return F.filter(F.array(*map(F.lit, sorted(RISK_TERMS))), lambda w: F.contains(F.lower(text), w))
+    return bound(F.lower(text), lambda t: F.filter(F.array(*map(F.lit, sorted(RISK_TERMS))), lambda w: F.contains(t, w)))
 
 
 def title(text: Column, limit: int = 80) -> Column:
