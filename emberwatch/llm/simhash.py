@@ -206,7 +206,7 @@ def simhash_groups(docs: DataFrame, *, ngram: int = 3, bits: int = 64, most: int
     comps = connected_components(links(distinct, keys, most, bits))
     named = distinct.join(comps, distinct["nid"] == comps["node"], "left").select("fp", "least", F.coalesce("root", "nid").alias("root"))
     named = cut(named)
-    roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    roots = cut(named.groupBy("root").agg(F.min("least").alias("component_id")))  # so that the join of a large group can be split
     return fps.join(named.join(roots, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
