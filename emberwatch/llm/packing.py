@@ -23,13 +23,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import per_worker
 
 #: Distinct pieces whose ids one worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
+#: Texts that are looked up together.
+AT_ONCE = 256
 
 
 #: The pieces that byte-pair merges never reach across, of lower-case text: letters, a contraction's end, one digit, marks.
@@ -79,8 +82,8 @@ class _Ids(dict):
 
     def texts(self, texts: list[str | None], end: bytes) -> Iterator[bytes]:
         """Packed ids of each text and then end."""
-        for k in range(0, len(texts), 256):
-            some = [t or "" for t in texts[k : k + 256]]
+        for k in range(0, len(texts), AT_ONCE):
+            some = [t or "" for t in texts[k : k + AT_ONCE]]
             split = list(map(self.split, some))
             pieces = set().union(*filter(None, split))
             if len(self) > REMEMBERED:
@@ -106,20 +109,25 @@ def tokenised(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 0,
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
     end = np.array([end_id], "<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         known = per_worker(f"ids {tokenizer}", lambda: _Ids(tokenizer))
-        for pdf in batches:
-            rows = []
-            for doc_id, ids in zip(pdf["doc_id"].tolist(), known.texts(pdf["text"].tolist(), end), strict=True):
-                for k, a in enumerate(range(0, len(ids) // 4, most_tokens)):
-                    own = ids[4 * a : 4 * (a + most_tokens)]
-                    rows.append((doc_id, k, a, len(own) // 4, zlib.crc32(own), *([np.frombuffer(own, "<u4")] if with_ids else [])))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
-            yield out.astype({"doc_id": "Int64"})
+        for batch in batches:
+            for k in range(0, batch.num_rows, AT_ONCE):
+                some = batch.slice(k, AT_ONCE)
+                rows = []
+                for doc_id, ids in zip(some.column(0).to_pylist(), known.texts(some.column(1).to_pylist(), end), strict=True):
+                    for j, a in enumerate(range(0, len(ids) // 4, most_tokens)):
+                        own = ids[4 * a : 4 * (a + most_tokens)]
+                        rows.append((doc_id, j, a, len(own) // 4, zlib.crc32(own), *([np.frombuffer(own, "<u4")] if with_ids else [])))
+                columns = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=False)], names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 @dataclass(frozen=True)
