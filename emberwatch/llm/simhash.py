@@ -12,7 +12,7 @@ text are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -29,24 +29,42 @@ CELL = 512
 CHUNK = 65_536
 
 
-def fingerprint(text: str | None, ngram: int, bits: int) -> bytes:
-    """Big-endian fingerprint: a bit is 1 if it is set in over half of the shingles' hashes."""
+def _digests(text: str | None, ngram: int, bits: int) -> Iterator[np.ndarray]:
+    """Bytes of the shingles' hashes, a row per shingle, in chunks."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return bytes(bits // 8)
+        return
     digest = xxhash.xxh64_digest if bits == 64 else xxhash.xxh128_digest
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     n = max(1, len(words) - ngram + 1)
     starts = [0, *(ends[: n - 1] + 1).tolist()]
     stops = ends[min(ngram, len(words)) - 1 :].tolist()
-    ones = np.zeros(bits, np.int64)
     for k in range(0, n, CHUNK):
         raw = b"".join([digest(joined[a:b], 42) for a, b in zip(starts[k : k + CHUNK], stops[k : k + CHUNK], strict=True)])
-        ones += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, bits // 8), axis=1).sum(axis=0, dtype=np.int64)
+        yield np.frombuffer(raw, np.uint8).reshape(-1, bits // 8)
+
+
+def _majority(digests: Iterable[np.ndarray], bits: int) -> bytes:
+    n, ones = 0, np.zeros(bits, np.int64)
+    for raw in digests:
+        n += len(raw)
+        ones += np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int64)
     return np.packbits(ones * 2 > n).tobytes()
 
 
+def fingerprint(text: str | None, ngram: int, bits: int) -> bytes:
+    """Big-endian fingerprint: a bit is 1 if it is set in over half of the shingles' hashes."""
+    return _majority(_digests(text, ngram, bits), bits)
+
+
+def signature(text: str | None, ngram: int, bits: int) -> tuple[bytes, np.ndarray]:
+    """The fingerprint, and 64 bits of the hash of each distinct shingle, sorted."""
+    digests = list(_digests(text, ngram, bits))
+    own = [np.ascontiguousarray(raw[:, :8]).view(np.int64).ravel() for raw in digests]
+    return _majority(digests, bits), np.unique(np.concatenate(own)) if own else np.zeros(0, np.int64)
+
+
 def fingerprints(docs: DataFrame, ngram: int = 3, bits: int = 64) -> DataFrame:
     """doc_id, fp (binary) of every row, whole texts."""
 
@@ -76,16 +94,16 @@ def permuted_keys(bits: int, width: int, permutations: int, seed: int = 7) -> li
     return keys
 
 
-def _deal(keys: list[list[int]], lanes: int):
+def _deal(keys: list[list[int]]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
                 continue
             raw = np.frombuffer(b"".join(map(bytes, pdf["fp"])), np.uint8).reshape(len(pdf), -1)
-            on, ids = np.unpackbits(raw, axis=1), pdf["nid"].to_numpy()
+            on = np.unpackbits(raw, axis=1)
             for k, at in enumerate(keys):
                 value = on[:, at].astype(np.int64) @ (1 << np.arange(len(at), dtype=np.int64))
-                yield pd.DataFrame({"key": value * len(keys) + k, "nid": ids, "fp": pdf["fp"]})
+                yield pd.DataFrame({"key": value * len(keys) + k, **{c: pdf[c] for c in pdf}})
 
     return run
 
@@ -115,32 +133,61 @@ class _Forest:
         return out
 
 
-def _near(fp: np.ndarray, i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
-    return np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64) <= most
+def _near(fp: np.ndarray, n: np.ndarray | None, i: np.ndarray, j, most: int, alike: float) -> np.ndarray:
+    near = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64) <= most
+    if n is not None:  # sets of such sizes can't be similar
+        near &= np.minimum(n[i], n[j]) >= alike * np.maximum(n[i], n[j]) - 1e-9
+    return near
 
 
-def _tree(fp: np.ndarray, side: np.ndarray | None, most: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest of one key's members, by breadth-first search; side: only links across count."""
-    left, out = np.arange(len(fp)), []
+def _tree(count: int, side: np.ndarray | None, near) -> list[tuple[int, int]]:
+    """Links of a spanning forest of one cell's members, by breadth-first search; near(left, x) says which of
+    left are linked to x; side: only links across count."""
+    left, out = np.arange(count), []
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            near = np.bitwise_count(fp[left] ^ fp[x]).sum(axis=1, dtype=np.int64) <= most
+            own = near(left, x)
             if side is not None:
-                near &= side[left] != side[x]
-            out += [(int(x), int(y)) for y in left[near]]
-            queue += left[near].tolist()
-            left = left[~near]
+                own &= side[left] != side[x]
+            out += [(int(x), int(y)) for y in left[own]]
+            queue += left[own].tolist()
+            left = left[~own]
     return out
 
 
-def _link(most: int):
+def _cell_starts(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    cells = pdf[["key", "x", "y"]].to_numpy()
+    starts = np.flatnonzero(np.r_[True, (cells[1:] != cells[:-1]).any(axis=1)])
+    return cells, starts, np.diff(np.r_[starts, len(pdf)])
+
+
+def _by_cell(links):
+    """links(rows of whole cells, forest) over batches that are sorted by cell."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forest, rest = _Forest(), None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            last = pdf[["key", "x", "y"]].to_numpy()
+            at = int(np.flatnonzero((last != last[-1]).any(axis=1))[-1] + 1) if (last != last[-1]).any() else 0
+            rest = pdf.iloc[at:].reset_index(drop=True)
+            if at:
+                yield pd.DataFrame(links(pdf.iloc[:at].reset_index(drop=True), forest), columns=["a", "b"], dtype="int64")
+        if rest is not None and len(rest):
+            yield pd.DataFrame(links(rest, forest), columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _link(most: int, alike: float):
     def links(pdf: pd.DataFrame, forest: _Forest) -> list[tuple[int, int]]:
         fp = np.frombuffer(b"".join(map(bytes, pdf["fp"])), ">u8").astype(np.uint64).reshape(len(pdf), -1)
-        ids, cells = pdf["nid"].to_numpy(), pdf[["key", "x", "y"]].to_numpy()
-        starts = np.flatnonzero(np.r_[True, (cells[1:] != cells[:-1]).any(axis=1)])
-        sizes = np.diff(np.r_[starts, len(pdf)])
+        ids, n = pdf["nid"].to_numpy(), pdf["n"].to_numpy() if "n" in pdf else None
+        cells, starts, sizes = _cell_starts(pdf)
         run, size = np.repeat(np.arange(len(starts)), sizes), np.repeat(sizes, sizes)
         small, found = np.flatnonzero((size > 1) & (size <= 24)), []
         for k in range(1, 24):
@@ -148,51 +195,81 @@ def _link(most: int):
             i = i[run[i] == run[i + k]]
             if not len(i):
                 break
-            i = i[_near(fp, i, i + k, most)]
+            i = i[_near(fp, n, i, i + k, most, alike)]
             found.append(np.stack([ids[i], ids[i + k]], axis=1))
         pairs = np.unique(np.concatenate(found), axis=0).tolist() if found else []
         out = forest.kept(pairs)
         for k in np.flatnonzero(sizes > 24):
             a, b = starts[k], starts[k] + sizes[k]
             side = pdf["part"].to_numpy()[a:b] if cells[a, 1] != cells[a, 2] else None
-            out += forest.kept([(int(ids[a + p]), int(ids[a + q])) for p, q in _tree(fp[a:b], side, most)])
+            own, sets = fp[a:b], None if n is None else n[a:b]
+            tree = _tree(b - a, side, lambda left, x, own=own, sets=sets: _near(own, sets, left, x, most, alike))
+            out += forest.kept([(int(ids[a + p]), int(ids[a + q])) for p, q in tree])
         return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        forest, rest = _Forest(), None
-        for pdf in batches:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            if not len(pdf):
-                continue
-            last = pdf[["key", "x", "y"]].to_numpy()
-            at = int(np.flatnonzero((last != last[-1]).any(axis=1))[-1] + 1) if (last != last[-1]).any() else 0
-            rest = pdf.iloc[at:].reset_index(drop=True)
-            if at:
-                yield pd.DataFrame(links(pdf.iloc[:at].reset_index(drop=True), forest), columns=["a", "b"], dtype="int64")
-        if rest is not None and len(rest):
-            yield pd.DataFrame(links(rest, forest), columns=["a", "b"], dtype="int64")
+    return _by_cell(links)
 
-    return run
 
+def _alike(sets: list[np.ndarray], similarity: float):
+    """near(left, x) for _tree: the exact Jaccard similarity of sets (sorted, distinct) is `similarity` or more."""
+    sizes = np.array([len(s) for s in sets])
+    values = np.concatenate(sets)
+    order = np.argsort(values, kind="stable")
+    known, first = np.unique(values[order], return_index=True)
+    rows, first = np.repeat(np.arange(len(sets)), sizes)[order], np.r_[first, len(values)]
+
+    def near(left: np.ndarray, x) -> np.ndarray:
+        at = np.searchsorted(known, sets[x])
+        n = first[at + 1] - first[at]
+        holders = rows[np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        both = np.bincount(holders, minlength=len(sets))[left]
+        return both / np.maximum(sizes[left] + sizes[x] - both, 1) >= similarity
+
+    return near
+
+
+def _verify(similarity: float):
+    def links(pdf: pd.DataFrame, forest: _Forest) -> list[tuple[int, int]]:
+        sets = [np.frombuffer(s, np.int64) for s in pdf["own"]]
+        ids, parts = pdf["nid"].to_numpy(), pdf["part"].to_numpy()
+        cells, starts, sizes = _cell_starts(pdf)
+        out = []
+        for k in np.flatnonzero(sizes > 1):
+            a, b = starts[k], starts[k] + sizes[k]
+            side = parts[a:b] if cells[a, 1] != cells[a, 2] else None
+            tree = _tree(b - a, side, _alike(sets[a:b], similarity))
+            out += forest.kept([(int(ids[a + p]), int(ids[a + q])) for p, q in tree])
+        return out
+
+    return _by_cell(links)
 
-def links(distinct: DataFrame, keys: list[list[int]], most: int, bits: int) -> DataFrame:
-    """Rows (a, b): enough links between rows (nid, fp) at most `most` bits apart that share a key, to
-    join all that such links join.
 
-    A key with many members is cut into cells of at most CELL members and each pair of cells is
+def _cells(dealt: DataFrame, counted: DataFrame) -> DataFrame:
+    """dealt (key, nid, more), sorted by cell (key, x, y), with part.
+
+    A key with many members (rows of counted) is cut into cells of at most CELL members and each pair of cells is
     compared in a place of its own, so no task gets an unbounded group and no pair is skipped.
     """
-    dealt = distinct.select("nid", "fp").mapInPandas(_deal(keys, bits // 64), "key long, nid long, fp binary")
-    large = dealt.select("key").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL)
+    large = counted.select("key").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL)
     large = large.select("key", F.ceil(F.col("n") / CELL).cast("int").alias("cells"))
     part = F.pmod(F.xxhash64("nid"), F.col("cells")).cast("int")
     cells = (
         dealt.join(large, "key", "left")
         .withColumn("part", F.when(F.col("cells").isNull(), 0).otherwise(part))
         .withColumn("other", F.explode(F.when(F.col("cells").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("cells") - 1))))
-        .select("key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "nid", "fp")
+        .select("key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", *[c for c in dealt.columns if c != "key"])
     )
-    return cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInPandas(_link(most), "a long, b long")
+    return cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+
+
+def links(distinct: DataFrame, keys: list[list[int]], most: int, alike: float = 0.0) -> DataFrame:
+    """Rows (a, b): enough links between rows (nid, fp) at most `most` bits apart that share a key, to
+    join all that such links join. With a column n (sizes of sets), only sets that can have a Jaccard
+    similarity of `alike` are linked.
+    """
+    more = [c for c in ("n",) if c in distinct.columns]
+    dealt = distinct.select("nid", "fp", *more).mapInPandas(_deal(keys), ", ".join(["key long, nid long, fp binary", *[f"{c} int" for c in more]]))
+    return _cells(dealt, dealt).mapInPandas(_link(most, alike), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, *, ngram: int = 3, bits: int = 64, most: int = 3, keys: list[list[int]] | None = None) -> DataFrame:
@@ -203,7 +280,7 @@ def simhash_groups(docs: DataFrame, *, ngram: int = 3, bits: int = 64, most: int
     keys = keys or pigeonhole_keys(bits, 6, 3)
     fps = cut(fingerprints(docs, ngram, bits))
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("nid", F.monotonically_increasing_id()))
-    comps = connected_components(links(distinct, keys, most, bits))
+    comps = connected_components(links(distinct, keys, most))
     named = distinct.join(comps, distinct["nid"] == comps["node"], "left").select("fp", "least", F.coalesce("root", "nid").alias("root"))
     named = cut(named)
     roots = cut(named.groupBy("root").agg(F.min("least").alias("component_id")))  # so that the join of a large group can be split
@@ -212,6 +289,41 @@ def simhash_groups(docs: DataFrame, *, ngram: int = 3, bits: int = 64, most: int
 
 #: Five-word shingles, 128 bits; a similarity (Jaccard) of 0.8 is an angle of 0.476, so 19.4 of 128 bits on average.
 NEAR = {"ngram": 5, "bits": 128, "most": 21, "keys": permuted_keys(128, 16, 6)}
+SIMILARITY = 0.8
+
+
+def near_groups(docs: DataFrame, *, ngram: int, bits: int, most: int, keys: list[list[int]], similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, component_id (smallest doc_id that links reach) for every row of docs; links are pairs whose sets of
+    shingles have a Jaccard similarity of `similarity` or more.
+
+    Fingerprints only find the candidates: what their links join is a group, and in each group all pairs are
+    compared by their sets, so that neither a chance likeness joins nor a pair is lost to one. Only the
+    members of such groups have their sets moved, once. Equal sets are one node.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own = [signature(t, ngram, bits) for t in pdf["text"]]
+            same = [xxhash.xxh128_digest(s.tobytes()) for _, s in own]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_key": pdf["text_key"], "fp": [f for f, _ in own], "same": same, "n": [len(s) for _, s in own]})
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"key": pdf["key"], "nid": pdf["nid"], "own": [signature(t, ngram, bits)[1].tobytes() for t in pdf["text"]]})
+
+    signed = cut(rows.mapInPandas(sign, "doc_id long, text_key long, fp binary, same binary, n int"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_key", "fp", "n")).alias("first")
+    distinct = cut(signed.groupBy("same").agg(first).select("same", "first.*").withColumn("nid", F.monotonically_increasing_id()))
+    likely = connected_components(links(distinct, keys, most, similarity))
+    members = cut(distinct.join(likely, distinct["nid"] == likely["node"]).select(F.col("root").alias("key"), "nid", F.col("doc_id").alias("__d"), F.col("text_key").alias("__t")))
+    held = rows.join(members, rows["doc_id"].eqNullSafe(members["__d"]) & (rows["text_key"] == members["__t"]))
+    held = held.select("key", "nid", "text").dropDuplicates(["nid"]).mapInPandas(sets, "key long, nid long, own binary")
+    comps = connected_components(_cells(held, members).mapInPandas(_verify(similarity), "a long, b long"))
+    named = cut(distinct.join(comps, distinct["nid"] == comps["node"], "left").select("same", F.col("doc_id").alias("least"), F.coalesce("root", "nid").alias("root")))
+    roots = cut(named.groupBy("root").agg(F.min("least").alias("component_id")))
+    return signed.join(named.join(roots, "root").select("same", "component_id"), "same").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
@@ -219,7 +331,7 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
 
     Rows with a null doc_id can't be named and stay. Of repeated rows with one doc_id and text one stays.
     """
-    groups = simhash_groups(docs, **(how or NEAR))
+    groups = near_groups(docs, **(NEAR | how))
     gone = groups.filter("doc_id > component_id").select(F.col("doc_id").alias("__gone")).distinct()
     kept = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
     if groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():

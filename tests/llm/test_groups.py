@@ -119,3 +119,50 @@ def test_components(spark):
                 todo.append(y)
         assert got[x] == min(seen)
     assert set(got) == set(near)
+
+
+def jaccard(a, b, n=5):
+    own = [{tuple(t.split()[i : i + n]) for i in range(max(1, len(t.split()) - n + 1))} for t in (a, b)]
+    return len(own[0] & own[1]) / len(own[0] | own[1])
+
+
+def planted(rng, low, high, count):
+    """Pairs of texts whose exact five-word similarity is in [low, high)."""
+    words, out = [f"w{i}" for i in range(5000)], []
+    while len(out) < count:
+        own = [rng.choice(words) for _ in range(rng.randint(60, 300))]
+        other = list(own)
+        for _ in range(max(1, round(len(own) * rng.uniform(0.01, 0.06)))):
+            other[rng.randrange(len(other))] = rng.choice(words)
+        if low <= jaccard(" ".join(own), " ".join(other)) < high:
+            out += [(" ".join(own), " ".join(other))]
+    return out
+
+
+@pytest.mark.parametrize("cell", [512, 8])
+def test_near_groups_are_verified(spark, monkeypatch, cell):
+    """No pair below the limit joins, not in a family of related texts either; true links inside the family do."""
+    monkeypatch.setattr(simhash, "CELL", cell)
+    rng = random.Random(4)
+    pairs = planted(rng, 0.65, 0.79, 120)
+    family = [[f"v{rng.randrange(5000)}" for _ in range(200)]]
+    for _ in range(40):  # each a change of an earlier one
+        own = list(rng.choice(family))
+        for _ in range(rng.choice([2, 6])):
+            own[rng.randrange(200)] = f"v{rng.randrange(5000)}"
+        family.append(own)
+    texts = [t for p in pairs for t in p] + [" ".join(f) for f in family]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs(spark, texts), **simhash.NEAR).collect()}
+    assert all(got[i] == i for i in range(2 * len(pairs)))
+    at, up = 2 * len(pairs), list(range(len(family)))
+
+    def find(x):
+        return x if up[x] == x else find(up[x])
+
+    for i in range(len(family)):
+        for j in range(i):
+            if jaccard(texts[at + i], texts[at + j]) >= 0.8:
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    assert 1 < len({find(i) for i in up}) < len(family)
+    assert [got[at + i] for i in range(len(family))] == [at + find(i) for i in range(len(family))]
