@@ -166,3 +166,30 @@ def test_near_groups_are_verified(spark, monkeypatch, cell):
                 up[max(a, b)] = min(a, b)
     assert 1 < len({find(i) for i in up}) < len(family)
     assert [got[at + i] for i in range(len(family))] == [at + find(i) for i in range(len(family))]
+
+
+def test_pairs_close_to_the_limit_are_found(spark):
+    """Recall between similarities of 0.80 and 0.85, by exact similarity and without the keys."""
+    pairs = planted(random.Random(8), 0.8, 0.85, 300)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs(spark, [t for p in pairs for t in p]), **simhash.NEAR).collect()}
+    assert sum(got[2 * k + 1] == 2 * k for k in range(300)) >= 0.97 * 300
+
+
+def test_near_groups_of_the_table_by_exact_similarity(spark):
+    """All pairs of the smallest table by their five-word sets, without fingerprints."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    own = {r["doc_id"]: r["text"] or "" for r in rows.collect()}
+    words = {i: t.encode().lower().split() for i, t in own.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
+    up = {i: i for i in own}
+
+    def find(x):
+        return x if up[x] == x else find(up[x])
+
+    for i in own:
+        for j in own:
+            if j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(rows, **simhash.NEAR).collect()}
+    assert got == {i: find(i) for i in own}
