@@ -168,16 +168,51 @@ def disclosures(docs: DataFrame, found: DataFrame, *, generalise: float, remove:
     return out.withColumn("action", F.when(F.col("ratio") >= remove, "remove").otherwise("generalise"))
 
 
+def _term_places(text: Column, verdicts: Column) -> Column:
+    """Structs (start, end, action) of the words of a text that are in verdicts, a map of lower-case terms to actions."""
+    kind = "array<struct<start:int,end:int,action:string>>"
+    found, gaps = _split(text, TERM)
+    step = F.transform(found, lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), F.length(m).alias("len"), F.try_element_at(verdicts, F.lower(m)).alias("action")))
+    none = F.array().cast(kind)
+
+    def add(acc: Column, x: Column) -> Column:
+        a = (acc["at"] + x["gap"]).cast("int")
+        b = (a + x["len"]).cast("int")
+        more = F.concat(F.coalesce(acc["out"], none), F.array(F.struct(a.alias("start"), b.alias("end"), x["action"].alias("action"))))
+        return F.struct(b.alias("at"), F.when(x["action"].isNull(), acc["out"]).otherwise(more).alias("out"))
+
+    return F.coalesce(F.aggregate(step, F.struct(F.lit(0).alias("at"), F.lit(None).cast(kind).alias("out")), add)["out"], none)
+
+
+def _disclosing_places(docs: DataFrame, found: DataFrame, disclosing: DataFrame) -> DataFrame:
+    """__d, __t, terms: all places, near or not, of the terms that disclose an entity of the document.
+
+    Words that touch an entity's value are words only once it is cut off, so the terms near entities are looked at as well.
+    """
+    known = cut(disclosing.select("entity").distinct())
+    having = found.select("doc_id", "text_key", F.flatten("mentions.terms").alias("near"), F.explode(F.array_distinct(F.col("mentions.entity"))).alias("entity"))
+    having = having.join(known, "entity").groupBy(F.col("doc_id").alias("__d"), F.col("text_key").alias("__t")).agg(F.collect_set("entity").alias("entities"), F.first("near").alias("near"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    rows = rows.join(having, rows["doc_id"].eqNullSafe(having["__d"]) & (rows["text_key"] == having["__t"])).select("__d", "__t", "text", "near", "entities")
+    rows = cut(rows.dropDuplicates(["__d", "__t"]))
+    words = F.concat(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.col("near.value"))
+    each = rows.select("__d", "__t", "entities", F.explode(F.array_distinct(F.transform(words, F.lower))).alias("term")).select("__d", "__t", "term", F.explode("entities").alias("entity"))
+    hits = each.join(disclosing, ["entity", "term"]).groupBy("__d", "__t", "term").agg(F.max("action").alias("action"))  # remove > generalise
+    own = hits.groupBy(F.col("__d").alias("__e"), F.col("__t").alias("__u")).agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("verdicts"))
+    rows = rows.join(own, rows["__d"].eqNullSafe(own["__e"]) & (rows["__t"] == own["__u"]))
+    near = F.transform("near", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.try_element_at("verdicts", F.lower(t["value"])).alias("action")))
+    places = F.concat(_term_places(F.col("text"), F.col("verdicts")), F.filter(near, lambda t: t["action"].isNotNull()))
+    return rows.select("__d", "__t", F.array_sort(F.array_distinct(places)).alias("terms"))
+
+
 def analyse(docs: DataFrame, *, reach: int = CONTEXT, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT) -> DataFrame:
     """One row per row of docs: doc_id, text_key, the base spans per kind, extra, and `terms`
-    (array of start, end, action): disclosing terms that overlap no other span, by start.
+    (array of start, end, action): disclosing terms that overlap no other span, by start. Terms within `reach`
+    characters of an entity are judged; what discloses it counts anywhere in the documents that hold the entity.
     """
     found = cut(_mentions(base_spans(docs), reach))
-    disclosing = disclosures(docs, found, generalise=generalise, remove=remove, support=support)
-    each = found.select("doc_id", "text_key", F.explode("mentions").alias("m")).select("doc_id", "text_key", "m.entity", F.explode("m.terms").alias("t"))
-    each = each.select("doc_id", "text_key", "entity", F.lower("t.value").alias("term"), "t.start", "t.end")
-    hits = each.join(disclosing, ["entity", "term"]).groupBy("doc_id", "text_key", "start", "end").agg(F.max("action").alias("action"))  # remove > generalise
-    own = hits.groupBy(F.col("doc_id").alias("__d"), F.col("text_key").alias("__t")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
+    disclosing = cut(disclosures(docs, found, generalise=generalise, remove=remove, support=support))
+    own = _disclosing_places(docs, found, disclosing)
     base = found.drop("mentions")
     out = base.join(own, base["doc_id"].eqNullSafe(own["__d"]) & (base["text_key"] == own["__t"]), "left").drop("__d", "__t")
     taken = F.concat(*[F.transform(F.col(k), lambda s: F.struct(s["start"], s["end"])) for k in (*KINDS, "extra")])

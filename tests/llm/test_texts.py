@@ -85,6 +85,17 @@ def test_pii_disclosure_against_brute_force(spark):
     assert got == want and {"nick"} == {texts[d][a : a + 4] for d, a, b, _ in want}
 
 
+def test_disclosing_terms_far_from_the_entity(spark):
+    """A term that discloses an entity is found wherever the document repeats it, and only where the entity is held."""
+    far = "and so on " * 40
+    texts = [f"write to nora@mail.example called Zebulon today {far} zebulon {far} ZEBULON end" for _ in range(3)] + [f"{far} nothing {k}" for k in range(40)] + [f"only zebulon {far}"]
+    got = {r["doc_id"]: r["text"] for r in pii.sanitised(docs(spark, texts)).collect()}
+    assert all("zebulon" not in got[k].lower() and "[EMAIL]" in got[k] for k in range(3))
+    assert got[43] == texts[43]
+    spots = {r["doc_id"]: [(t["start"], t["end"]) for t in r["terms"]] for r in pii.analyse(docs(spark, texts)).collect()}
+    assert {m.span() for m in re.finditer("zebulon", texts[0].lower())} <= set(spots[0]) and not spots[43]
+
+
 def test_sanitised(spark):
     df = docs(spark, ["call +49 30 1234567 or a@b.co", None, "clean", "x a@b.co1.2.3.4"], extra=1)
     rows = {r["doc_id"]: r["text"] for r in pii.sanitised(df).collect()}
