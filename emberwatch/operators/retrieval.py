@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from ..functions.vector import cosine, letter_histogram
 #: Words that don't count in retrieval. Fixed values.
 STOPWORDS = ["the", "and", "for", "with", "that", "this", "from", "are", "was", "were", "has", "have", "may", "any", "into", "use", "used", "uses", "per", "via", "not"]
 TOKEN = "[a-z0-9]{3,}"
+#: Queries of a vector search that are broadcast at a time.
+QUERY_BLOCK = 1000
 
 
 def terms(text: Column, stopwords: bool = True) -> Column:
@@ -99,12 +103,18 @@ def verified(cited: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 3, *, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, rank, key, score: exact cosine top k of a few stated queries (query_id, query), which are broadcast.
+    """query_id, rank, key, score: exact cosine top k of stated queries (query_id, query).
 
-    queries have to be few (their number is checked); for many there are approximate searches.
+    Queries are dealt by their id to blocks of about QUERY_BLOCK / 2, and each block is broadcast in a pass of its own over the vectors.
     """
-    if queries.limit(1001).count() > 1000:
-        raise ValueError("more than 1000 queries at a time; pass them in blocks")
+    blocks = -(-queries.count() * 2 // QUERY_BLOCK)
+    if blocks < 2 or queries.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK:
+        return _search_block(vectors, queries, k, key, vector)
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [_search_block(vectors, queries.filter(block == b), k, key, vector) for b in range(blocks)])
+
+
+def _search_block(vectors: DataFrame, queries: DataFrame, k: int, key: str, vector: str) -> DataFrame:
     scored = vectors.select(key, vector).crossJoin(F.broadcast(queries)).select("query_id", key, cosine(F.col(vector), F.col("query")).alias("score"))
     # the k best of each partition first, so that no query's scores meet in one task
     best = scored.withColumn("__p", F.spark_partition_id())

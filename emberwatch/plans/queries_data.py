@@ -117,6 +117,15 @@ def vector_topk(spark, sf_dir):
     return retrieval.vector_search(e, asked).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
+@query("vector_topk_hundredths", """WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS INTEGER) AS rank, vec_id, round(s, 6) AS score FROM (SELECT query_id, vec_id, list_cosine_similarity(embedding::DOUBLE[], qv::DOUBLE[]) AS s FROM embeddings, q) QUALIFY rank <= 3""")
+def vector_topk_hundredths(spark, sf_dir):
+    """The whole set of a search's queries: every row whose id is divisible by 100."""
+    e = table(spark, sf_dir, "embeddings")
+    asked = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return retrieval.vector_search(e, asked).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
 @query("embed_letters", """SELECT item_id, array_to_string(list_transform(range(0, 32), lambda k: len(list_filter(string_split(lower(text), ''), lambda c: unicode(c) % 32 = k))), ',') AS histogram FROM benchmark""")
 def embed_letters(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")

@@ -217,3 +217,22 @@ def test_search_backends(spark):
     found = retrieval.search(chunks, retrieval.embedded(chunks), "alpha beta", 1).collect()
     assert [(r["source"], r["backend"]) for r in found] == [("kb/a.md", "vector")]
     assert retrieval.search(chunks, retrieval.embedded(chunks).filter("false"), "alpha").count() == 2
+
+
+def test_vector_search_of_many_queries_in_blocks(spark):
+    import numpy as np
+
+    from emberwatch.plans import registry
+
+    rng = np.random.default_rng(3)
+    own = rng.normal(size=(1200, 4))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(own)], "vec_id long, embedding array<double>")
+    asked = rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    unit = own / np.linalg.norm(own, axis=1, keepdims=True)
+    best = np.argsort(-(unit @ unit.T), axis=1, kind="stable")[:, :3]
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in retrieval.vector_search(rows, asked).collect()}
+    assert got == {(q, k + 1): int(best[q, k]) for q in range(1200) for k in range(3)}
+    folder = "/root/testdata/sf0.001"
+    ids = {r["vec_id"] for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id").collect()}
+    found = registry.QUERIES["vector_topk_hundredths"](spark, folder).collect()
+    assert {r["query_id"] for r in found} == {i for i in ids if i % 100 == 0} and len(found) == 3 * len({r["query_id"] for r in found})
