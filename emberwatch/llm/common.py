@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import uuid
@@ -17,12 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the one named in spark.checkpoint.dir. Only where that is unset (tests on one machine)
-    a temporary folder is made.
+    It is the one named in spark.checkpoint.dir. Only where that is unset and all of Spark is one process
+    (as in tests) a temporary folder is made; a cluster without the setting is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="emberwatch-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="emberwatch-"))
     return sc.getCheckpointDir()
 
 
@@ -36,6 +40,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names like those given that df doesn't have (whatever their case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def crc_mod(key: Column, n: int) -> Column:
     """crc32 of the key as text, modulo n; a null key counts as empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % n
