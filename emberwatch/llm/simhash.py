@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_names
 from .components import connected_components
 
 #: Fingerprints of a key that one task compares with each other or with as many others.
@@ -287,15 +287,30 @@ def simhash_groups(docs: DataFrame, *, ngram: int = 3, bits: int = 64, most: int
     return fps.join(named.join(roots, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-#: Five-word shingles, 128 bits; a similarity (Jaccard) of 0.8 is an angle of 0.476, so 19.4 of 128 bits on average;
-#: 32 is three standard deviations more. What is linked by chance is taken out when sets are compared.
-NEAR = {"ngram": 5, "bits": 128, "most": 32, "keys": permuted_keys(128, 14, 9)}
 SIMILARITY = 0.8
 
 
-def near_groups(docs: DataFrame, *, ngram: int, bits: int, most: int, keys: list[list[int]], similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, component_id (smallest doc_id that links reach) for every row of docs; links are pairs whose sets of
-    shingles have a Jaccard similarity of `similarity` or more.
+def near_keys(n: int, *, bits: int = 128, similarity: float = SIMILARITY, miss: float = 1e-3, per_key: int = 8) -> list[list[int]]:
+    """Keys for n fingerprints, so that a key's members don't grow with n and the share of pairs missed doesn't either.
+
+    Two sets of that similarity (Jaccard) differ in a bit with probability angle / pi. A key of w bits has n / 2^w
+    members by chance (w: about per_key of them), and holds a true pair with (1 - angle / pi)^w; so many keys are taken
+    that all of them miss it with a probability of `miss`.
+    """
+    agree = 1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    width = int(min(max(np.ceil(np.log2(max(n, 1) / per_key)), 12), bits // 4))
+    return permuted_keys(bits, width, int(np.ceil(np.log(miss) / np.log1p(-(agree**width)) / (bits // width))))
+
+
+#: Five-word shingles, 128 bits; a similarity of 0.8 is an angle of 0.476, so 19.4 of 128 bits on average;
+#: 32 is three standard deviations more. What is linked by chance is taken out when sets are compared.
+NEAR = {"ngram": 5, "bits": 128, "most": 32}
+
+
+def near_groups(docs: DataFrame, *, ngram: int = 5, bits: int = 128, most: int = 32, keys: list[list[int]] | None = None, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, text_key (hash of the text), component_id, component_key for every row of docs: the last two name the row
+    of the group with the smallest doc_id (null last), then text_key. Links are pairs whose sets of shingles have a
+    Jaccard similarity of `similarity` or more; groups are what links reach.
 
     Fingerprints only find the candidates: what their links join is a group, and in each group all pairs are
     compared by their sets, so that neither a chance likeness joins nor a pair is lost to one. Only the
@@ -317,24 +332,36 @@ def near_groups(docs: DataFrame, *, ngram: int, bits: int, most: int, keys: list
     signed = cut(rows.mapInPandas(sign, "doc_id long, text_key long, fp binary, same binary, n int"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_key", "fp", "n")).alias("first")
     distinct = cut(signed.groupBy("same").agg(first).select("same", "first.*").withColumn("nid", F.monotonically_increasing_id()))
+    keys = keys or near_keys(distinct.count(), bits=bits, similarity=similarity)
     likely = connected_components(links(distinct, keys, most, similarity))
     members = cut(distinct.join(likely, distinct["nid"] == likely["node"]).select(F.col("root").alias("key"), "nid", F.col("doc_id").alias("__d"), F.col("text_key").alias("__t")))
     held = rows.join(members, rows["doc_id"].eqNullSafe(members["__d"]) & (rows["text_key"] == members["__t"]))
     held = held.select("key", "nid", "text").dropDuplicates(["nid"]).mapInPandas(sets, "key long, nid long, own binary")
     comps = connected_components(_cells(held, members).mapInPandas(_verify(similarity), "a long, b long"))
-    named = cut(distinct.join(comps, distinct["nid"] == comps["node"], "left").select("same", F.col("doc_id").alias("least"), F.coalesce("root", "nid").alias("root")))
-    roots = cut(named.groupBy("root").agg(F.min("least").alias("component_id")))
-    return signed.join(named.join(roots, "root").select("same", "component_id"), "same").select("doc_id", "component_id")
+    named = cut(distinct.join(comps, distinct["nid"] == comps["node"], "left").select("same", "no", "doc_id", "text_key", F.coalesce("root", "nid").alias("root")))
+    roots = named.groupBy("root").agg(F.min(F.struct("no", "doc_id", "text_key")).alias("least"))
+    roots = cut(roots.select("root", F.col("least.doc_id").alias("component_id"), F.col("least.text_key").alias("component_key")))
+    return signed.join(named.join(roots, "root").select("same", "component_id", "component_key"), "same").select("doc_id", "text_key", "component_id", "component_key")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs but those whose group has a smaller doc_id; columns as they are.
+    """The rows of docs but those whose group (near_groups) has a row before them; columns as they are.
 
-    Rows with a null doc_id can't be named and stay. Of repeated rows with one doc_id and text one stays.
+    Rows are told apart by doc_id and text, so a row that shares only its doc_id with a copy stays. Of rows with
+    equal doc_id and text one stays, the one whose other columns hash least. A null doc_id comes after all
+    others; a null text counts as empty, and all texts without words are copies of each other; very long
+    texts are read whole; an empty table gives no rows; columns of any other names are kept.
     """
-    groups = near_groups(docs, **(NEAR | how))
-    gone = groups.filter("doc_id > component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
-    if groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        kept = kept.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(kept.filter("doc_id is null"))
-    return kept
+    d, t, n = free_names(docs, "d", "t", "n")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    groups = cut(near_groups(docs, **(NEAR | how)))
+    is_first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("component_key"))
+    gone = groups.filter(~is_first).select(F.col("doc_id").alias(d), F.col("text_key").alias(t)).distinct()
+    kept = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(text) == F.col(t)), "left_anti")
+    again = cut(groups.filter(is_first).groupBy(F.col("doc_id").alias(d), F.col("text_key").alias(t)).agg(F.count(F.lit(1)).alias(n)).filter(F.col(n) > 1))
+    if again.isEmpty():
+        return kept
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(text) == F.col(t))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = kept.join(again, same).groupBy(d, t).agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias(n)).select(f"{n}.*")
+    return kept.join(again, same, "left_anti").unionByName(one)
