@@ -1,13 +1,14 @@
 """Language identification by n-gram filters whose every slot is a bitmask of languages.
 
-A bit-sliced Bloom filter keeps one word of language bits per slot; ANDing the words of an n-gram's
-slots gives all languages that (may) contain it at once. Per language the hits of a text are counted
+A bit-sliced Bloom filter keeps language bits per slot, in as many 64-bit words as the languages take; ANDing
+an n-gram's slots gives all languages that (may) contain it at once. Per language the hits of a text are counted
 and corrected for that language's false positives; the largest count decides.
 
 Defined cases: null text or text without a letter gives `und` with score 0; ties go to the language
 whose name sorts first; a text none of whose n-grams is known gets the most frequent language with score 0;
-no training rows at all give `und`; repeated rows count as often as they stand there; columns other
-than those named are not looked at.
+no training rows at all give `und`; of repeated texts of a language one is learned from, so a text that makes up
+most of a language neither fills the sample nor misses it; an empty table gives no rows; columns other
+than those named are not looked at, whatever they are called.
 """
 
 from __future__ import annotations
@@ -71,7 +72,7 @@ def _ngrams(text: str) -> np.ndarray:
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
-    words: np.ndarray  # slots x language bits
+    words: np.ndarray  # words of language bits x slots
     false: np.ndarray  # false-positive rate of each language
     usual: int  # index of the most frequent language
 
@@ -79,8 +80,8 @@ class Model:
         grams = _ngrams(text or "")
         if not len(grams) or not self.languages:
             return "und", 0.0
-        mask = _lookup(self.words, grams)
-        hits = np.array([np.count_nonzero(mask & np.uint64(1 << k)) for k in range(len(self.languages))], float)
+        masks = [_lookup(w, grams) for w in self.words]
+        hits = np.array([np.count_nonzero(masks[k >> 6] & np.uint64(1 << (k & 63))) for k in range(len(self.languages))], float)
         true = np.maximum(hits - len(grams) * self.false, 0) / np.maximum(1 - self.false, 1e-9)
         order = np.argsort(-true, kind="stable")
         best = true[order[0]]
@@ -101,19 +102,21 @@ def _lookup(words: np.ndarray, grams: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, *, learn: Column, rows_per_language: int = 1500, least: float = 0.02, slots_log2: int = 21) -> Model:
-    """Learns from rows where `learn` holds and lang isn't null.
+    """Learns from rows where `learn` holds and lang isn't null, from every language there is.
 
-    rows_per_language bounds the sample (about so many rows, chosen by a hash of the text); an n-gram
-    belongs to a language if it is in at least `least` of that language's sampled rows, which also bounds
-    what reaches the driver. Up to 64 languages; the most frequent are kept beyond that.
+    rows_per_language bounds the sample: about so many distinct texts of each language, chosen by a hash of the text
+    (all, if a language has fewer); an n-gram belongs to a language if it is in at least `least` of that language's
+    sampled texts, which also bounds what reaches the driver.
     """
-    rows = docs.select(F.col("text").cast("string"), F.col("lang").cast("string"), learn.alias("__learn")).filter("__learn and lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()}
+    none = Model((), np.zeros((1, 1 << slots_log2), np.uint64), np.zeros(0), 0)
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), learn.alias("learn")).filter("learn and lang is not null and text is not null")
+    rows = rows.select("lang", "text", F.xxhash64("text").alias("key"))
+    sizes = {r["lang"]: (r["n"], r["rows"]) for r in rows.groupBy("lang", "key").agg(F.count(F.lit(1)).alias("rows")).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows")).collect()}
     names = tuple(sorted(sizes))
     if not names:
-        return Model((), np.zeros(1 << slots_log2, np.uint64), np.zeros(0), 0)
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, rows_per_language / n)])
-    sample = rows.filter((F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / F.lit(1_000_003.0)) < F.element_at(share, F.col("lang")))
+        return none
+    share = F.create_map(*[F.lit(x) for k, (n, _) in sizes.items() for x in (k, rows_per_language / n)])
+    sample = rows.filter((F.pmod("key", F.lit(1_000_003)) / F.lit(1_000_003.0)) < F.element_at(share, F.col("lang"))).dropDuplicates(["lang", "key"])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -125,16 +128,16 @@ def fit(docs: DataFrame, *, learn: Column, rows_per_language: int = 1500, least:
     counts = sample.select("lang", "text").mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = {r["lang"]: r["n"] for r in counts.filter("gram is null").collect()}
     if not totals:
-        return Model((), np.zeros(1 << slots_log2, np.uint64), np.zeros(0), 0)
+        return none
     floor = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, max(1.0, least * n))])
     kept = counts.filter(F.col("gram").isNotNull() & (F.col("n") >= F.element_at(floor, F.col("lang")))).select("lang", "gram").toPandas()
-    words = np.zeros(1 << slots_log2, np.uint64)
+    words = np.zeros((-(-len(names) // 64), 1 << slots_log2), np.uint64)
     for k, name in enumerate(names):
         grams = kept.loc[kept["lang"] == name, "gram"].to_numpy(np.int64).view(np.uint64)
-        for at in _slots(grams, len(words)):
-            words[at] |= np.uint64(1 << k)
-    filled = np.array([np.count_nonzero(words & np.uint64(1 << k)) for k in range(len(names))]) / len(words)
-    return Model(names, words, filled ** len(ODD), names.index(max(sizes, key=lambda k: (sizes[k], k))))
+        for at in _slots(grams, words.shape[1]):
+            words[k >> 6, at] |= np.uint64(1 << (k & 63))
+    filled = np.array([np.count_nonzero(words[k >> 6] & np.uint64(1 << (k & 63))) for k in range(len(names))]) / words.shape[1]
+    return Model(names, words, filled ** len(ODD), names.index(max(sizes, key=lambda k: (sizes[k][1], k))))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
