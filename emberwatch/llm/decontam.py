@@ -9,8 +9,9 @@ A document is contaminated by an item if it holds a passage within e edits of so
 w is `window`, or the item's length if that is smaller, and e is `errors` * w rounded down (less where
 the bound would fall under one).
 
-Defined cases: null and empty texts match nothing; items of fewer than q characters (as compared) can't be
-looked for and match nothing; repeated items and rows are reported each; null ids are reported as
+Items of fewer than q characters (as compared) have no q-gram; they are looked for as they stand, as whole words.
+
+Defined cases: null and empty texts match nothing, nor do items without a letter or digit; repeated items and rows are reported each; null ids are reported as
 null; an empty benchmark or table gives no rows; columns other than the id and text are not looked at.
 """
 
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_worker
+from .common import free_names, per_worker
 
 Q, WINDOW, ERRORS = 10, 80, 0.0625
 STEP = np.uint64(0x100000001B3)
@@ -126,6 +127,11 @@ class Index:
         self.filter = np.zeros(1 << self.bits, bool)
         self.filter[(flat >> np.uint64(64 - self.bits)).astype(np.int64)] = True
         self.kinds = sorted({(w, t) for w, _, t in self.limits if w})
+        self.short: dict[bytes, list[int]] = {}  # items of fewer than q characters
+        for k, c in enumerate(self.codes):
+            if 0 < len(c) < q:
+                self.short.setdefault(c.tobytes(), []).append(k)
+        self.short_words = {int((np.frombuffer(c, np.uint32) == 32).sum()) + 1 for c in self.short}
 
     def _dense(self, hit: np.ndarray) -> np.ndarray:
         """Hits in some window that has as many hits as some item of that window needs."""
@@ -148,6 +154,22 @@ class Index:
     def matches(self, text: str | None) -> list[tuple]:
         """(item number, edits, start, end, item start, item length) of the best passage of each item found."""
         codes, at = normal(text)
+        return self._short(codes, at) + self._long(codes, at)
+
+    def _short(self, codes: np.ndarray, at: np.ndarray) -> list[tuple]:
+        """The first place of each short item, whole words only."""
+        if not self.short or not len(codes):
+            return []
+        gaps, out = np.flatnonzero(codes == 32), {}
+        starts, ends = np.r_[0, gaps + 1], np.r_[gaps, len(codes)]
+        for n in self.short_words:
+            for a, b in zip(starts[: len(starts) - n + 1].tolist(), ends[n - 1 :].tolist(), strict=True):
+                if b - a < self.q and (own := self.short.get(codes[a:b].tobytes())):
+                    for k in own:
+                        out.setdefault(k, (k, 0, int(at[a]), int(at[b - 1]) + 1, 0, b - a))
+        return sorted(out.values())
+
+    def _long(self, codes: np.ndarray, at: np.ndarray) -> list[tuple]:
         h = grams(codes, self.q)
         if not len(h) or not len(self.hash):
             return []
@@ -232,10 +254,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, q: int = Q, window: i
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of docs that match no item; columns as they are."""
-    kept = docs
-    for k, items in enumerate(_blocks(benchmark)):
-        kept = kept.withColumn(f"__hit{k}", _tester(docs, items, how)(F.col("text").cast("string"))).filter(f"not __hit{k}").drop(f"__hit{k}")
+    """The rows of docs that match no item; columns as they are, whatever they are called.
+
+    Null and empty texts match nothing and stay; each of repeated rows is judged for itself; very long texts
+    are read whole; an empty benchmark keeps all rows, an empty table gives none.
+    """
+    kept, (hit,) = docs, free_names(docs, "hit")
+    for items in _blocks(benchmark):
+        kept = kept.withColumn(hit, _tester(docs, items, how)(F.col("text").cast("string"))).filter(~F.col(hit)).drop(hit)
     return kept
 
 
