@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_names
+
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 DIMS, REACH, OTHER = 64, 2, 4  # vector size, neighbours to either side, ids before the vocabulary
 
@@ -175,5 +177,10 @@ def scores(docs: DataFrame, model: Model, columns: list[str] | None = None, name
 
 
 def keep_good(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
-    """The rows of docs whose score is at least `least`; columns as they are."""
-    return scores(docs, model, [f"`{c}`" for c in docs.columns], "__score").filter(F.col("__score") >= least).drop("__score")
+    """The rows of docs whose score is at least `least`; columns as they are, whatever they are called.
+
+    Null texts are scored as empty ones; repeated rows are judged each; very long texts are read whole; an
+    empty table gives no rows.
+    """
+    (name,) = free_names(docs, "score")
+    return scores(docs, model, [f"`{c}`" for c in docs.columns], name).filter(F.col(name) >= least).drop(name)
