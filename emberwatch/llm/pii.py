@@ -2,14 +2,20 @@
 
 Personal values (e-mail and IP addresses, card and phone numbers) are found by pattern and are the
 protected entities. A term close to an entity discloses it as far as the corpus says so: of the
-information an entity carries, -ln(documents with it / documents), a term reveals its pointwise mutual
-information with it, ln(documents * documents with the term near the entity / (documents with the term *
-documents with the entity)). Terms that reveal at least `generalise` of it are generalised, those that
+information an entity carries, -ln(settings with it / texts), a term reveals its pointwise mutual
+information with it, ln(texts * settings with the term and the entity / (texts with the term * settings with the
+entity)). Terms that reveal at least `generalise` of it are generalised to their class, those that
 reveal `remove` of it are removed.
 
-Defined cases: null text counts as empty; very long texts are read whole; repeated rows count as
-documents of their own but once per (doc_id, text) in the statistics; null ids are ids like any other; an empty
-table gives no rows; columns other than doc_id and text are not looked at, but kept by sanitised().
+What is counted are distinct texts, and of an entity distinct settings: the words around a mention. Copies would
+otherwise make any of their words disclose what they hold. A setting is known by the least hashes, by SKETCHES
+hash functions, of the pairs of words that follow each other in it, and the number of settings is the least
+number of distinct hashes that any of the functions gives; so near copies, which change a few words, count as one.
+
+Defined cases: null text counts as empty; very long texts are read whole; repeated rows and texts
+count once in the statistics, and get the same spans each; null ids are ids like any other; an empty
+table gives no rows; columns other than doc_id and text are not looked at, but kept by sanitised(),
+whatever they are called.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_names
 
 # Each pattern finds the same as the plain form in its comment, but starts only where a run of its first
 # class starts, or the last match ended, so that long runs aren't tried again from each of their places.
@@ -36,6 +42,9 @@ CARD_WITHIN = r"(?<![0-9])(?:[0-9]{16,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])"
 PHONE_WITHIN = r"\+[0-9](?:[ ().-]*[0-9]){7,14}(?![0-9])"
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT, GENERALISE, REMOVE, SUPPORT = 64, 0.6, 0.9, 2
+SKETCHES = 8
+#: As many rows of terms are broadcast at most; more are joined by sorting.
+FEW = 100_000
 
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 
@@ -142,26 +151,50 @@ def _mention(span: Column, kind: str, reach: int) -> Column:
     return F.struct(_entity(kind, span["value"]).alias("entity"), _near_terms(F.col("text"), span, reach).alias("terms"))
 
 
+def _with_pairs(m: Column) -> Column:
+    """Hashes of the pairs of words that follow each other; one of a single word or of none."""
+    terms = m["terms"]
+    two = F.transform(terms, lambda t, i: F.xxhash64(F.lower(t["value"]), F.lower(F.get(terms, i + 1)["value"])))
+    pairs = F.when(F.size(terms) > 1, F.slice(two, 1, F.size(terms) - 1)).when(F.size(terms) == 1, two).otherwise(F.array(F.lit(0).cast("long")))
+    return F.struct(m["entity"].alias("entity"), terms.alias("terms"), pairs.alias("pairs"))
+
+
+def _with_setting(m: Column) -> Column:
+    """The least hash of the pairs by each hash function."""
+    least = [F.array_min(F.transform(m["pairs"], _each(F.xxhash64, F.lit(k)))) for k in range(SKETCHES)]
+    return F.struct(m["entity"].alias("entity"), m["terms"].alias("terms"), F.array(*least).alias("setting"))
+
+
 def _mentions(spans: DataFrame, reach: int) -> DataFrame:
-    """spans without text, but with the terms near each entity: mentions array<struct<entity, terms>>."""
+    """spans without text, but with mentions array<struct<entity, terms, setting>>: of each entity the terms near it."""
     per_kind = [F.transform(F.col(k), _each(_mention, k, reach)) for k in KINDS]
-    return spans.withColumn("mentions", F.concat(*per_kind)).drop("text")
+    return spans.withColumn("mentions", F.transform(F.transform(F.concat(*per_kind), _with_pairs), _with_setting)).drop("text")
+
+
+def _settings(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, n: distinct settings of each key, at least one."""
+    each = rows.select(*keys, F.posexplode("setting").alias("k", "hash")).distinct()
+    return each.groupBy(*keys, "k").agg(F.count("hash").alias("n")).groupBy(*keys).agg(F.greatest(F.min("n"), F.lit(1)).alias("n"))
 
 
 def disclosures(docs: DataFrame, found: DataFrame, *, generalise: float, remove: float, support: int) -> DataFrame:
     """Rows (entity, term, ratio, action): terms that reveal enough of an entity.
 
-    docs: the corpus; found: what _mentions() gives for it. A pair must be seen in `support` documents,
-    since any word of a single document would disclose all that is in it.
+    docs: the corpus; found: what _mentions() gives for it. A pair must be seen in `support` distinct settings,
+    since any word of a single text, or of its copies, would disclose all that is in it.
     """
-    near = found.select("doc_id", "text_key", F.explode("mentions").alias("m")).select("doc_id", "text_key", "m.entity", F.explode("m.terms").alias("t"))
-    near = near.select("doc_id", "text_key", "entity", F.lower("t.value").alias("term"))
-    pairs = near.distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= support)
-    having = found.select("doc_id", "text_key", F.explode(F.array_distinct(F.col("mentions.entity"))).alias("entity"))
-    entities = having.groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity")).filter(F.col("with_entity") >= support)
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(TERM), F.lit(0)))
-    terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
-    n = F.lit(docs.count()).cast("double")
+    each = found.select(F.explode("mentions").alias("m")).select("m.entity", "m.setting", "m.terms")
+    entities = cut(_settings(each.select("entity", "setting"), "entity").filter(F.col("n") >= support).withColumnRenamed("n", "with_entity"))
+    near = each.join(entities.select("entity"), "entity").select("entity", "setting", F.explode("terms").alias("t"))
+    near = near.select("entity", F.lower("t.value").alias("term"), "setting").distinct()
+    pairs = cut(_settings(near, "entity", "term").filter(F.col("n") >= support).withColumnRenamed("n", "both"))
+    sought = cut(pairs.select("term").distinct())
+    few = sought.limit(FEW + 1).count() <= FEW
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+    terms = docs.select(F.xxhash64(text).alias("text_key"), F.explode(words).alias("term")).join(F.broadcast(sought) if few else sought, "term")
+    terms = terms.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
+    n = F.lit(found.select("text_key").distinct().count()).cast("double")
     ratio = F.log(n * F.col("both") / (F.col("with_term") * F.col("with_entity"))) / F.log(n / F.col("with_entity"))
     out = pairs.join(entities, "entity").join(terms, "term").filter(F.col("with_entity") < n)
     out = out.select("entity", "term", ratio.alias("ratio")).filter(F.col("ratio") >= generalise)
@@ -234,26 +267,36 @@ def span_text(kinds: tuple[str, ...]) -> Column:
     return F.array_join(F.concat(*said), ",")
 
 
+def _class(word: Column) -> Column:
+    """What a generalised word is: a name, an acronym or a plain word, by its capitals."""
+    first = F.substring(word, 1, 1)
+    named = first != F.lower(first)
+    return F.when(named & (F.length(word) > 1) & (word == F.upper(word)), "[ACRONYM]").when(named, "[NAME]").otherwise("[WORD]")
+
+
 def sanitised(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs with text sanitised: base spans become [KIND], generalised terms [TERM], removed
-    terms nothing; rows without a span, and null texts, stay as they are.
+    """The rows of docs with text sanitised: base spans become [KIND], generalised terms their class ([NAME],
+    [ACRONYM] or [WORD]), removed terms nothing; rows without a span, and null texts, stay as they are.
 
-    Only rows with something to replace are joined by id and text; the columns are those of docs.
+    Only rows with something to replace are joined by id and text; the columns are those of docs, whatever they
+    are called. Repeated rows are changed alike; an empty table gives no rows; very long texts are read whole.
     """
+    d, t, m = free_names(docs, "d", "t", "m")
     spans = analyse(docs, **how)
     marks = [F.transform(F.col(k), _each(_mark, k)) for k in KINDS]
     number = lambda s: F.when(F.startswith(s["value"], F.lit("+")), "[PHONE]").otherwise("[CARD]")
     marks.append(F.transform("extra", lambda s: F.struct(s["start"], s["end"], number(s).alias("mark"))))
-    marks.append(F.transform("terms", lambda s: F.struct(s["start"], s["end"], F.when(s["action"] == "remove", "").otherwise("[TERM]").alias("mark"))))
-    changes = spans.select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__t"), F.array_sort(F.concat(*marks)).alias("__m"))
-    changes = changes.filter(F.size("__m") > 0).dropDuplicates(["__d", "__t"])
+    marks.append(F.transform("terms", lambda s: F.struct(s["start"], s["end"], F.when(s["action"] == "remove", "").alias("mark"))))
+    changes = spans.select(F.col("doc_id").alias(d), F.col("text_key").alias(t), F.array_sort(F.concat(*marks)).alias(m))
+    changes = changes.filter(F.size(m) > 0).dropDuplicates([d, t])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = docs.join(changes, docs["doc_id"].cast("long").eqNullSafe(changes["__d"]) & (F.xxhash64(text) == changes["__t"]), "left")
+    joined = docs.join(changes, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(text) == F.col(t)), "left")
 
     def add(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
-        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), s["mark"])
+        mark = F.coalesce(s["mark"], _class(F.substring(text, s["start"] + 1, s["end"] - s["start"])))
+        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), mark)
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, more).otherwise(acc["out"]).alias("out"))
 
-    done = F.aggregate("__m", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return joined.withColumn("text", F.when(F.col("__m").isNull(), F.col("text")).otherwise(done)).drop("__d", "__t", "__m")
+    done = F.aggregate(m, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return joined.withColumn("text", F.when(F.col(m).isNull(), F.col("text")).otherwise(done)).select(*[F.col(f"`{c}`") for c in docs.columns])
