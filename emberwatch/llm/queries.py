@@ -111,17 +111,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 def _license_sql() -> str:
     own = license_scan
     phrases = ", ".join(f"({k}, '{p.split()[0]}', {p.split()}, '{label}')" for k, (p, label) in enumerate(own.PHRASES.items()))
-    sets = ", ".join(f"('{label}', {words}, {len(words)})" for label, words in own.template_words(own.TEMPLATES))
-    half = max(len(t.split()) for all_ in own.TEMPLATES.values() for t in all_)
+    sets = ", ".join(f"('{label}', {words}, {len(words)}, {need}, {step})" for label, words, need, step in own.template_sets(own.TEMPLATES, own.LEAST))
     return f"""
     WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
     p AS (SELECT * FROM (VALUES {phrases}) t(k, head, parts, label)),
     hits AS (SELECT r, i - 1 AS start, label FROM (SELECT r, words, unnest(generate_series(1, len(words))) AS i FROM w) JOIN p ON words[i] = head AND words[i : i + len(parts) - 1] = parts),
     base AS (SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list(DISTINCT label) AS base FROM hits GROUP BY r),
-    t AS (SELECT * FROM (VALUES {sets}) t(label, own, size)),
-    b AS (SELECT r, list_distinct(words[i + 1 : i + {2 * half}]) AS block FROM (SELECT r, words, unnest(range(0, greatest(len(words), 1), {half})) AS i FROM w)),
-    m AS (SELECT r, list(DISTINCT label) AS more, max(len(list_intersect(block, own)) / size) AS best FROM b, t
-          WHERE len(list_intersect(block, own)) >= ceil({own.LEAST} * size - 1e-9) GROUP BY r)
+    t AS (SELECT * FROM (VALUES {sets}) t(label, own, size, need, step)),
+    s AS (SELECT DISTINCT step FROM t),
+    b AS (SELECT r, step, list_distinct(words[i + 1 : i + 2 * step]) AS block FROM (SELECT r, words, step, unnest(range(0, greatest(len(words), 1), step)) AS i FROM w, s)),
+    m AS (SELECT r, list(DISTINCT label) AS more, max(len(list_intersect(block, own)) / size) AS best FROM b JOIN t USING (step)
+          WHERE len(list_intersect(block, own)) >= need GROUP BY r)
     SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,
            CAST(last_word AS BIGINT) AS last_word, coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
            coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(more, [])))), ','), '') AS labels,
