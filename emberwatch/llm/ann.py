@@ -12,13 +12,16 @@ Lists are cut into cells of bounded size, candidates and queries alike, so a lis
 vectors is scanned in many places.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do
-those whose length isn't the usual one, nor null ids; ties go to the smaller id; repeated rows are
+null ids; vectors of another length than the query's have no cosine with it, so each length is searched
+for itself, from the commonest on, and a query's candidates are those of its own length; ties go to the smaller id; repeated rows are
 candidates each, and of repeated query ids the smallest vector asks; rows with the query's id are
 not its candidates; an empty table gives no rows; columns other than id and vector are not looked at.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -39,8 +42,13 @@ def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     return df.filter(~F.coalesce(bad, F.lit(False)) & F.exists(v, lambda x: x != 0.0))
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """v by a power of two that brings the largest component close to one: exact, and no product overflows or vanishes."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
-    v = v / np.abs(v).max(axis=1, keepdims=True)
+    v = _scaled(v)
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
@@ -105,10 +113,10 @@ def _cell(dims: int, k: int):
         mine, cand = ids[asks], ids[~asks]
         out = []
         if len(cand):
-            raw, wide = rows[~asks], turned[~asks].T
+            raw, wide = _scaled(rows[~asks]), turned[~asks].T
             columns = [np.ascontiguousarray(wide[a:b]) for a, b in zip(starts, ends, strict=True)]
             norms = np.sqrt((raw * raw).sum(axis=1))
-            for q, v, r in zip(mine, rows[asks], turned[asks], strict=True):
+            for q, v, r in zip(mine, _scaled(rows[asks]), turned[asks], strict=True):
                 at = scan(r, columns, ends, k + int((cand == q).sum()))
                 at = at[cand[at] != q]
                 score = (raw[at] * v).sum(axis=1) / (norms[at] * np.sqrt((v * v).sum()))
@@ -119,25 +127,28 @@ def _cell(dims: int, k: int):
     return run
 
 
-def search(vectors: DataFrame, queries: Column, *, key: str = "vec_id", vector: str = "embedding", k: int = 5, per_list: int = 200, most_lists: int = 2048, target: float = 0.99, seed: int = 11) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, *, key: str = "vec_id", vector: str = "embedding", k: int = 5, lists: int | None = None, target: float = 0.95, seed: int = 11) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found of each row where `queries` (over vec_id) holds.
 
-    per_list: vectors a list should hold; most_lists bounds the centroids; SAMPLE_VALUES bounds the
-    components of the sample that centroids and probes are fitted on, chosen by a hash of the id.
+    lists: how many there are, by default the square root of the number of vectors, as far as the sample has eight
+    vectors for each; target: the recall within the sample that the number of probes is fitted for; SAMPLE_VALUES
+    bounds the components of the sample that centroids and probes are fitted on, chosen by a hash of the id.
     """
-    spark = vectors.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
     own = usable(vectors, key, vector)
-    sizes = own.groupBy(F.size("v").alias("dims")).count().orderBy(F.desc("count"), "dims").limit(1).collect()
-    if not sizes:
-        return spark.createDataFrame([], schema)
-    dims, n = sizes[0]["dims"], sizes[0]["count"]
-    own = own.filter(F.size("v") == dims)
+    out = None
+    for row in own.groupBy(F.size("v").alias("dims")).count().orderBy(F.desc("count"), "dims").collect():  # as a rule there is one
+        one = _search(own.filter(F.size("v") == row["dims"]), queries, row["dims"], row["count"], k, lists, target, seed)
+        out = one if out is None else out.unionByName(one)
+    return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double") if out is None else out
+
+
+def _search(own: DataFrame, queries: Column, dims: int, n: int, k: int, lists: int | None, target: float, seed: int) -> DataFrame:
+    spark = own.sparkSession
     share = min(1.0, SAMPLE_VALUES / dims / n)
     sample = own.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_003)) < int(1_000_003 * share) + 1).select("vec_id", "v").toPandas().sort_values("vec_id")
     if not len(sample):
         sample = own.orderBy("vec_id").limit(1000).select("vec_id", "v").toPandas()
-    rotation, centres, probes = fit(np.stack(sample["v"].to_numpy()).astype(float), min(most_lists, max(1, n // per_list)), k, target, np.random.default_rng(seed))
+    rotation, centres, probes = fit(np.stack(sample["v"].to_numpy()).astype(float), lists or min(max(1, len(sample) // 8), math.isqrt(n)), k, target, np.random.default_rng(seed))
     sent = spark.sparkContext.broadcast((rotation, centres))
 
     def assign(batches):
@@ -168,7 +179,7 @@ def search(vectors: DataFrame, queries: Column, *, key: str = "vec_id", vector:
     for row in asked.groupBy("list").count().collect():
         wanted[row["list"]] = row["count"]
     plan = spark.createDataFrame([(i, int(-(-counts[i] // CELL)) or 1, int(-(-wanted[i] // QUERIES_PER_CELL))) for i in range(len(centres))], "list int, c int, q int")
-    plan = F.broadcast(plan)  # a row per list, most_lists at most
+    plan = F.broadcast(plan)  # a row per list, of which the sample bounds the number
     c, q = F.col("c"), F.col("q")
     sides = []
     for rows, is_query in ((dealt, False), (asked, True)):
