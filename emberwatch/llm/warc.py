@@ -3,7 +3,10 @@
 Every capture is three records, a request, a response (or a revisit of an equal payload) and metadata;
 the first and last name the middle one as concurrent. Archives are gzipped text files written by
 Spark's own writer, a record per row with WARC's record end as line separator, so they can lie in any store
-that Spark reaches. Reading takes records by their Content-Length.
+that Spark reaches. Reading takes records by their Content-Length, a slice at a time.
+
+Payloads are written by classes of size, each class with as many records a file as keep it below FILE_BYTES, unless
+one record alone is larger; one of more than 2 GB can't be read back, since a row is the least that Spark reads.
 
 Of the rows with equal payloads the one with the smallest page_id (then the smallest url) is the
 response. Payloads of fewer than `least_bytes` bytes are all responses.
@@ -18,7 +21,9 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,7 +34,10 @@ from .common import cut
 CRLF = "\r\n"
 HTTP = CRLF.join(["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", "Content-Length: "])
 DATE = "1970-01-01T00:00:00Z"
-RECORDS_PER_FILE = 6000
+#: Bytes of payload a file has at most, and what payloads of the smallest class have; each further class is 16 times larger.
+FILE_BYTES, SMALL = 256 << 20, 64 << 10
+#: Bytes of records that a reader makes rows of at a time.
+SLICE = 16 << 20
 
 
 def base32_sha1(data: Column) -> Column:
@@ -49,15 +57,16 @@ def _first(*more: str) -> Column:
     return F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", F.col("url").isNull().alias("no_url"), "url", *more))
 
 
-def captures(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+def captures(pages: DataFrame, light: DataFrame, least_bytes: int = 0) -> DataFrame:
     """One row per capture: page_id, url, digest, bytes, copy, kind (response or revisit), first_id (page_id
-    of the response), html (null for revisits). Payload texts are moved once per distinct payload."""
+    of the response), html (null for revisits). light: _payloads(pages) without html; payload texts are
+    moved once per distinct payload."""
     rows = _payloads(pages)
-    small, rows = rows.filter(F.col("bytes") < least_bytes), rows.filter(F.col("bytes") >= least_bytes)
+    small, rows, light = rows.filter(F.col("bytes") < least_bytes), rows.filter(F.col("bytes") >= least_bytes), light.filter(F.col("bytes") >= least_bytes)
     whole = rows.groupBy("digest", "bytes").agg(_first("html").alias("f"))
     responses = whole.select("f.page_id", "f.url", "digest", "bytes", F.lit(0).alias("copy"), F.lit("response").alias("kind"), F.col("f.page_id").alias("first_id"), "f.html")
-    light = rows.groupBy("page_id", "url", "digest", "bytes").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    first = rows.groupBy("digest").agg(_first().alias("f")).select("digest", F.col("f.page_id").alias("first_id"), F.col("f.url").alias("first_url"))
+    first = light.groupBy("digest").agg(_first().alias("f")).select("digest", F.col("f.page_id").alias("first_id"), F.col("f.url").alias("first_url"))
+    light = light.groupBy("page_id", "url", "digest", "bytes").agg(F.count(F.lit(1)).cast("int").alias("n"))
     is_first = F.col("page_id").eqNullSafe(F.col("first_id")) & F.col("url").eqNullSafe(F.col("first_url"))
     others = light.join(first, "digest").withColumn("from", is_first.cast("int")).filter(F.col("from") < F.col("n"))
     others = others.withColumn("copy", F.explode(F.sequence(F.col("from"), F.col("n") - 1)))
@@ -108,32 +117,45 @@ def records(found: DataFrame) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
-    lines = records(captures(pages, least_bytes))
-    lines.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
-
-
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (names in lower case) and block of each record."""
-    at = 0
-    while (head := data.find(b"\r\n\r\n", at)) >= 0:
-        lines = data[at:head].decode("utf-8", "replace").split(CRLF)
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
-        end = head + 4 + int(fields["content-length"])
-        yield fields, data[head + 4 : end]
-        at = end + 4
+    """Archives pages under path, in a folder per class of size that there is."""
+    light = cut(_payloads(pages).drop("html"))
+    size = F.when(F.col("bytes") <= SMALL, 0).otherwise(F.ceil(F.log2(F.col("bytes") / SMALL) / 4)).cast("int")
+    classes = light.groupBy(size.alias("size")).agg(F.max("bytes").alias("bytes")).collect() or [(0, 0)]  # ten at most
+    for k, most in classes:
+        lo, hi = (SMALL * 16 ** (k - 1) if k else -1), SMALL * 16**k
+        some = F.octet_length(F.coalesce(F.col("html").cast("string"), F.lit("")))
+        own = pages if len(classes) == 1 else pages.filter((some > lo) & (some <= hi))
+        lines = records(captures(own, light.filter((F.col("bytes") > lo) & (F.col("bytes") <= hi)), least_bytes))
+        per_file = max(1, FILE_BYTES // max(most, SMALL))
+        lines.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(f"{path}/size={k}")
+
+
+def parse(data: bytes | BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields (names in lower case) and block of each record of a file, or of its bytes."""
+    stream = io.BufferedReader(io.BytesIO(data) if isinstance(data, bytes) else data)
+    while line := stream.readline():
+        lines = [line]
+        while (line := stream.readline()) not in (b"\r\n", b""):
+            lines.append(line)
+        if not lines[0].startswith(b"WARC/"):
+            raise ValueError("no record where one should begin")
+        fields = {k.strip().lower(): v.strip() for k, _, v in (x.decode("utf-8", "replace").partition(":") for x in lines[1:])}
+        yield fields, stream.read(int(fields["content-length"]))
+        stream.read(4)
 
 
 def read(spark: SparkSession, path: str, *, with_payload: bool = False) -> DataFrame:
     """Rows of all records: kind, record_id, concurrent_to, refers_to, target, page_id (of metadata),
     payload_bytes, payload_digest (of what was read; of revisits as they state it), payload if asked for."""
 
+    def framed(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]).astype({"page_id": "Int64", "payload_bytes": "Int64"})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for data in pdf["content"]:
-                rows = []
-                for f, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+                rows, held = [], 0
+                for f, block in parse(gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else data):
                     kind, page, n, digest, payload = f["warc-type"], None, None, None, None
                     if kind in ("response", "revisit"):
                         head, _, payload = block.partition(b"\r\n\r\n")
@@ -145,11 +167,14 @@ def read(spark: SparkSession, path: str, *, with_payload: bool = False) -> DataF
                         said = block.decode("utf-8", "replace").partition("page-id:")[2].split(CRLF)[0].strip()
                         page = int(said) if said.lstrip("-").isdigit() else None
                     rows.append((kind, f["warc-record-id"], f.get("warc-concurrent-to"), f.get("warc-refers-to"), f.get("warc-target-uri"), page, n, digest, *([payload] if with_payload else [])))
-                out = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-                yield out.astype({"page_id": "Int64", "payload_bytes": "Int64"})
+                    held += 1024 + len(block)
+                    if held > SLICE:
+                        yield framed(rows)
+                        rows, held = [], 0
+                yield framed(rows)
 
     schema = "kind string, record_id string, concurrent_to string, refers_to string, target string, page_id long, payload_bytes long, payload_digest string" + ", payload binary" * with_payload
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInPandas(run, schema)
 
 
 def assemble(found: DataFrame) -> DataFrame:
