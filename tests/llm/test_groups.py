@@ -97,9 +97,23 @@ def test_keep_one(spark):
     texts = [" ".join(base), " ".join(near), " ".join(far), " ".join(base), None, ""]
     kept = simhash.keep_one(docs(spark, texts, [10, 4, 6, 11, 12, None]).withColumn("lang", F.lit("x")))
     assert kept.columns == ["doc_id", "text", "lang"]
-    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect() if r["doc_id"] is not None) == [(False, 4), (False, 6), (False, 12)] and kept.filter("doc_id is null").count() == 1
+    assert sorted(r["doc_id"] for r in kept.collect()) == [4, 6, 12]  # the row without an id is a copy of 12
     twice = docs(spark, [texts[0], texts[0]], [1, 1])
     assert simhash.keep_one(twice).count() == 1
+    shared = docs(spark, [texts[0], texts[0], texts[2]], [1, 2, 2])  # a row that shares only its id with a copy
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(shared).collect()) == sorted([(1, texts[0]), (2, texts[2])])
+    other = docs(spark, [texts[0]] * 3, [1, 1, 2]).withColumn("d", F.monotonically_increasing_id())
+    assert [r["doc_id"] for r in simhash.keep_one(other).collect()] == [1]
+    assert simhash.keep_one(twice.filter("false")).count() == 0
+
+
+def test_keys_follow_the_number_of_fingerprints():
+    for n in (10, 10_000, 10_000_000):
+        keys = simhash.near_keys(n)
+        width = len(keys[0])
+        assert n / 2**width <= 8 and all(len(set(k)) == width for k in keys)
+        agree = 1 - np.arccos(2 * 0.8 / 1.8) / np.pi
+        assert (1 - agree**width) ** len(keys) <= 1.1e-3
 
 
 def test_components(spark):

@@ -1,10 +1,9 @@
-import random
-
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from emberwatch.llm import decontam, quality, queries, simhash
+from emberwatch.llm import decontam, packing, quality, queries
 
 DATA = "/root/testdata/sf0.001"
 
@@ -16,6 +15,11 @@ def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_filter", "near_dedup", "decontaminate", "remove_pii", "pack"]
 
 
+def shingles(text, n=5):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
+
+
 @pytest.fixture(scope="module")
 def stages(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("stages"))
@@ -39,23 +43,18 @@ def test_each_stage_by_brute_force(spark, stages):
     known = {w: k + quality.OTHER for k, w in enumerate(model.words)}
     scores = quality.score_texts(start["text"].tolist(), model, known)
     assert set(good["doc_id"]) == set(start["doc_id"][scores >= 0.3])
-    fps = [int.from_bytes(simhash.fingerprint(t, 5, 128)) for t in good["text"]]
-    keys = simhash.NEAR["keys"]
-
-    def bits(f, at):
-        return tuple(f >> (127 - b) & 1 for b in at)
-
-    up = {i: i for i in good["doc_id"]}
+    sets = [shingles(t) for t in good["text"]]
+    ids = good["doc_id"].tolist()
+    up = {i: i for i in ids}
 
     def find(x):
         while up[x] != x:
             x = up[x]
         return x
 
-    ids = good["doc_id"].tolist()
-    for i in range(len(fps)):
+    for i in range(len(sets)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= simhash.NEAR["most"] and any(bits(fps[i], k) == bits(fps[j], k) for k in keys):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 a, b = find(ids[i]), find(ids[j])
                 up[max(a, b)] = min(a, b)
     assert set(single["doc_id"]) == {find(i) for i in ids}
@@ -71,24 +70,40 @@ def test_run_over_a_small_folder(spark):
     assert rows.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(rows.columns)
 
 
-def test_near_copies_are_found(spark):
-    """Recall over pairs of a five-word similarity of 0.8 or more."""
-    rng = random.Random(11)
-    words = [f"w{i}" for i in range(5000)]
-
-    def shingles(ws):
-        return {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
-
-    rows, pairs = [], []
-    for k in range(150):
-        own = [rng.choice(words) for _ in range(rng.randint(60, 300))]
-        other = list(own)
-        for _ in range(max(1, len(own) // rng.choice([60, 80, 120]))):
-            other[rng.randrange(len(other))] = rng.choice(words)
-        a, b = shingles(own), shingles(other)
-        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(other))]
-        if len(a & b) / len(a | b) >= 0.8:
-            pairs.append((2 * k, 2 * k + 1))
-    got = {r["doc_id"]: r["component_id"] for r in simhash.simhash_groups(spark.createDataFrame(rows, "doc_id long, text string"), **simhash.NEAR).collect()}
-    assert len(pairs) > 60 and sum(got[a] == got[b] for a, b in pairs) / len(pairs) >= 0.93
-    assert all(got[2 * k] in (2 * k, 2 * k + 1) and got[2 * k + 1] in (2 * k, 2 * k + 1) for k in range(150))
+def test_sequences_are_balanced(spark, stages):
+    """The documents and the attention that a sequence may have select sequences in the pipeline, and cost few more."""
+    rows, limits = stages[-1].toPandas(), packing.BALANCED
+    own = rows.assign(cost=rows["length"] ** 2).groupby("sequence_id").agg(n=("length", "size"), tokens=("length", "sum"), cost=("cost", "sum"))
+    assert (own["n"] <= limits.documents).all() and (own["tokens"] <= 2048).all()
+    assert ((own["cost"] <= limits.attention) | (own["n"] == 1)).all()
+    plain = packing.pack(stages[-1].drop("sequence_id", "offset")).toPandas()
+    most = plain.assign(cost=plain["length"] ** 2).groupby("sequence_id").agg(n=("length", "size"), cost=("cost", "sum"))
+    assert ((most["n"] > limits.documents) | ((most["cost"] > limits.attention) & (most["n"] > 1))).any()
+    assert len(own) <= 1.05 * len(most) + 2
+
+
+NAMES = ["d", "t", "n", "m", "__d", "__t", "__m", "hit", "__hit0", "score", "__score", "shard", "key", "nid", "fp", "terms", "words", "A.b c"]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").limit(40).withColumns({c: F.lit(c) for c in NAMES})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, rows, DATA)
+        assert out.columns == rows.columns and all(r[c] == c for r in out.select(*[f"`{c}`" for c in NAMES]).collect() for c in r.asDict()), name
+        assert stage(spark, rows.filter("false"), DATA).count() == 0
+    assert corpus_pipeline.pack(spark, rows, DATA).count() >= 40
+
+
+def test_null_and_repeated_rows_in_every_stage(spark):
+    """Null ids and texts, empty texts and repeated rows go through every stage; none but copies is lost."""
+    long = "word " * 30_000
+    text = "The quick harbour master wrote long letters about ships, weather and trade to friends in distant towns."
+    rows = spark.createDataFrame([(1, None), (None, None), (2, ""), (3, text), (3, text), (None, text), (4, long)], "doc_id long, text string")
+    rows = rows.withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("s"), "n_chars": F.lit(0).cast("long")})
+    for name, stage in corpus_pipeline.STAGES:
+        if name == "near_dedup":
+            assert sorted(r["doc_id"] for r in stage(spark, rows, DATA).collect()) == [1, 3, 4]
+        elif name != "quality_filter":
+            assert stage(spark, rows, DATA).count() >= 7, name
+        else:
+            assert stage(spark, rows, DATA).count() <= 7

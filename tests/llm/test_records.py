@@ -31,6 +31,19 @@ def test_ids_like_the_tokenizers(tokenizer):
         assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids, text
 
 
+def test_ids_of_every_code_point(tokenizer):
+    import public_tokenizers
+
+    own = packing._Ids(public_tokenizers.path("word_bpe_49k.json"))
+    points = [c for c in range(0x20000) if not 0xD800 <= c < 0xE000] + list(range(0xE0000, 0xE0200))
+    for k in range(0, len(points), 40_000):
+        texts = [f"x{chr(c)}y" for c in points[k : k + 40_000]]
+        want = [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert list(own.texts(texts, b"")) == want
+    newer = "\ua7cb\ua7dc\u1c89\U00010d50"
+    assert all(own.split(f"x{c}") is None for c in newer) and own.split("Éñß ok") is not None
+
+
 def test_pieces_round_trip(spark, tokenizer):
     texts = [None, "", "hello world", "long " * 5000]
     df = spark.createDataFrame(list(enumerate(texts)) + [(2, "hello world")], "doc_id long, text string").withColumn("shard", F.lit("x"))
@@ -71,6 +84,29 @@ def test_best_fit_keeps_every_limit(by, limits):
         packing.best_fit(np.array([3000]), own)
 
 
+@pytest.mark.parametrize("by", ["norm", "dot"])
+def test_best_fit_against_all_open_bins(by):
+    """Every choice is the best one over all bins, by plain loops."""
+    rng = np.random.default_rng(9)
+    limits = packing.Limits(by=by, documents=5, attention=1_500_000, weights=(1.0, 0.7, 0.4))
+    lengths = np.sort(rng.integers(1, 1200, 500))[::-1]
+    w = np.array(limits.weights) / np.array([limits.tokens, limits.documents, limits.attention])
+    left, want = [], []
+    for n in lengths.tolist():
+        demand = np.array([n, 1, n * n])
+        best = None
+        for b, own in enumerate(left):
+            if (own >= demand).all():
+                score = -float((w * own) @ (w * demand)) if by == "dot" else float(((w * (own - demand)) ** 2).sum())
+                if best is None or score < best[0]:
+                    best = (score, b)
+        if best is None:
+            left.append(np.array([limits.tokens, limits.documents, limits.attention]))
+        want.append(len(left) - 1 if best is None else best[1])
+        left[want[-1]] = left[want[-1]] - demand
+    assert packing.best_fit(lengths, limits)[0].tolist() == want
+
+
 def test_best_fit_takes_the_fullest_bin():
     bins, _ = packing.best_fit(np.array([1500, 1000, 900, 500]), packing.Limits())
     assert bins.tolist() == [0, 1, 1, 0]
@@ -130,7 +166,7 @@ def test_ann_recall_and_scores(spark, monkeypatch):
     v[1000:1400] = v[1000]  # a hot vector
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").withColumn("list", F.lit(1))
     got = {}
-    for r in ann.search(df, F.col("vec_id") % 50 == 0, per_list=100).collect():
+    for r in ann.search(df, F.col("vec_id") % 50 == 0, lists=30).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     want = brute_near(v, np.arange(3000), range(0, 3000, 50))
     assert set(got) == set(want)
@@ -152,6 +188,9 @@ def test_ann_edge_cases(spark):
     assert [(q, r, x) for q, r, x, _ in got] == [(0, 1, 50), (0, 2, 8), (50, 1, 0), (50, 2, 8)]
     assert got[0][3] == 1.0
     assert ann.search(df.filter("false"), F.col("vec_id") % 50 == 0).count() == 0
+    far = spark.createDataFrame([(0, [1e200, 1e200]), (1, [1e-200, 0.0]), (2, [1e300, -1e300]), (50, [3.0, 4.0, 0.0]), (51, [3.0, 4.0, 0.0])], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in ann.search(far, F.col("vec_id") % 50 == 0).collect()}
+    assert got.keys() == {(0, 1), (0, 2), (50, 51)} and abs(got[0, 1] - 0.5**0.5) < 1e-12 and abs(got[0, 2]) < 1e-12 and abs(got[50, 51] - 1) < 1e-12
 
 
 def test_scan_finds_what_a_full_scan_finds():
@@ -186,6 +225,9 @@ def test_warc(spark):
     assert all((r["main"]["refers_to"] is None) == (r["main"]["kind"] == "response") for r in got)
     names = {r["record_id"] for r in got}
     assert len(names) == len(got) and all(r["main"]["refers_to"] in names for r in got if r["main"]["refers_to"])
+    sizes = spark.createDataFrame([(k, "u", "x" * n) for k, n in enumerate([10, 70_000, 70_001, 1_200_000])], "page_id long, url string, html string")
+    by_size = scratch(spark, "test-warc")
+    assert sorted(r["main"]["payload_bytes"] for r in warc.round_trip(sizes, by_size).collect()) == [10, 70_000, 70_001, 1_200_000]
     with_payload = warc.read(spark, path, with_payload=True).filter("kind = 'response'").collect()
     assert {bytes(r["payload"]) for r in with_payload} == set(groups)
     small = warc.round_trip(df, scratch(spark, "test-warc"), least_bytes=17).collect()

@@ -1,9 +1,12 @@
+import collections
 import hashlib
+import math
 import random
 import re
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from emberwatch.llm import common, decontam, langid, license_scan, pii, quality
@@ -48,52 +51,87 @@ def test_long_runs_are_read_in_one_go(spark):
     assert pii.analyse(docs(spark, texts)).count() == 5
 
 
-def test_pii_disclosure_against_brute_force(spark):
+def brute_disclosures(texts, generalise, remove, support=2, reach=64):
+    """Spans (text, start, end, action) by plain loops; settings are told apart by xxhash as Spark seeds it."""
     import math
 
-    rng = random.Random(2)
-    common_words = ["the", "and", "office", "meeting"]
-    texts = []
-    for k in range(60):
-        who = f"p{k % 6}@mail.example"
-        near = [f"nick{'abcdef'[k % 6]}"] * (k % 6 < 3) + rng.choices(common_words, k=4)
-        texts.append(" ".join([*near[:3], who, *near[3:]]) if k % 2 else " ".join(rng.choices(common_words, k=5) + near))
-    found = pii.analyse(docs(spark, texts), generalise=0.5, remove=0.95).collect()
-    n, term = len(texts), re.compile(r"[^\W\d_]{3,}")
-    with_term, with_entity, both, spots = {}, {}, {}, []
-    for d, t in enumerate(texts):
+    def h(*parts):
+        out = 42
+        for x in parts:
+            if x is not None:
+                out = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else x, out & (2**64 - 1))
+        return out - 2**64 if out >= 2**63 else out
+
+    as_int = lambda v: (v & 0xFFFFFFFF).to_bytes(4, "little")
+    as_long = lambda v: (v & (2**64 - 1)).to_bytes(8, "little")
+    term = re.compile(r"[^\W\d_]{3,}")
+    distinct = sorted(set(texts))
+    with_term, settings, near = {}, {}, {}
+    for t in distinct:
         for w in set(term.findall(t.lower())):
             with_term[w] = with_term.get(w, 0) + 1
-        pairs = set()
         for m in re.finditer(KINDS[0][1], t):
             a, b = m.span()
-            lo, hi = max(0, a - 64), min(len(t), b + 64)
+            lo, hi = max(0, a - reach), min(len(t), b + reach)
             own = [x for x in term.finditer(t) if (lo == 0 or x.start() > lo or not t[lo - 1].isalpha()) and x.start() >= lo and (x.end() <= a or x.start() >= b) and x.end() <= hi]
-            spots += [(d, m[0], x.start(), x.end(), x[0].lower()) for x in own]
-            pairs |= {(m[0], x[0].lower()) for x in own}
-        for e in {p[0] for p in pairs} | {m[0] for m in re.finditer(KINDS[0][1], t)}:
-            with_entity[e] = with_entity.get(e, 0) + 1
-        for p in pairs:
-            both[p] = both.get(p, 0) + 1
-    want = set()
-    for d, e, a, b, w in spots:
-        if both[e, w] >= 2:
-            ratio = math.log(n * both[e, w] / (with_term[w] * with_entity[e])) / math.log(n / with_entity[e])
-            if ratio >= 0.5:
-                want.add((d, a, b, "remove" if ratio >= 0.95 else "generalise"))
-    got = {(r["doc_id"], t["start"], t["end"], t["action"]) for r in found for t in r["terms"]}
-    assert got == want and {"nick"} == {texts[d][a : a + 4] for d, a, b, _ in want}
+            words = [x[0].lower() for x in own]
+            pairs = [h(x, y) for x, y in zip(words, words[1:], strict=False)] if len(words) > 1 else [h(words[0])] if words else [0]
+            setting = tuple(min(h(as_long(p), as_int(k)) for p in pairs) for k in range(pii.SKETCHES))
+            settings.setdefault(m[0], set()).add(setting)
+            for w in words:
+                near.setdefault((m[0], w), set()).add(setting)
+    number = lambda own: min(len({s[k] for s in own}) for k in range(pii.SKETCHES))
+    want, n = set(), len(distinct)
+    for (e, w), own in near.items():
+        both, with_entity = number(own), number(settings[e])
+        if both >= support and with_entity < n:
+            ratio = math.log(n * both / (with_term[w] * with_entity)) / math.log(n / with_entity)
+            if ratio >= generalise:
+                want |= {(d, x.start(), x.end(), "remove" if ratio >= remove else "generalise") for d, t in enumerate(texts) if e in re.findall(KINDS[0][1].replace("(", "(?:"), t) for x in term.finditer(t) if x[0].lower() == w}
+    return want
+
+
+def test_pii_disclosure_against_brute_force(spark):
+    """Planted nicknames that stand with their address in different settings are found; other words aren't."""
+    rng = random.Random(2)
+    common_words = ["the", "and", "office", "meeting", "report", "harbour", "table", "river"]
+    texts = []
+    for k in range(80):
+        who = f"p{k % 6}@mail.example"
+        near = [f"nick{'abcdef'[k % 6]}"] * (k % 6 < 3) + rng.choices(common_words, k=6)
+        texts.append(" ".join([*near[:4], who, *near[4:]]) if k % 2 else " ".join(rng.choices(common_words, k=5) + near))
+    texts += texts[:20]
+    got = {(r["doc_id"], t["start"], t["end"], t["action"]) for r in pii.analyse(docs(spark, texts), generalise=0.5, remove=0.95).collect() for t in r["terms"]}
+    assert {"nickb"} == {texts[d][a:b] for d, a, b, _ in got}
+    assert got == brute_disclosures(texts, 0.5, 0.95)
+
+
+def test_copies_alone_disclose_nothing(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklm", k=6))
+    texts = []
+    for k in range(30):
+        own = [word() for _ in range(60)]
+        own[30] = f"q{k}@mail.example"
+        near = list(own)
+        near[rng.choice([25, 29, 32, 50])] = word()
+        texts += [" ".join(own)] * 3 + [" ".join(near)]
+    found = pii.analyse(docs(spark, texts)).collect()
+    assert len(found) == len(texts) and not any(r["terms"] for r in found)
 
 
 def test_disclosing_terms_far_from_the_entity(spark):
     """A term that discloses an entity is found wherever the document repeats it, and only where the entity is held."""
     far = "and so on " * 40
-    texts = [f"write to nora@mail.example called Zebulon today {far} zebulon {far} ZEBULON end" for _ in range(3)] + [f"{far} nothing {k}" for k in range(40)] + [f"only zebulon {far}"]
+    ways = ["write to nora@mail.example called Zebulon today", "our friend Zebulon answers at nora@mail.example soon", "ask (nora@mail.example) whether Zebulon came back"]
+    texts = [f"{w} {far} zebulon {far} ZEBULON end" for w in ways] + [f"{far} nothing {k}" for k in range(40)] + [f"only zebulon {far}"]
     got = {r["doc_id"]: r["text"] for r in pii.sanitised(docs(spark, texts)).collect()}
     assert all("zebulon" not in got[k].lower() and "[EMAIL]" in got[k] for k in range(3))
     assert got[43] == texts[43]
     spots = {r["doc_id"]: [(t["start"], t["end"]) for t in r["terms"]] for r in pii.analyse(docs(spark, texts)).collect()}
     assert {m.span() for m in re.finditer("zebulon", texts[0].lower())} <= set(spots[0]) and not spots[43]
+    general = {r["doc_id"]: r["text"] for r in pii.sanitised(docs(spark, texts), remove=9.0).collect()}
+    assert "called [NAME] today" in general[0] and " [WORD] " in general[0] and "[ACRONYM] end" in general[0]
 
 
 def test_sanitised(spark):
@@ -111,16 +149,20 @@ def test_numbers_inside_matches_that_are_too_long(spark):
     assert {r["doc_id"]: r["text"] for r in pii.sanitised(docs(spark, texts)).collect()} == {0: "x [CARD] [CARD] y", 1: "[PHONE]", 2: texts[2], 3: "[CARD] 4111111111111112"}
 
 
+WORD, LOWER = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+
+
 def test_license_scan(spark):
-    half = max(len(t.split()) for own in license_scan.TEMPLATES.values() for t in own)
+    """Against plain loops over all blocks and templates."""
     rng = random.Random(6)
-    pool = sorted({w for _, own in license_scan.template_words(license_scan.TEMPLATES) for w in own}) + ["filler"] * 60
-    texts = ["MIT license mit License GENERAL public license", None, "", "İ K mit lİcense apache\nlicense", "x " * 900 + "released under the mit license"]
-    texts += [" ".join(rng.choices(pool, k=rng.randint(0, 150))) for _ in range(60)]
-    texts += [" ".join([*rng.choices(pool, k=20), *t.split()[: rng.randint(3, 40)]]) for own in license_scan.TEMPLATES.values() for t in own]
-    word, lower = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
-    for r in license_scan.scan(docs(spark, texts, words="q", block=1)).collect():
-        w = word.findall((texts[r["doc_id"]] or "").translate(lower))
+    whole = [t for own in license_scan.TEMPLATES.values() for t in own]
+    pool = sorted({w for t in whole for w in WORD.findall(t.translate(LOWER))}) + ["filler"] * 60
+    texts = ["MIT license mit License GENERAL public license", None, "", "İ K mit lİcense apache\nlicense", "x " * 900 + "released under the mit license"]
+    texts += [" ".join(rng.choices(pool, k=rng.randint(0, 400))) for _ in range(40)]
+    texts += [" ".join([*rng.choices(pool, k=20), *[w for w in t.split() if rng.random() < keep]]) for t in whole for keep in (1, 0.95, 0.85, 0.7)]
+    texts.append(texts[-1])
+    for r in license_scan.scan(docs(spark, texts, words="q", block=1, step=2, seen=3)).collect():
+        w = WORD.findall((texts[r["doc_id"]] or "").translate(LOWER))
         starts, labels = [], set()
         for phrase, label in license_scan.PHRASES.items():
             p = phrase.split()
@@ -129,16 +171,39 @@ def test_license_scan(spark):
             labels |= {label} if own else set()
         assert (r["n_words"], sorted(r["starts"]), r["base"]) == (len(w), sorted(starts), sorted(labels))
         best = 1.0 if labels else 0.0
-        for a in range(0, max(1, len(w)), half):
-            block = set(w[a : a + 2 * half])
-            for label, own in license_scan.template_words(license_scan.TEMPLATES):
-                if (share := len(block & set(own)) / len(own)) >= 0.8:
-                    labels.add(label)
-                    best = max(best, share)
+        for label, own in license_scan.TEMPLATES.items():
+            for text in own:
+                parts = WORD.findall(text.translate(LOWER))
+                step = max(8, 2 ** math.ceil(math.log2(len(parts))))
+                for a in range(0, max(1, len(w)), step):
+                    share = len(set(w[a : a + 2 * step]) & set(parts)) / len(set(parts))
+                    if share >= (0.8 if len(set(parts)) >= 15 else 1):
+                        labels.add(label)
+                        best = max(best, share)
         assert r["labels"] == sorted(labels) and abs(r["score"] - best) < 1e-9
     assert license_scan.scan(docs(spark, ["a"]).filter("false")).count() == 0
 
 
+def test_licenses_by_construction(spark):
+    """Labels known from how the texts were made, not from the templates' definition."""
+    rng = random.Random(12)
+    filler = lambda n: " ".join(rng.choices("we went over the hill and saw that this year a new house is in the town with all of its doors open for use".split(), k=n))
+    rows = []
+    for label, own in license_scan.TEMPLATES.items():
+        for t in own:
+            words = t.split()
+            rows.append((f"{filler(300)} {' '.join(words)} {filler(300)}", {label}))
+            rows.append(("/* " + "\n * ".join(words) + " */", {label}))
+            if len(words) > 30:  # a few words changed
+                rows.append((" ".join(w if rng.random() > 0.05 else "changed" for w in words), {label}))
+    nothing = ["The album was released in May; the band plays under a broad license deal.", "Released under the BSD license", "All rights reserved. No part may be copied without permission.", filler(2000)]
+    nothing += ["This software is provided for your use. The source code may be found in the distribution, and the terms of use are subject to change without notice.", "He had a license to drive, and the public was free to use the road for any purpose."]
+    rows += [(t, set()) for t in nothing] + [("released under the Apache license", {"apache"}), ("Released under the MIT license", {"mit"})]
+    got = {r["doc_id"]: set(r["labels"]) for r in license_scan.scan(docs(spark, [t for t, _ in rows])).collect()}
+    for k, (text, want) in enumerate(rows):
+        assert got[k] == want, (text[:200], got[k], want)
+
+
 LANGUAGES = {"aa": "ba be bi bo bu".split(), "bb": "xra xre xri xro".split(), "cc": "öl äl ül ßl".split()}
 
 
@@ -161,6 +226,38 @@ def test_langid(spark):
     assert nothing("ba") == ("und", 0.0)
 
 
+def test_langid_by_sets(spark):
+    """Against plain sets of n-grams per language; n-grams are letters with a blank at either end of a word."""
+    rng = random.Random(18)
+    rows = [(i, prose(rng, lang := rng.choice(list(LANGUAGES)), rng.randint(3, 60)), lang) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, learn=F.lit(True), slots_log2=20)
+
+    def grams(text):
+        return [w[i : i + n] for x in re.findall(r"[^\W\d_]+", text.lower()) for w in [f" {x} "] for n in langid.SIZES for i in range(len(w) - n + 1)]
+
+    known = {}
+    for lang in LANGUAGES:
+        own = [set(grams(t)) for _, t, x in rows if x == lang]
+        counts = collections.Counter(g for s in own for g in s)
+        known[lang] = {g for g, n in counts.items() if n >= max(1, 0.02 * len(own))}
+    for r in langid.predict(df, model).collect():
+        hits = {x: sum(g in own for g in grams(rows[r["doc_id"]][1])) for x, own in known.items()}
+        top = sorted(hits.values(), reverse=True)
+        assert r["lang_pred"] == min(hits, key=lambda x: (-hits[x], x)) and abs(r["score"] - top[0] / (top[0] + top[1])) < 0.02
+
+
+def test_more_than_64_languages_and_a_text_that_fills_one(spark):
+    rng = random.Random(2)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 70 * 6)]
+    rows = [(k * 10 + j, " ".join("".join(rng.choices(letters[6 * k : 6 * k + 6], k=4)) for _ in range(20)), f"l{k:02}") for k in range(70) for j in range(6)]
+    rows += [(10_000 + j, "zzz yyy xxx zzyyxx", "one") for j in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"key": F.lit(1), "learn": F.lit(False)})
+    model = langid.fit(df, learn=F.lit(True), rows_per_language=50, slots_log2=16)
+    assert len(model.languages) == 71 and model.words.shape[0] == 2
+    assert all(model(t)[0] == x for _, t, x in rows[:430])
+
+
 def test_bit_sliced_filter_has_no_false_negatives():
     rng = np.random.default_rng(1)
     words = np.zeros(1 << 12, np.uint64)
@@ -191,6 +288,35 @@ def test_quality(spark):
     assert np.array_equal(again.w1, model.w1)
 
 
+def test_quality_by_plain_loops(spark):
+    """Pooling and forward pass of the registered query's model, one word and one unit at a time."""
+    from emberwatch.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    model = queries.quality_model(spark, folder)
+    rows = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").limit(12).collect()
+    scored = {r["doc_id"]: (r["score"], r["predicted"]) for r in queries.op6_quality(spark, folder).collect()}
+    known = {w: k + quality.OTHER for k, w in enumerate(model.words)}
+    for doc_id, text in rows:
+        tokens = re.findall(r"\w+|[^\w\s]+", text or "")
+        ids = []
+        for i, t in enumerate(tokens):
+            own = known.get(t, 0 if len(t) > 1 and t.isupper() else 1 if t[0].isalnum() or t[0] == "_" else 2)
+            ids.append(3 if t > "@" and t in tokens[max(0, i - 2) : i] and len(tokens) > 2 else own)
+        x = []
+        for d in range(model.vectors.shape[1]):
+            x.append(sum(float(model.vectors[i][d]) for i in ids) / max(len(ids), 1))
+        for d in range(model.vectors.shape[1]):
+            x.append(math.sqrt(max(sum(float(model.vectors[i][d]) ** 2 for i in ids) / max(len(ids), 1) - x[d] ** 2, 0)))
+        x.append(math.log1p(len(ids)))
+        x = [min(8, max(-8, (v - m) / s)) for v, m, s in zip(x, model.mean, model.scale, strict=True)]
+        z = model.b2
+        for u in range(len(model.w2)):
+            z += model.w2[u] * math.tanh(model.b1[u] + sum(v * model.w1[d][u] for d, v in enumerate(x)))
+        want = 1 / (1 + math.exp(-z / model.temperature))
+        assert abs(scored[doc_id][0] - want) < 1e-3 and scored[doc_id][1] == int(scored[doc_id][0] >= 0.3)
+
+
 def edits(a, b):
     """Least edits of a against any piece of b."""
     row = [0] * (len(b) + 1)
@@ -238,6 +364,10 @@ def test_decontamination_places_and_rows(spark):
     assert text[rows[0]["doc_start"] : rows[0]["doc_end"]].lower() in item.lower()
     kept = decontam.keep_clean(df, benchmark)
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3]
+    short = spark.createDataFrame([(1, "Yes, no"), (2, "x"), (3, "?")], "item_id long, text string")
+    asked = docs(spark, ["say yes  No!", "yesno", "yes nothing", "X", "axe", "no yes"])
+    found = [(r["doc_id"], r["item_id"], r["doc_start"], r["doc_end"]) for r in decontam.contaminated(asked, short).collect()]
+    assert sorted(found) == [(0, 1, 4, 11), (3, 2, 0, 1)]
     assert decontam.contaminated(df, benchmark.filter("false")).count() == 0
 
 
