@@ -177,6 +177,26 @@ def _settings(rows: DataFrame, *keys: str) -> DataFrame:
     return each.groupBy(*keys, "k").agg(F.count("hash").alias("n")).groupBy(*keys).agg(F.greatest(F.min("n"), F.lit(1)).alias("n"))
 
 
+def _terms(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """term, with_term: distinct texts that hold each term.
+
+    The rows of a text that stands more than once weigh nothing but for one doc_id, whose rows weigh one together; so
+    only counts by task are shuffled, and no term is once per text.
+    """
+    rows = found.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("rows"))
+    copied = rows.groupBy("text_key").agg(F.sum("rows").alias("all"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id")).alias("least"))
+    copied = copied.filter(F.col("all") > 1).select("text_key", F.col("least.doc_id").alias("least"))
+    weighed = rows.join(copied, "text_key").select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__t"), F.when(F.col("doc_id").eqNullSafe(F.col("least")), 1 / F.col("rows")).otherwise(0.0).alias("weight"))
+    weighed = cut(weighed)
+    weighed = F.broadcast(weighed) if weighed.limit(FEW + 1).count() <= FEW else weighed
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    each = each.join(weighed, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("text_key") == F.col("__t")), "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+    each = each.filter("weight > 0").select("weight", F.explode(words).alias("term"))
+    return each.groupBy("term").agg(F.round(F.sum("weight")).alias("with_term"))
+
+
 def disclosures(docs: DataFrame, found: DataFrame, *, generalise: float, remove: float, support: int) -> DataFrame:
     """Rows (entity, term, ratio, action): terms that reveal enough of an entity.
 
@@ -188,15 +208,9 @@ def disclosures(docs: DataFrame, found: DataFrame, *, generalise: float, remove:
     near = each.join(entities.select("entity"), "entity").select("entity", "setting", F.explode("terms").alias("t"))
     near = near.select("entity", F.lower("t.value").alias("term"), "setting").distinct()
     pairs = cut(_settings(near, "entity", "term").filter(F.col("n") >= support).withColumnRenamed("n", "both"))
-    sought = cut(pairs.select("term").distinct())
-    few = sought.limit(FEW + 1).count() <= FEW
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
-    terms = docs.select(F.xxhash64(text).alias("text_key"), F.explode(words).alias("term")).join(F.broadcast(sought) if few else sought, "term")
-    terms = terms.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
     n = F.lit(found.select("text_key").distinct().count()).cast("double")
+    out = pairs.join(entities, "entity").join(_terms(docs, found), "term").filter(F.col("with_entity") < n)
     ratio = F.log(n * F.col("both") / (F.col("with_term") * F.col("with_entity"))) / F.log(n / F.col("with_entity"))
-    out = pairs.join(entities, "entity").join(terms, "term").filter(F.col("with_entity") < n)
     out = out.select("entity", "term", ratio.alias("ratio")).filter(F.col("ratio") >= generalise)
     return out.withColumn("action", F.when(F.col("ratio") >= remove, "remove").otherwise("generalise"))
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, free_names
-from .components import connected_components
+from .components import Forest, connected_components
 
 #: Fingerprints of a key that one task compares with each other or with as many others.
 CELL = 512
@@ -108,31 +108,6 @@ def _deal(keys: list[list[int]]):
     return run
 
 
-class _Forest:
-    """Keeps the links that join two groups, of those that one task sees."""
-
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-
-    def find(self, x: int) -> int:
-        up = self.up
-        root = x
-        while (y := up.get(root, root)) != root:
-            root = y
-        while up.get(x, x) != root:
-            up[x], x = root, up[x]
-        return root
-
-    def kept(self, pairs) -> list[tuple[int, int]]:
-        out = []
-        for a, b in pairs:
-            x, y = self.find(a), self.find(b)
-            if x != y:
-                self.up[max(x, y)] = min(x, y)
-                out.append((a, b))
-        return out
-
-
 def _near(fp: np.ndarray, n: np.ndarray | None, i: np.ndarray, j, most: int, alike: float) -> np.ndarray:
     near = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64) <= most
     if n is not None:  # sets of such sizes can't be similar
@@ -167,7 +142,7 @@ def _by_cell(links):
     """links(rows of whole cells, forest) over batches that are sorted by cell."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        forest, rest = _Forest(), None
+        forest, rest = Forest(), None
         for pdf in batches:
             pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
             if not len(pdf):
@@ -184,7 +159,7 @@ def _by_cell(links):
 
 
 def _link(most: int, alike: float):
-    def links(pdf: pd.DataFrame, forest: _Forest) -> list[tuple[int, int]]:
+    def links(pdf: pd.DataFrame, forest: Forest) -> list[tuple[int, int]]:
         fp = np.frombuffer(b"".join(map(bytes, pdf["fp"])), ">u8").astype(np.uint64).reshape(len(pdf), -1)
         ids, n = pdf["nid"].to_numpy(), pdf["n"].to_numpy() if "n" in pdf else None
         cells, starts, sizes = _cell_starts(pdf)
@@ -229,7 +204,7 @@ def _alike(sets: list[np.ndarray], similarity: float):
 
 
 def _verify(similarity: float):
-    def links(pdf: pd.DataFrame, forest: _Forest) -> list[tuple[int, int]]:
+    def links(pdf: pd.DataFrame, forest: Forest) -> list[tuple[int, int]]:
         sets = [np.frombuffer(s, np.int64) for s in pdf["own"]]
         ids, parts = pdf["nid"].to_numpy(), pdf["part"].to_numpy()
         cells, starts, sizes = _cell_starts(pdf)
