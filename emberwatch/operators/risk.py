@@ -64,10 +64,20 @@ def findings(rows: DataFrame, *, threshold: float = THRESHOLD, window_seconds: f
 
 
 def running_totals(rows: DataFrame, window_seconds: float = WINDOW_SECONDS) -> DataFrame:
-    """rows with the entity's weighted total over the trailing window that ends at each row."""
+    """rows with the entity's weighted total over the trailing window that ends at each row.
+
+    A hot entity (such as the unknown one) would be one window partition, so entities are cut into stretches of ten
+    windows; each stretch also gets the window before it, whose rows are summed but not returned. Rows without a
+    timestamp are each entity's stretch of their own: they have the total of the others without one.
+    """
+    span = int(window_seconds)
     value = (F.col("score") * weight(F.col("event_type"))).cast("decimal(18,4)")
-    frame = Window.partitionBy("entity").orderBy(F.col("timestamp").cast("long")).rangeBetween(-int(window_seconds), 0)
-    return rows.withColumn("running_total", F.sum(value).over(frame).cast("double"))
+    rows = rows.withColumn("__s", F.col("timestamp").cast("long")).withColumn("__c", F.floor(F.col("__s") / (10 * span)))
+    late = F.floor((F.col("__s") + span) / (10 * span))
+    rows = rows.withColumn("__w", F.explode(F.array_distinct(F.array(F.col("__c"), late))))
+    frame = Window.partitionBy("entity", "__w").orderBy("__s").rangeBetween(-span, 0)
+    out = rows.withColumn("running_total", F.sum(value).over(frame).cast("double")).filter(F.col("__w").eqNullSafe(F.col("__c")))
+    return out.drop("__s", "__c", "__w")
 
 
 def validated(rows: DataFrame) -> DataFrame:

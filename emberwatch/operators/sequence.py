@@ -1,12 +1,12 @@
 """Correlation of event sequences: brute force, failure then success, ARP bursts, and roll-ups.
 
-Rows are triaged events with sequence_id and idx (order of arrival). Groups are hash-aggregated with
-conditional counts first; only the indices that make up evidence are collected.
+Rows are triaged events with sequence_id and idx (order of arrival). Groups are aggregated with
+conditional counts; only the indices that are evidence are collected, as they are part of the row of a finding.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .soc import base_score
@@ -20,6 +20,9 @@ def findings(events: DataFrame, failures: int = FAILURES, arp_events: int = ARP_
     kind, idx = F.col("event_type"), F.col("idx")
     own = events.filter(F.col("source").isNotNull() & kind.isin(_FAIL, _LOGIN, _ARP))
 
+    earlier = Window.partitionBy("sequence_id", "source").orderBy("idx").rangeBetween(Window.unboundedPreceding, -1)
+    own = own.withColumn("failed", F.max(kind == _FAIL).over(earlier))  # rows of a group are together anyway, for its evidence
+
     def indices(what: str):
         return F.array_sort(F.collect_list(F.when(kind == what, idx)))
 
@@ -27,13 +30,11 @@ def findings(events: DataFrame, failures: int = FAILURES, arp_events: int = ARP_
         F.count_if(kind == _FAIL).alias("n_fail"),
         F.count_if(kind == _ARP).alias("n_arp"),
         F.bool_or((kind == _FAIL) & F.col("privileged")).alias("privileged"),
-        F.min(F.when(kind == _FAIL, idx)).alias("first_fail"),
-        F.max(F.when(kind == _LOGIN, idx)).alias("last_login"),
+        F.min(F.when((kind == _LOGIN) & F.col("failed"), idx)).alias("login"),
         indices(_FAIL).alias("fails"),
-        indices(_LOGIN).alias("logins"),
         indices(_ARP).alias("arps"),
     )
-    login = F.array_min(F.filter("logins", lambda i: i > F.col("first_fail")))
+    login = F.col("login")
     before = F.filter("fails", lambda i: i < login)
 
     def found(when, pattern: str, level, evidence, block: int):
