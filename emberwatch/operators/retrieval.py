@@ -64,21 +64,22 @@ def retrieve(own_chunks: DataFrame, queries: DataFrame, k: int = 3, snippet: int
 def best_passage(query: Column, text: Column, most: int = 240) -> Column:
     """The sentence of text that shares most of the query's weight (rarer among the sentences weighs more), cut at a
     blank to `most` characters; the first of equals, and the first at all if none shares a term."""
-    asked = terms(query, stopwords=False)
-
-    def step(x: Column) -> Column:
-        own = F.transform(x["s"], lambda s: F.struct(s.alias("s"), terms(s, stopwords=False).alias("t")))
-        n = F.size(x["s"]).cast("double")
-        weights = F.transform(x["q"], lambda q: F.struct(q.alias("q"), F.log1p(n / (1 + F.size(F.filter(x["s"], lambda s: F.array_contains(terms(s, stopwords=False), q))))).alias("w")))
+    # each step is bound to a one-element array, so that what it computes isn't computed again for each sentence
+    def with_weights(x: Column) -> Column:
+        n = F.size(x["own"]).cast("double")
+        weights = F.transform(x["q"], lambda q: F.struct(q.alias("q"), F.log1p(n / (1 + F.size(F.filter(x["own"], lambda o: F.array_contains(o["t"], q))))).alias("w")))
+        return F.struct(x["own"].alias("own"), weights.alias("weights"))
 
+    def best(x: Column) -> Column:
         def score(o: Column, i: Column) -> Column:
-            shared = F.aggregate(F.filter(weights, lambda w: F.array_contains(o["t"], w["q"])), F.lit(0.0), lambda a, w: a + w["w"])
+            shared = F.aggregate(F.filter(x["weights"], lambda w: F.array_contains(o["t"], w["q"])), F.lit(0.0), lambda a, w: a + w["w"])
             return F.struct(shared.alias("score"), (-i).alias("neg"), o["s"].alias("s"))
 
-        return F.array_max(F.transform(own, score))["s"]
+        return F.array_max(F.transform(x["own"], score))["s"]
 
-    bound = F.array(F.struct(sentences(text).alias("s"), asked.alias("q")))
-    quote = F.when(F.size(sentences(text)) > 0, F.get(F.transform(bound, step), F.lit(0)))
+    own = F.transform(sentences(text), lambda s: F.struct(s.alias("s"), terms(s, stopwords=False).alias("t")))
+    start = F.array(F.struct(own.alias("own"), terms(query, stopwords=False).alias("q")))
+    quote = F.get(F.transform(F.transform(start, with_weights), best), F.lit(0))
     cut = F.substring(quote, 1, most)
     at_blank = F.rtrim(F.regexp_extract(cut, "(?s)^(.*) [^ ]*$", 1))
     return F.when(F.length(quote) > most, F.coalesce(F.nullif(at_blank, F.lit("")), cut)).otherwise(quote)
