@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def write_vectors(chunks: DataFrame, path: str) -> None:
-    """Appends source, index, char_start, text, vector; raises where vectors differ in dimension."""
-    sizes = chunks.agg(F.countDistinct(F.size("vector")).alias("n")).first()["n"]
-    if sizes > 1:
+    """Appends source, index, char_start, text, vector; raises where vectors differ in dimension, from each other or from
+    those that the folder holds."""
+    sizes = {r[0] for r in chunks.select(F.size("vector")).distinct().limit(2).collect()}
+    try:
+        held = chunks.sparkSession.read.parquet(path).select(F.size("vector")).limit(1).collect()
+    except AnalysisException:  # nothing is there yet
+        held = []
+    if len(sizes | {r[0] for r in held}) > 1:
         raise ValueError("vectors of more than one dimension")
     chunks.select("source", "index", "char_start", "text", F.col("vector").cast("array<float>").alias("vector")).write.mode("append").parquet(path)
 
@@ -27,9 +33,16 @@ def keyed_overwrite(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new.dropDuplicates([key]))
 
 
+#: Rows of a file that is compared as a whole; json_lines() is for more.
+MOST_CANONICAL = 100_000
+
+
 def canonical(rows: DataFrame, *order: str) -> str:
-    """Rows (few) as JSON text with sorted keys, in order of columns, for files that are compared."""
-    own = [r.asDict(recursive=True) for r in rows.orderBy(*order).limit(100_000).collect()]
+    """Rows (few) as JSON text with sorted keys, in order of columns, for files that are compared; raises for more than
+    MOST_CANONICAL rows, so that no file is cut."""
+    own = [r.asDict(recursive=True) for r in rows.orderBy(*order).limit(MOST_CANONICAL + 1).collect()]
+    if len(own) > MOST_CANONICAL:
+        raise ValueError(f"more than {MOST_CANONICAL} rows")
     return json.dumps(own, indent=2, sort_keys=True, default=str) + "\n"
 
 
