@@ -77,7 +77,7 @@ class Payload:
         own = []
         for p in paths:
             one = self.text(p)
-            many = F.transform(F.try_variant_get(self.v, f"$.{p}", TEXT_ARRAY), coerced)
+            many = F.transform(F.try_variant_get(self.v, f"$.{p}", TEXT_ARRAY), lambda x: coerced(x))
             own.append(F.when(F.size(F.array_compact(many)) > 0, F.array_compact(many)).when(one.isNotNull(), F.array(one)))
         return F.slice(F.array_distinct(F.coalesce(*own, F.array().cast(TEXT_ARRAY))), 1, most)
 
