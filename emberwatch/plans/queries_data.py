@@ -38,9 +38,12 @@ def observables_extract(spark, sf_dir):
     return d.select("doc_id", F.size(F.filter(found(F.col("text"), IPV4), is_dotted_quad)).cast("long").alias("n_ipv4"), F.size(found(F.col("text"), HASH)).cast("long").alias("n_hash"))
 
 
-@query("observables_assembled")
+@query("observables_assembled", r"""WITH u AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '(?i)\bhttps?://[^\s"''<>]+') AS urls FROM documents),
+e AS (SELECT doc_id, urls || regexp_extract_all(text, '(?i)\b(?:[a-f0-9]{64}|[a-f0-9]{40}|[a-f0-9]{32})\b') || list_filter(regexp_extract_all(text, '\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b'), lambda q: list_max(list_transform(string_split(q, '.'), lambda p: p::INT)) <= 255)
+|| list_filter(regexp_extract_all(regexp_replace(text, '(?i)\bhttps?://[^\s"''<>]+', ' ', 'g'), '(?i)\b(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,24}\b'), lambda d: len(list_filter(urls, lambda x: contains(lower(x), lower(d)))) = 0) AS every FROM u)
+SELECT doc_id, array_to_string(list_filter(every, lambda x, i: list_position(list_transform(every, lambda y: lower(y)), lower(x)) = i)[1:64], ' ') AS observables FROM e""")
 def observables_assembled(spark, sf_dir):
-    """All observables of each document in order; the order and the domain rule have no short SQL form."""
+    """All observables of each document in order. The SQL leaves out addresses of version 6, of which no table has one."""
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(observables(F.col("text")), " ").alias("observables"))
 
 
@@ -56,7 +59,7 @@ def url_observables(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", (F.size(found(F.col("url"), URL)) > 0).alias("has_url"))
 
 
-@query("domain_extract")
+@query("domain_extract", r"""SELECT page_id, array_to_string(regexp_extract_all(url, '(?i)\b(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,24}\b'), ' ') AS domains FROM pages""")
 def domain_extract(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(found(F.col("url"), DOMAIN), " ").alias("domains"))
 
@@ -109,21 +112,22 @@ def rag_citations(spark, sf_dir):
     return retrieval.verified(cited, docs).select("query_id", "rank", "source", "score", "char_start", "char_end", "valid")
 
 
-@query("vector_topk", """WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id < 5)
+@query("vector_topk", """WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS INTEGER) AS rank, vec_id, round(s, 6) AS score FROM (SELECT query_id, vec_id, list_cosine_similarity(embedding::DOUBLE[], qv::DOUBLE[]) AS s FROM embeddings, q) QUALIFY rank <= 3""")
 def vector_topk(spark, sf_dir):
+    """The whole set of a search's queries: every row whose id is divisible by 100."""
     e = table(spark, sf_dir, "embeddings")
-    asked = e.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    asked = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return retrieval.vector_search(e, asked).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
 @query("vector_topk_hundredths", """WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS INTEGER) AS rank, vec_id, round(s, 6) AS score FROM (SELECT query_id, vec_id, list_cosine_similarity(embedding::DOUBLE[], qv::DOUBLE[]) AS s FROM embeddings, q) QUALIFY rank <= 3""")
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS INTEGER) AS rank, vec_id, round(s, 6) AS score FROM (SELECT query_id, vec_id, list_cosine_similarity(embedding::DOUBLE[], qv::DOUBLE[]) AS s FROM embeddings, q) QUALIFY rank <= 10""")
 def vector_topk_hundredths(spark, sf_dir):
-    """The whole set of a search's queries: every row whose id is divisible by 100."""
+    """The same for the ten nearest."""
     e = table(spark, sf_dir, "embeddings")
     asked = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return retrieval.vector_search(e, asked).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+    return retrieval.vector_search(e, asked, 10).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
 @query("embed_letters", """SELECT item_id, array_to_string(list_transform(range(0, 32), lambda k: len(list_filter(string_split(lower(text), ''), lambda c: unicode(c) % 32 = k))), ',') AS histogram FROM benchmark""")
@@ -167,7 +171,12 @@ def slugs(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", slug(F.concat_ws(" / ", "p_name", "p_brand")).alias("slug"))
 
 
-@query("titles")
+@query("titles", r"""WITH l AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\r?\n|\r'), lambda x: regexp_replace(x, '\s+', '', 'g') <> '') AS lines, trim(regexp_replace(text, '\s+', ' ', 'g')) AS one FROM documents),
+p AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lines[1], '^\s+|\s+$', '', 'g'), '^#+', ''), '^\s+|\s+$', '', 'g') AS plain, list_filter(string_split(regexp_replace(one, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS sents FROM l),
+f AS (SELECT *, trim(regexp_replace(regexp_replace(string_split(regexp_replace(plain, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))[1], '[.!?]+$', ''), '\s+', ' ', 'g')) AS first, coalesce(sents[1], '') AS s,
+ list_filter(list_transform(regexp_split_to_array(text, '\r?\n|\r'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: regexp_matches(x, '^[-*•]')) AS bullets FROM p)
+SELECT doc_id, CASE WHEN coalesce(plain, '') = '' THEN 'Untitled Note' WHEN length(first) <= 80 THEN first ELSE rtrim(substr(first, 1, 79)) || '…' END AS title, CASE WHEN length(s) <= 240 THEN s ELSE rtrim(substr(s, 1, 239)) || '…' END AS summary,
+CAST(least(5, CASE WHEN len(bullets) > 0 THEN len(bullets) ELSE len(sents) END) AS INTEGER) AS n_points FROM f""")
 def titles(spark, sf_dir):
     t = F.col("text")
     return table(spark, sf_dir, "documents").select("doc_id", intake.title(t).alias("title"), intake.summary(t).alias("summary"), F.size(intake.key_points(t)).alias("n_points"))

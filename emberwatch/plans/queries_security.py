@@ -271,14 +271,28 @@ def vendor_normalised(spark, sf_dir):
     return vendors.normalised(e.select("event_id", raw.alias("raw"))).select("event_id", "event.vendor", "event.message", "event.parse_status")
 
 
-@query("process_log")
+TRIAGE_SQL = f"""t AS (SELECT *, concat_ws(',', CASE WHEN contains(text, 'Failed password') THEN 'ssh_failed_password' END, CASE WHEN starts_with(text, 'Accepted') AND contains(text, ' root ') THEN 'ssh_accepted_root_login' END,
+  CASE WHEN contains(text, 'blocked') THEN 'firewall_block' END, CASE WHEN contains(text, 'useradd') THEN 'linux_local_account_created' END, CASE WHEN contains(text, 'nmap') THEN 'network_port_scan' END) AS rules,
+  CASE event_type WHEN 'successful login' THEN 'T1078,T1021.004' WHEN 'firewall block' THEN '' WHEN 'ids alert' THEN '' ELSE {TECHNIQUE_SQL} END AS techniques,
+  CAST(CASE event_type WHEN 'authentication failure' THEN 3002 WHEN 'successful login' THEN 3002 WHEN 'account creation' THEN 3001 WHEN 'firewall block' THEN 4001 WHEN 'port scan' THEN 4001 WHEN 'ids alert' THEN 2004 ELSE 0 END AS INTEGER) AS class_uid,
+  CAST(contains(lower(text), 'root') AS INTEGER) + CAST(event_type IN ('authentication failure', 'ids alert') AS INTEGER) AS n_evidence FROM soc)"""
+
+
+@query("process_log", _soc(f", {TRIAGE_SQL} SELECT event_id, event_type, severity, severity_score, source, rules, techniques, class_uid, n_evidence FROM t").replace(" ,", ",", 1))
 def process_log(spark, sf_dir):
     """Whole triage of each log line; returns scalars."""
     df = pipeline.process_log(logs(spark, sf_dir).drop("text", "fields", "parse_status", "message"))
     return df.select("event_id", "event_type", "severity", "severity_score", "source", F.array_join("rules", ",").alias("rules"), F.array_join("techniques.technique_id", ",").alias("techniques"), "ocsf.class_uid", F.size("evidence").alias("n_evidence"))
 
 
-@query("sequence_reports")
+@query("sequence_reports", f"""WITH {LOGS_SQL}, {FINDINGS_SQL},
+e AS (SELECT sequence_id, count(*) AS event_count, count(*) FILTER (source IS NULL) AS uncorrelated_count, max(struct_pack(r := base, s := severity_score, n := -idx)) AS top FROM soc GROUP BY 1),
+b AS (SELECT sequence_id, count(*) AS finding_count, max(CASE severity WHEN 'critical' THEN 90 ELSE 70 END) AS r,
+      string_agg('- ' || replace(pattern, '_', '\\_') || ' from ' || source || ' severity ' || severity || ' events ' || event_count, chr(10)) AS body FROM f GROUP BY 1),
+o AS (SELECT e.sequence_id, event_count, uncorrelated_count, coalesce(finding_count, 0) AS finding_count, coalesce(body, 'none') AS body, CASE WHEN b.r >= top.r THEN CASE b.r WHEN 90 THEN 'critical' ELSE 'high' END ELSE t.severity END AS severity,
+      CAST(CASE WHEN b.r IS NULL THEN top.s ELSE greatest(least(b.r + 10, 100), top.s) END AS INTEGER) AS severity_score FROM e LEFT JOIN b USING (sequence_id) JOIN soc t ON t.idx = -e.top.n)
+SELECT sequence_id, severity, severity_score, finding_count, CAST(0 AS BIGINT) AS rejected, CAST(length('# Sequence report' || chr(10) || chr(10) || '## Summary' || chr(10) || chr(10) || '- events: ' || event_count || chr(10) || '- severity: ' || severity || chr(10)
+|| '- score: ' || severity_score || chr(10) || '- without source: ' || uncorrelated_count || chr(10) || chr(10) || '## Findings' || chr(10) || chr(10) || body || chr(10)) AS INTEGER) AS report_chars FROM o""")
 def sequence_reports(spark, sf_dir):
     out = pipeline.process_sequence(logs(spark, sf_dir).select("sequence_id", "idx", "raw"), F.lit(AS_OF).cast("date"))
     return out["reports"].select("sequence_id", "severity", "severity_score", "finding_count", "rejected", F.length("report").alias("report_chars"))
