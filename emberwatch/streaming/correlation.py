@@ -46,14 +46,15 @@ def bursts(events: DataFrame, hit: Column, keys: list[str], gap: str, least: int
     return counted.filter(F.col("match_count") >= least).select(F.col("session.start").alias("start"), F.col("session.end").alias("end"), *keys, "match_count")
 
 
-#: State of a group that gets no event for so long (by the clock) goes.
-FORGET_MS = 7 * 86_400_000
+def _time_mode(forget_ms: int | None) -> str:
+    """State that goes by the clock needs a query that runs on; others end when all input is read."""
+    return "ProcessingTime" if forget_ms else "none"
 
 
 class _Counted(StatefulProcessor):
     """Keeps the times of a group's matches within the timespan before its latest one."""
 
-    def __init__(self, span: int, least: int, late: int, out: list[str], forget: int) -> None:
+    def __init__(self, span: int, least: int, late: int, out: list[str], forget: int | None) -> None:
         self.span, self.least, self.late, self.out, self.forget = span, least, late, out, forget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -77,7 +78,7 @@ class _Counted(StatefulProcessor):
 class _Ordered(StatefulProcessor):
     """Keeps the latest time of the first event per group: one number of state each."""
 
-    def __init__(self, span: int, out: list[str], forget: int) -> None:
+    def __init__(self, span: int, out: list[str], forget: int | None) -> None:
         self.span, self.out, self.forget = span, out, forget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -98,32 +99,34 @@ class _Ordered(StatefulProcessor):
         pass
 
 
-def trailing_counts(events: DataFrame, hit: Column, keys: list[str], timespan: str, least: int, *, late: str = "10m", forget_ms: int = FORGET_MS) -> DataFrame:
+def trailing_counts(events: DataFrame, hit: Column, keys: list[str], timespan: str, least: int, *, late: str = "10m", forget_ms: int | None = None) -> DataFrame:
     """Matching events at which the matches of their group within the trailing timespan reach `least`, as the batch form
     finds them: keys (as text), event_id, s (epoch seconds), match_count. Windows of event_counts() lie on a grid, so a
     burst may fit the timespan but none of them; here the timespan ends at each event.
 
     An event counts for those that come after it; one that comes late, but by no more than `late`, counts those before
-    it, and the counts of later events that are out already aren't given again. Needs the RocksDB state store.
+    it, and the counts of later events that are out already aren't given again. forget_ms: the state of a group that gets
+    no event for so long (by the clock) goes; give it to queries that run on, not to those that end with their input.
+    Needs the RocksDB state store.
     """
     own = events.withColumn("ts", F.col("ts").cast("timestamp")).filter(hit & F.col("ts").isNotNull())
     own = own.select(*[F.col(k).cast("string").alias(k) for k in keys], F.col("event_id").cast("long").alias("event_id"), F.col("ts").cast("double").alias("s"))
     out = [*keys, "event_id", "s", "match_count"]
     schema = ", ".join([*[f"{k} string" for k in keys], "event_id long, s double, match_count long"])
     processor = _Counted(seconds(timespan), least, seconds(late), out, forget_ms)
-    return own.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="ProcessingTime")
+    return own.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode=_time_mode(forget_ms))
 
 
-def temporal_ordered(events: DataFrame, first: Column, then: Column, keys: list[str], timespan: str, *, late: str = "10 minutes", forget_ms: int = FORGET_MS) -> DataFrame:
+def temporal_ordered(events: DataFrame, first: Column, then: Column, keys: list[str], timespan: str, *, late: str = "10 minutes", forget_ms: int | None = None) -> DataFrame:
     """Events where `then` holds within a timespan after an event of the group where `first` held: keys (as text),
-    event_id, s (epoch seconds), first_s. Needs the RocksDB state store."""
+    event_id, s (epoch seconds), first_s. forget_ms: as for trailing_counts(). Needs the RocksDB state store."""
     own = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     own = own.withColumns({"first": first, "then": then, "s": F.col("ts").cast("double")}).filter("first or then")
     own = own.select(*[F.col(k).cast("string").alias(k) for k in keys], F.col("event_id").cast("long").alias("event_id"), "s", "first", "then", "ts")
     out = [*keys, "event_id", "s", "first_s"]
     schema = ", ".join([*[f"{k} string" for k in keys], "event_id long, s double, first_s double"])
     processor = _Ordered(seconds(timespan), out, forget_ms)
-    return own.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="ProcessingTime")
+    return own.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode=_time_mode(forget_ms))
 
 
 def append_chain(batches: DataFrame, path: str, seq: int = 0, prev_hash: str = audit.GENESIS):
