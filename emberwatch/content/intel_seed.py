@@ -11,7 +11,7 @@ ATOMIC = [
     ("ipv4", "203.0.113.66", "malicious", "medium", "synthetic-feed-bravo", "2026-08-18", "2026-11-18", "bravo/1"),
     ("ipv4", "198.51.100.77", "malicious", "high", "synthetic-feed-alpha", "2026-08-14", "2026-11-14", "alpha/2"),
     ("domain", "beacon.invalid", "suspicious", "medium", "synthetic-feed-bravo", "2026-08-18", "2027-02-18", "bravo/2"),
-    ("sha256", "a" * 60 + "0001", "malicious", "high", "synthetic-feed-alpha", "2026-08-14", "2027-08-14", "alpha/3"),
+    ("sha256", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa0001", "malicious", "high", "synthetic-feed-alpha", "2026-08-14", "2027-08-14", "alpha/3"),
     ("ipv4", "192.0.2.199", "suspicious", "low", "synthetic-feed-alpha", "2026-02-01", "2026-05-01", "alpha/4"),
 ]
 NEVER_FLAG = ["0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.168.0.0/16", "224.0.0.0/4", "255.255.255.255/32", "::1/128", "fc00::/7", "fe80::/10", "ff00::/8"]

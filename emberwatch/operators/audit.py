@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 GENESIS = "0" * 64
@@ -22,6 +22,56 @@ def entry_hash(fields: list[str] = FIELDS) -> Column:
     return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]).cast("binary"), 256)
 
 
+def hmac(message: Column, key: bytes) -> Column:
+    """HMAC-SHA256 of a text in UTF-8, as lower-case hex: two native hashes, RFC 2104."""
+    if not key:
+        raise ValueError("an empty key")
+    own = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in own)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
+
+
+def head_signature(key: bytes, seq: str = "head_seq", head: str = "head_hash") -> Column:
+    """Signature over the head of a chain: its sequence number and hash, joined by a bar."""
+    return hmac(F.concat_ws("|", F.col(seq).cast("string"), head), key)
+
+
+def rotated(entries: DataFrame, max_bytes: int, size: str = "size") -> DataFrame:
+    """entries (seq, size in bytes) with segment, from 0: a segment takes entries until it has reached max_bytes.
+
+    Where segments begin depends on all entries before, so a log is cut by running sizes of its stretches of entries:
+    the segment is the whole number of max_bytes that lie before the entry. Segments are thus as large on average as
+    those of a writer that looks at the file before each append, and none begins within an entry.
+    """
+    if max_bytes <= 0:
+        raise ValueError("max_bytes has to be positive")
+    width = 4096
+    own = entries.withColumn("__r", F.floor(F.col("seq") / width))
+    # sizes of stretches; there are n / 4096 of them, which one task sums up
+    sums = own.groupBy("__r").agg(F.sum(size).alias("__s"))
+    before = F.coalesce(F.sum("__s").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select("__r", before.alias("__start"))
+    within = F.coalesce(F.sum(size).over(Window.partitionBy("__r").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = own.withColumn("__within", within).join(starts, "__r")
+    return out.withColumn("segment", F.floor((F.col("__start") + F.col("__within")) / max_bytes)).drop("__r", "__within", "__start")
+
+
+def retained(entries: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
+    """The entries (seq, entry_hash, segment) of the newest segment and the `keep` before it, and the checkpoint.
+
+    The checkpoint has one row: seq and entry_hash of the newest entry that goes (null if none does). What is kept is
+    checked with first_seq one above it and its hash as genesis.
+    """
+    if keep < 0:
+        raise ValueError("keep can't be negative")
+    numbers = entries.select("segment").distinct()
+    archives = numbers.orderBy(F.desc("segment")).limit(keep + 1).agg(F.min("segment").alias("__oldest"))
+    marked = entries.crossJoin(F.broadcast(archives))  # one row beside
+    kept = marked.filter(F.col("segment") >= F.col("__oldest")).drop("__oldest")
+    cut = marked.filter(F.col("segment") < F.col("__oldest")).agg(F.max(F.struct("seq", "entry_hash")).alias("m"))
+    return kept, cut.select(F.col("m.seq").alias("seq"), F.col("m.entry_hash").alias("entry_hash"))
+
+
 def segments(spark: SparkSession, path: str) -> DataFrame:
     """file_order, line, value of a log's files: numbered (oldest, the highest number, first), then the active one.
 

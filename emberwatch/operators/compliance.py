@@ -67,6 +67,20 @@ def missing(results: DataFrame, required: list[str], key: str = "control_id") ->
     return every.join(results.select(key).distinct(), key, "left_anti")
 
 
+def bundle(results: DataFrame, generated_at: str) -> DataFrame:
+    """bundle: one JSON text for auditors with the score, all controls by id and the roll-ups by framework.
+
+    results: control_id, title, category, severity, status, detail, frameworks (array). Controls are a few dozen; the
+    one row grows with them only.
+    """
+    control = F.struct(F.col("control_id").alias("id"), "title", "category", "severity", "status", "detail", F.array_sort("frameworks").alias("frameworks"))
+    controls = results.agg(F.array_sort(F.collect_list(control)).alias("controls"))
+    rolled = by_framework(results).agg(F.array_sort(F.collect_list(F.struct("framework", "passing", "total", "percent"))).alias("framework_rollups"))
+    one = score(results).crossJoin(F.broadcast(controls)).crossJoin(F.broadcast(rolled))  # a row each
+    said = F.struct(F.lit(generated_at).alias("generated_at"), F.col("percent").alias("score"), "passing", F.col("total").alias("automated_total"), "controls", "framework_rollups", F.lit("Evidence of automated checks; no audit or certification.").alias("disclaimer"))
+    return one.select(F.to_json(said, {"ignoreNullFields": "false"}).alias("bundle"))
+
+
 EVIDENCE = ["recorded_at", "control_id", "title", "category", "severity", "status", "detail"]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..content.mapping_rules import FALLBACK, RULES, TECHNIQUE_NAMES
@@ -40,7 +40,7 @@ def rule(r: dict, event_type: Column, log_text: Column) -> Column:
     return reduce(lambda a, b: a & b, [clause(c, event_type, log_text) for c in r["when"]])
 
 
-def mapped(df: DataFrame, event_type: str = "event_type", log_text: str = "text", rules: list[dict] = RULES) -> DataFrame:
+def mapped(df: DataFrame, event_type: str = "event_type", log_text: str = "text", rules: list[dict] = RULES, fallback: dict = FALLBACK) -> DataFrame:
     """df with matched_rules (ids), primary (technique_id, tactic, confidence of the first match, or the fallback)
     and techniques (array of id, tactic, confidence; each once, at the place of its first match, with the
     highest confidence of all its matches)."""
@@ -62,7 +62,7 @@ def mapped(df: DataFrame, event_type: str = "event_type", log_text: str = "text"
 
     def outcome(matched: Column) -> Column:
         first = F.get(matched, F.lit(0))
-        primary = reduce(lambda c, r: c.when(first == r["id"], said(r["techniques"][0] if r["techniques"] else r["legacy"])), rules, F.when(F.lit(False), said(FALLBACK))).otherwise(said(FALLBACK))
+        primary = reduce(lambda c, r: c.when(first == r["id"], said(r["techniques"][0] if r["techniques"] else r["legacy"])), rules, F.when(F.lit(False), said(fallback))).otherwise(said(fallback))
         table = F.create_map(*[x for r in rules if r["techniques"] for x in (F.lit(r["id"]), F.array(*map(said, r["techniques"])))])
         every = F.flatten(F.array_compact(F.transform(matched, lambda i: F.element_at(table, i))))
         return F.struct(matched.alias("matched_rules"), primary.alias("primary"), F.get(F.transform(F.array(every), merged), F.lit(0)).alias("techniques"))
@@ -72,6 +72,33 @@ def mapped(df: DataFrame, event_type: str = "event_type", log_text: str = "text"
     return df.withColumns({c: F.col(f"__m.{c}") for c in ("matched_rules", "primary", "techniques")}).drop("__m")
 
 
+def rule_techniques(spark: SparkSession, rules: list[dict] = RULES) -> DataFrame:
+    """rule_id, technique_id, tactic, confidence: a row per rule and technique."""
+    rows = [(r["id"], t["technique_id"], t["tactic"], t["confidence"]) for r in rules for t in r["techniques"]]
+    return spark.createDataFrame(rows, "rule_id string, technique_id string, tactic string, confidence string")
+
+
+def resolved(own: DataFrame, corpus: DataFrame) -> DataFrame:
+    """own (technique_id, tactic) with name, url and problem, from corpus (technique_id, name, url, status, tactics).
+
+    The problem is unknown for a technique that the corpus hasn't, its status for one that isn't active, and
+    tactic for one that hasn't the tactic; null otherwise.
+    """
+    known = corpus.select("technique_id", "name", "url", F.col("status").alias("__status"), F.col("tactics").alias("__tactics"))
+    out = own.join(known, "technique_id", "left")
+    problem = F.when(F.col("__status").isNull(), "unknown").when(F.col("__status") != "active", F.col("__status")).when(~F.coalesce(F.array_contains("__tactics", F.col("tactic")), F.lit(False)), "tactic")
+    return out.withColumn("problem", problem).drop("__status", "__tactics")
+
+
+def check_references(own: DataFrame, corpus: DataFrame) -> DataFrame:
+    """resolved rows without a problem; raises if there is one."""
+    out = resolved(own, corpus)
+    bad = out.filter("problem is not null").limit(5).collect()
+    if bad:
+        raise ValueError("dead references: " + ", ".join(f"{r['technique_id']} ({r['problem']})" for r in bad))
+    return out.drop("problem")
+
+
 def confidence_rank(label: Column) -> Column:
     return F.when(label == "high", 2).when(label == "medium", 1).otherwise(0)
 

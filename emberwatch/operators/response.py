@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..content.response import ACTIONS, ALIASES, ALWAYS, MITIGATIONS, TECHNIQUE_ACTIONS
@@ -37,6 +37,22 @@ def plans(techniques: DataFrame, targets: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(order))
 
 
+def plan_of(techniques: Column, source: Column) -> Column:
+    """The plan of an event as an array of (tier, action_id, owner, reversible, destroys_evidence, target), in order, from
+    its techniques (array of ids) and its source; empty if none of the techniques proposes anything.
+
+    The catalogue is a few literals, so that plans of events need neither a join nor a shuffle.
+    """
+    need = {a[0]: a[-1] for a in ACTIONS}
+    own = {t: sorted({x for a in ids for x in (a, *need[a], ALWAYS)}) for t, ids in TECHNIQUE_ACTIONS.items()}
+    proposed = F.create_map(*[x for t, ids in own.items() for x in (F.lit(t), F.array(*map(F.lit, ids)))])
+    said = {a[0]: F.struct(F.lit(a[1]).alias("tier"), F.lit(a[0]).alias("action_id"), F.lit(a[6]).alias("owner"), F.lit(a[4]).alias("reversible"), F.lit(a[5]).alias("destroys_evidence")) for a in ACTIONS}
+    table = F.create_map(*[x for k, v in said.items() for x in (F.lit(k), v)])
+    ids = F.array_distinct(F.flatten(F.array_compact(F.transform(techniques, lambda t: F.element_at(proposed, t)))))
+    target = F.coalesce(F.nullif(sanitised_target(source), F.lit("")), F.lit(DEFAULT_TARGET))
+    return F.transform(F.array_sort(F.transform(ids, lambda i: F.element_at(table, i))), lambda a: a.withField("target", target))
+
+
 def plan_ids(techniques: DataFrame, targets: DataFrame, key: str) -> DataFrame:
     """key, plan_id: 16 hexadecimal digits over the sorted techniques and targets, the same for the same plan."""
     t = techniques.groupBy(key).agg(F.array_sort(F.collect_set("technique_id")).alias("t"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,9 +126,23 @@ def _search_block(vectors: DataFrame, queries: DataFrame, k: int, key: str, vect
     return local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", key, "score")
 
 
-def embedded(own_chunks: DataFrame) -> DataFrame:
-    """chunks with the offline embedding of their text."""
-    return own_chunks.withColumn("vector", letter_histogram(F.col("text")))
+def embedded(own_chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
+    """chunks with vector: the offline embedding of their text, or what embed makes of each batch of texts.
+
+    embed runs on the executors, a batch of rows at a time (a service it asks has to be within their reach); it
+    raises if it returns another number of vectors, or vectors of several lengths.
+    """
+    if embed is None:
+        return own_chunks.withColumn("vector", letter_histogram(F.col("text")))
+
+    @F.pandas_udf("array<double>")
+    def said(texts: pd.Series) -> pd.Series:
+        own = embed(list(texts))
+        if len(own) != len(texts) or len({len(v) for v in own}) > 1:
+            raise ValueError("one vector a text, all of the same length")
+        return pd.Series([[float(x) for x in v] for v in own], index=texts.index)
+
+    return own_chunks.withColumn("vector", said("text"))
 
 
 def search(own_chunks: DataFrame, vectors: DataFrame | None, query: str, k: int = 5, *, category: str | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..content.sigma_rules import BASE, BEHAVIOR
-from ..operators import detection, intel, mapping, ocsf, report, response, risk, sequence, sigma, soc
+from ..operators import detection, intel, mapping, ocsf, report, response, retrieval, risk, sequence, sigma, soc
 from ..sources import vendors
 
 
@@ -29,6 +29,54 @@ def indicator_verdicts(events: DataFrame, as_of) -> DataFrame:
     return out.withColumn("kind", intel.indicator_kind(F.col("needle")))
 
 
+def questions(events: DataFrame) -> DataFrame:
+    """question_id, query: what is asked of the corpus about events, a row per event type and first technique.
+
+    There are at most as many as event types times mapping rules, however many events there are.
+    """
+    primary = F.get("techniques", F.lit(0))
+    own = events.select("event_type", F.coalesce(primary["technique_id"], F.lit("")).alias("t"), F.coalesce(primary["tactic"], F.lit("")).alias("tactic")).distinct()
+    name = F.coalesce(mapping.technique_name(F.col("t")), F.lit(""))
+    return own.select(F.concat_ws("/", "event_type", "t").alias("question_id"), F.concat_ws(" ", "event_type", F.replace("tactic", F.lit("-"), F.lit(" ")), name).alias("query"))
+
+
+def process_events(logs: DataFrame, as_of, docs: DataFrame, *, key: str = "event_id", raw: str = "raw", k: int = 3) -> dict[str, DataFrame]:
+    """All that is said about each event of logs (key, raw), given a corpus (docs: source, text).
+
+    events: process_log's columns with detections, behaviors and plan (arrays, without a shuffle), question_id, and
+    verdicts (array of (needle, risk, confidence), in order of needle; empty without indicators). knowledge and
+    citations: the k best sources and the verified quotes of each question_id. Blank rows get no verdict and no question.
+    """
+    events = process_log(logs, raw)
+    found = F.col("techniques.technique_id")
+    events = events.withColumns({"detections": detection.rules_of(found, BASE), "behaviors": detection.rules_of(found, BEHAVIOR), "plan": response.plan_of(found, F.col("source"))})
+    live = events.filter("parse_status <> 'rejected'")
+    asked = questions(live)
+    own_chunks = retrieval.chunks(docs)
+    each = live.select(key, F.explode("indicators").alias("indicator")).withColumn("needle", F.lower(F.trim("indicator")))
+    said = each.join(indicator_verdicts(live, as_of), "needle").groupBy(key).agg(F.array_sort(F.collect_set(F.struct("needle", "risk", "confidence"))).alias("verdicts"))
+    none = F.array().cast("array<struct<needle: string, risk: string, confidence: string>>")
+    question = F.when(F.col("parse_status") != "rejected", F.concat_ws("/", "event_type", F.coalesce(F.get(found, F.lit(0)), F.lit(""))))
+    out = events.join(said, key, "left").withColumns({"verdicts": F.coalesce("verdicts", none), "question_id": question})
+    queries = asked.select(F.col("question_id").alias("query_id"), "query")
+    cited = retrieval.verified(retrieval.citations(own_chunks, queries, k=k), docs)
+    # citations of a question stand only if all of them do
+    false = cited.filter(~F.col("valid")).select("query_id").distinct()
+    return {
+        "events": out,
+        "knowledge": retrieval.retrieve(own_chunks, queries, k).withColumnRenamed("query_id", "question_id"),
+        "citations": cited.join(false, "query_id", "left_anti").withColumnRenamed("query_id", "question_id").drop("valid"),
+    }
+
+
+def incident_reports(tables: dict[str, DataFrame], as_of: str, key: str = "event_id") -> DataFrame:
+    """key, report of each event of process_events: knowledge and citations are gathered by question first, a few each."""
+    known = tables["knowledge"].groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "source", "score", "snippet"))).alias("knowledge"))
+    cited = tables["citations"].groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "source", "char_start", "char_end", "score", "quote"))).alias("citations"))
+    rows = tables["events"].join(known, "question_id", "left").join(cited, "question_id", "left")
+    return report.incident_reports(rows, as_of).select(key, "report")
+
+
 def process_sequence(logs: DataFrame, as_of, raw: str = "raw") -> dict[str, DataFrame]:
     """Tables of sequences (logs: sequence_id, idx, raw): events, findings, sequences, anchors, rules, verdicts,
     risk, sources, reports. Blank rows are counted apart as rejected, not fatal to their sequence."""

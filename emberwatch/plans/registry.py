@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_data, queries_more, queries_security
+from . import queries_data, queries_more, queries_security, queries_whole
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = queries_security.QUERIES | queries_data.QUERIES | queries_more.QUERIES
-ORACLE_SQL: dict[str, str] = queries_security.ORACLE_SQL | queries_data.ORACLE_SQL | queries_more.ORACLE_SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = queries_security.QUERIES | queries_data.QUERIES | queries_more.QUERIES | queries_whole.QUERIES
+ORACLE_SQL: dict[str, str] = queries_security.ORACLE_SQL | queries_data.ORACLE_SQL | queries_more.ORACLE_SQL | queries_whole.ORACLE_SQL
