@@ -46,12 +46,15 @@ def term_weights(own_chunks: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def scored_chunks(own_chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, source, index, score, of chunks that share a term with a query."""
+    """query_id, source, index, score, of chunks that share a term with a query.
+
+    Scores are rounded, so that the order in which weights are added up doesn't decide between equals.
+    """
     weights = term_weights(own_chunks, queries)
     total = weights.groupBy("query_id").agg(F.sum("weight").alias("total"))
     each = own_chunks.select("source", "index", F.explode(terms(F.col("text"))).alias("term")).join(weights, "term")
     own = each.groupBy("query_id", "source", "index").agg(F.sum("weight").alias("own"))
-    return own.join(total, "query_id").select("query_id", "source", "index", (F.col("own") / F.col("total")).alias("score"))
+    return own.join(total, "query_id").select("query_id", "source", "index", F.round(F.col("own") / F.col("total"), 12).alias("score"))
 
 
 def retrieve(own_chunks: DataFrame, queries: DataFrame, k: int = 3, snippet: int = 160) -> DataFrame:

@@ -194,10 +194,10 @@ def behavior_status(spark, sf_dir):
     return intel.behavior_status(records, corpus, as_of).select("behavior_id", "status")
 
 
-@query("newest_retrieval", "SELECT max(o_orderdate)::DATE AS as_of, count(*) AS n FROM orders")
+@query("newest_retrieval", "SELECT CAST(max(o_orderdate)::DATE AS VARCHAR) AS as_of, count(*) AS n FROM orders")
 def newest_retrieval(spark, sf_dir):
     own = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("retrieved"))
-    return own.agg(F.count(F.lit(1)).alias("n")).select(intel.default_as_of(own, own.limit(0)).cast("date").alias("as_of"), "n")
+    return own.agg(F.count(F.lit(1)).alias("n")).select(intel.default_as_of(own, own.limit(0)).cast("string").alias("as_of"), "n")
 
 
 @query("indicators_distinct", f"WITH {LOGS_SQL} SELECT DISTINCT source AS indicator FROM soc WHERE source IS NOT NULL")

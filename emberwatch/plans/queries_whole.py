@@ -106,7 +106,7 @@ def incident_reports(spark, sf_dir):
     return own.select("event_id", (F.size("s") - 1).alias("n_sections"), body("Techniques").alias("techniques"), body("Severity score").alias("score"), body("Indicators").alias("indicators"), body("Response plan (draft)").alias("plan"))
 
 
-@query("event_citations", f"""WITH {WHOLE_SQL}, {QUESTIONS_SQL}, top AS (SELECT query_id, source, own / total AS score, row_number() OVER (PARTITION BY query_id ORDER BY own / total DESC, source) AS rank FROM s JOIN total USING (query_id) QUALIFY rank <= 3)
+@query("event_citations", f"""WITH {WHOLE_SQL}, {QUESTIONS_SQL}, top AS (SELECT query_id, source, own / total AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(own / total, 12) DESC, source) AS rank FROM s JOIN total USING (query_id) QUALIFY rank <= 3)
 SELECT query_id AS question_id, CAST(rank AS INTEGER) AS rank, source, round_even(score, 4) AS score FROM top""")
 def event_citations(spark, sf_dir):
     """Which passages are cited, once all of a question's quotes are found in their sources."""
