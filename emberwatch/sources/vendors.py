@@ -14,49 +14,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.observables import observables, sysmon_hashes
-from ..functions.text import coerced
+from ..functions.text import bound, coerced
 from ..functions.timeparse import epoch
 
 MOST_RAW, MOST_EXCERPT, MOST_DEPTH, MOST_OBSERVABLES, MOST_RECIPIENTS = 262_144, 4096, 32, 64, 32
 TEXT_ARRAY = "array<string>"
 
 
+def _scalar(value: Column) -> Column:
+    """A scalar VARIANT as bounded text. A cast renders objects and arrays as JSON, so what looks like one is looked at again."""
+
+    def text(s: Column) -> Column:
+        kind = F.schema_of_variant(value)
+        container = F.substring(s, 1, 1).isin("{", "[") & (F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY")))
+        return F.when(~container, coerced(s))
+
+    return bound(F.try_variant_get(value, "$", "string"), text)
+
+
 class Payload:
     """Values of a VARIANT column by path, coerced to bounded text; containers and missing paths are null.
 
-    Given a prefix, texts are names of columns that hold them, each path once; `asked` tells which paths
-    those columns have to be made for (see texts_of), and `owner` whose declaration is being read.
+    Given cells, texts are elements of that column of arrays, each path once; `owner` is whose declaration is being
+    read, and `asked` has the paths of each owner in the order of their elements (see texts_of).
     """
 
-    def __init__(self, column: str, prefix: str | None = None) -> None:
+    def __init__(self, column: str, cells: str | None = None) -> None:
         self.v, self.keys = F.col(column), F.col(f"{column}_keys")
-        self.prefix, self.owner = prefix, ""
-        self.asked: dict[str, tuple[str, set[str]]] = {}
+        self.cells, self.owner = F.col(cells) if cells else None, ""
+        self.asked: dict[str, dict[str, Column]] = {}
 
     def raw(self, path: str) -> Column:
         return F.try_variant_get(self.v, path if path.startswith("$") else f"$.{path}", "variant")
 
     def text(self, path: str) -> Column:
-        path = path if path.startswith("$") else f"$.{path}"
-        if self.prefix is None:
-            return self.read(path)
-        name, owners = self.asked.setdefault(path, (f"{self.prefix}{len(self.asked)}", set()))
-        owners.add(self.owner)
-        return F.col(name)
-
-    def read(self, path: str) -> Column:
-        """A scalar as text. A cast renders objects and arrays as JSON, so what looks like one is looked at again."""
-
-        def scalar(s: Column) -> Column:
-            kind = F.schema_of_variant(F.try_variant_get(self.v, path, "variant"))
-            container = F.substring(s, 1, 1).isin("{", "[") & (F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY")))
-            return F.when(~container, coerced(s))
-
-        return F.get(F.transform(F.array(F.try_variant_get(self.v, path, "string")), scalar), F.lit(0))
-
-    def texts_of(self, only: Column | None = None) -> dict[str, Column]:
-        """The columns asked for; only: the vendor of a row, to read paths of that vendor only."""
-        return {name: self.read(path) if only is None else F.when(only.isin(sorted(owners)), self.read(path)) for path, (name, owners) in self.asked.items()}
+        if self.cells is None:
+            return _scalar(self.raw(path))
+        own = self.asked.setdefault(self.owner, {})
+        if path not in own:
+            own[path] = F.get(self.cells, F.lit(len(own)))
+        return own[path]
+
+    def texts_of(self, owner: Column | None = None) -> Column:
+        """The texts asked for as an array: of all paths, or of those of the row's owner only."""
+        values = F.lit(None).cast("array<variant>")
+        for name, own in self.asked.items():
+            paths = F.array(*map(self.raw, own))
+            values = paths if owner is None else F.when(owner == name, paths).otherwise(values)
+        return F.transform(values, _scalar)
 
     def first(self, *paths: str) -> Column:
         return F.coalesce(*map(self.text, paths)) if paths else F.lit(None).cast("string")
@@ -405,18 +410,25 @@ STRUCTS = {
 }
 
 
-def _event(v: Vendor, p: Payload) -> Column:
-    """The event of one vendor as a struct."""
+def _absent() -> tuple[dict[str, Column], dict[str, Column]]:
+    """Fields and structs of an event that its vendor doesn't have."""
+    texts, none = F.array().cast(TEXT_ARRAY), F.lit(None).cast("string")
+    fields = {f"{s}.{f}": (texts if f in ("recipients", "urls") else none).alias(f) for s, own in STRUCTS.items() for f in own}
+    return fields, {s: F.struct(*[fields[f"{s}.{f}"] for f in own]).alias(s) for s, own in STRUCTS.items()}
+
+
+def _event(v: Vendor, p: Payload, fields: dict[str, Column], structs: dict[str, Column]) -> Column:
+    """The event of one vendor as a struct; fields and structs: what stands for those it doesn't have."""
 
     def value(name: str) -> Column:
-        if name in v.built:
-            return v.built[name](p)
-        kind = TEXT_ARRAY if name in ("email.recipients", "email.urls") else "string"
-        return p.first(*v.fields[name]) if name in v.fields else (F.array().cast(kind) if kind == TEXT_ARRAY else F.lit(None).cast(kind))
+        if name not in v.built and name not in v.fields:
+            return fields[name]
+        return (v.built[name](p) if name in v.built else p.first(*v.fields[name])).alias(name.split(".")[1])
 
+    held = {name.split(".")[0] for name in (*v.built, *v.fields)}
     time = v.built["timestamp"](p) if "timestamp" in v.built else epoch(p.first(*v.times))
     notes = F.array_compact(F.array(F.when(time.isNull(), "no usable timestamp"), *v.notes(p)))
-    structs = [F.struct(*[value(f"{s}.{f}").alias(f) for f in own]).alias(s) for s, own in STRUCTS.items()]
+    parts = [F.struct(*[value(f"{s}.{f}") for f in own]).alias(s) if s in held else structs[s] for s, own in STRUCTS.items()]
     return F.struct(
         F.lit(v.domain).alias("source_type"),
         F.lit(v.name).alias("vendor"),
@@ -425,7 +437,7 @@ def _event(v: Vendor, p: Payload) -> Column:
         F.array_join(F.array_compact(F.array(*v.message(p))), " ").alias("message"),
         v.activity(p).alias("activity"),
         F.when(F.size(notes) > 0, "partial").otherwise("structured").alias("parse_status"),
-        *structs,
+        *parts,
         F.array_join(F.array_compact(F.array(*v.watched(p))), " ").alias("watched"),
         notes.alias("notes"),
     )
@@ -473,19 +485,18 @@ def normalised(df: DataFrame, raw: str = "raw", vendors: list[Vendor] = VENDORS)
     df = with_payload(df, raw)
     first = Payload("payload", "__c")
     tests = claim_tests(first, vendors)
-    df = df.withColumns(first.texts_of()).withColumn("claimed_by", F.array_compact(F.array(*tests)))
+    df = df.withColumn("__c", first.texts_of()).withColumn("claimed_by", F.array_compact(F.array(*tests)))
     df = df.withColumn("__vendor", F.when(F.size("claimed_by") == 1, F.get("claimed_by", F.lit(0))))
-    # every path is read once, and only from records of vendors that have it
+    # every path of a record's vendor is read once
     p, parsed = Payload("payload", "__p"), F.when(F.lit(False), F.lit(None))
+    fields, structs = _absent()
     for v in vendors:
         p.owner = v.name
-        parsed = parsed.when(F.col("__vendor") == v.name, _event(v, p))
-    df = df.withColumns(p.texts_of(F.col("__vendor")))
-    made = [name for x in (first, p) for name, _ in x.asked.values()]
+        parsed = parsed.when(F.col("__vendor") == v.name, _event(v, p, fields, structs))
+    df = df.withColumn("__p", p.texts_of(F.col("__vendor")))
     text = F.coalesce(F.col(raw).cast("string"), F.lit(""))
     message = F.coalesce(coerced(text, MOST_EXCERPT), F.lit(""))
     note = F.coalesce("problem", F.when(F.col("payload").isNotNull(), "no vendor claims this record alone"))
-    nothing = [F.struct(*[(F.array().cast(TEXT_ARRAY) if f in ("recipients", "urls") else F.lit(None).cast("string")).alias(f) for f in own]).alias(s) for s, own in STRUCTS.items()]
     plain = F.struct(
         F.lit("unknown").alias("source_type"),
         F.lit("unrecognized").alias("vendor"),
@@ -494,14 +505,14 @@ def normalised(df: DataFrame, raw: str = "raw", vendors: list[Vendor] = VENDORS)
         message.alias("message"),
         F.lit(None).cast("string").alias("activity"),
         F.when(note.isNotNull(), "partial").otherwise("text").alias("parse_status"),
-        *nothing,
+        *structs.values(),
         F.substring(message, 1, 2048).alias("watched"),
         F.array_compact(F.array(note)).alias("notes"),
     )
     df = df.withColumn("event", F.coalesce(parsed, plain))
     seen = observables(F.col("event.watched"), MOST_OBSERVABLES)
     df = df.withColumn("event", F.col("event").withField("observables", seen).dropFields("watched"))
-    return df.withColumn("raw_excerpt", F.substring(text, 1, MOST_EXCERPT)).drop("payload", "payload_keys", "problem", "__vendor", *made)
+    return df.withColumn("raw_excerpt", F.substring(text, 1, MOST_EXCERPT)).drop("payload", "payload_keys", "problem", "__vendor", "__c", "__p")
 
 
 #: Columns that rules match on, and where they are in an event.
