@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, langid, license_scan, packing, pii, quality, simhash, warc
+from . import alignment, ann, chat, decontam, langid, license_scan, line_dedup, packing, pii, quality, simhash, spelling, warc
 from .common import crc_mod, cut, scratch, table
 
 
@@ -94,6 +94,30 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut(packing.tokenised(table(spark, sf_dir, "documents"))))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), slip=199))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokens(table(spark, sf_dir, "documents"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    kept = line_dedup.applied(docs, line_dedup.keep_bitmaps(docs, min_docs=10, min_chars=1))
+    return kept.select(F.col("doc_id").cast("long"), "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+LINES_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, doc_id, text, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+o AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT (doc_id, text)) >= 10)
+SELECT any_value(CAST(doc_id AS BIGINT)) AS doc_id, count(*) AS n_lines, count(o.key) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (o.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN o USING (key) GROUP BY r
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_decontamination": op2_decontamination,
@@ -105,6 +129,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ann": op8_ann,
     "op9_warc": op9_warc,
     "op10_best_fit": op10_best_fit,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 
@@ -130,4 +157,4 @@ def _license_sql() -> str:
     """
 
 
-ORACLE_SQL: dict[str, str] = {"op4_license_scan": _license_sql(), "op7_chat": CHAT_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_license_scan": _license_sql(), "op7_chat": CHAT_SQL, "op13_line_dedup": LINES_SQL}
