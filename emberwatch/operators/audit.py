@@ -10,9 +10,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .budget import numbered
+
 GENESIS = "0" * 64
 FIELDS = ["seq", "timestamp", "actor", "action", "action_class", "decision", "reason", "prev_hash"]
 
@@ -37,23 +39,12 @@ def head_signature(key: bytes, seq: str = "head_seq", head: str = "head_hash") -
 
 
 def rotated(entries: DataFrame, max_bytes: int, size: str = "size") -> DataFrame:
-    """entries (seq, size in bytes) with segment, from 0: a segment takes entries until it has reached max_bytes.
-
-    Where segments begin depends on all entries before, so a log is cut by running sizes of its stretches of entries:
-    the segment is the whole number of max_bytes that lie before the entry. Segments are thus as large on average as
-    those of a writer that looks at the file before each append, and none begins within an entry.
-    """
+    """entries (seq, size in bytes) with segment, from 0: as by a writer that looks at its file before each append and, once it
+    has reached max_bytes, begins a new one at zero. seq doesn't repeat."""
     if max_bytes <= 0:
         raise ValueError("max_bytes has to be positive")
-    width = 4096
-    own = entries.withColumn("__r", F.floor(F.col("seq") / width))
-    # sizes of stretches; there are n / 4096 of them, which one task sums up
-    sums = own.groupBy("__r").agg(F.sum(size).alias("__s"))
-    before = F.coalesce(F.sum("__s").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sums.select("__r", before.alias("__start"))
-    within = F.coalesce(F.sum(size).over(Window.partitionBy("__r").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = own.withColumn("__within", within).join(starts, "__r")
-    return out.withColumn("segment", F.floor((F.col("__start") + F.col("__within")) / max_bytes)).drop("__r", "__within", "__start")
+    own = numbered(entries, None, "seq", size, max_bytes, reached=True)
+    return entries.join(own.select("seq", F.col("part").cast("long").alias("segment")), "seq")
 
 
 def retained(entries: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:

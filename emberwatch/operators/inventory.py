@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalised_package, npm_purl, sri_hex
+from .budget import numbered
 
 
 def npm_components(spark: SparkSession, path: str) -> DataFrame:
@@ -51,18 +52,9 @@ def remapped(vulnerabilities: DataFrame, components: DataFrame) -> DataFrame:
 def parts(items: DataFrame, group: str, order: str, size: str, budget: int) -> DataFrame:
     """group, order, part: items in order packed one after another; a part ends where the next item would pass the budget.
 
-    The fold runs over each group's sizes only; one group is one task's.
+    Groups of any size are cut among tasks; see budget.numbered.
     """
-    rows = items.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), F.col(size).alias("n")))).alias("items"))
-    start = F.struct(F.lit(0).alias("part"), F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        full = (a["used"] > 0) & (a["used"] + x["n"] > budget)
-        part = F.when(full, a["part"] + 1).otherwise(a["part"])
-        return F.struct(part.alias("part"), F.when(full, x["n"]).otherwise(a["used"] + x["n"]).cast("long").alias("used"), F.concat(a["out"], F.array(part)).alias("out"))
-
-    numbered = rows.withColumn("parts", F.aggregate("items", start, step)["out"])
-    return numbered.select(group, F.explode(F.arrays_zip("items", "parts")).alias("z")).select(group, F.col("z.items.k").alias(order), F.col("z.parts").alias("part"))
+    return numbered(items, group, order, size, budget)
 
 
 def digest(files: DataFrame) -> DataFrame:

@@ -184,7 +184,9 @@ def audit_signatures(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", audit.head_signature(KEY, "o_orderkey", "o_orderstatus").alias("signature"))
 
 
-@query("audit_segments", """WITH s AS (SELECT o_orderkey AS seq, CAST(floor(coalesce(sum(o_custkey % 900 + 100) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 1000000.0) AS BIGINT) AS segment, sha256(CAST(o_orderkey AS VARCHAR)) AS h FROM orders), c AS (SELECT max(segment) - 2 AS oldest FROM s)
+@query("audit_segments", """WITH RECURSIVE i AS (SELECT o_orderkey AS seq, row_number() OVER (ORDER BY o_orderkey) AS r, sum(o_custkey % 900 + 100) OVER (ORDER BY o_orderkey) AS upto FROM orders),
+g AS (SELECT CAST(0 AS BIGINT) AS segment, CAST(1 AS BIGINT) AS r, CAST(0 AS HUGEINT) AS before UNION ALL SELECT g.segment + 1, n.r + 1, n.upto FROM g, LATERAL (SELECT min(i.r) AS r, min(i.upto) AS upto FROM i WHERE i.upto >= g.before + 1000000) n WHERE n.r < (SELECT count(*) FROM i)),
+s AS (SELECT seq, segment, sha256(CAST(seq AS VARCHAR)) AS h FROM i ASOF JOIN g ON i.r >= g.r), c AS (SELECT max(segment) - 2 AS oldest FROM s)
 SELECT segment, count(*) AS entries, min(seq) AS first_seq, (SELECT max(seq) FROM s, c WHERE segment < oldest) AS cut_seq, (SELECT arg_max(h, seq) FROM s, c WHERE segment < oldest) AS cut_hash FROM s, c WHERE segment >= oldest GROUP BY 1""")
 def audit_segments(spark, sf_dir):
     """Orders as log entries: the segments that are kept, and the checkpoint that is left of those that go."""
