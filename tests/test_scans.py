@@ -6,7 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from emberwatch.operators import audit, budget, inventory
+from emberwatch.operators import audit, budget, components, incidents, inventory
 
 
 def fold(rows, most, reached=False):
@@ -49,3 +49,62 @@ def test_parts_of_nothing_and_bad_budgets(spark):
         budget.numbered(df, "g", "k", "n", 0)
     log = spark.createDataFrame([(k, s) for k, s in enumerate([5, 5, 1, 30, 2, 9, 1])], "seq long, size int")
     assert [r["segment"] for r in audit.rotated(log, 10).orderBy("seq").collect()] == [0, 0, 1, 1, 2, 2, 3]
+
+
+def together(rows, window, hub):
+    """Incident of each record by all pairs."""
+    partners = {}
+    for _, _, named in rows:
+        for x in named or []:
+            partners.setdefault(x, set()).update(y for y in named if y != x)
+    up = {r: r for r, _, _ in rows}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    by_entity = {}
+    for r, at, named in rows:
+        for x in set(named or []) if at is not None else ():
+            if len(partners[x]) <= hub:
+                by_entity.setdefault(x, []).append((at, r))
+    for own in by_entity.values():
+        own.sort()
+        for (t, a), (u, b) in zip(own, own[1:], strict=False):
+            if u - t <= window:
+                a, b = find(a), find(b)
+                up[max(a, b)] = min(a, b)
+    return {r: find(r) for r in up}
+
+
+def test_incidents_by_all_pairs(spark):
+    """Chains over entities and time, records at the same time, hubs, records that name nothing or have no time."""
+    rng = random.Random(6)
+    names = [f"user:u{k}" for k in range(40)] + [f"host:h{k}" for k in range(15)]
+    rows = []
+    for r in rng.sample(range(10_000), 500):
+        named = rng.sample(names, rng.choice([0, 1, 1, 2])) + (["address:hub"] if rng.random() < 0.5 else [])
+        rows.append((r, rng.choice([None, *[round(rng.uniform(-500, 5000), 1)] * 20, 77.0]), rng.choice([named, named, named + named, None if not named else named])))
+    df = spark.createDataFrame(rows, "record_id long, at double, entities array<string>")
+    got = {r["record_id"]: r["incident_id"] for r in incidents.assigned(df, window=60, hub=30).collect()}
+    assert got == together(rows, 60, 30)
+    assert len(set(got.values())) > 100 and any(k != v for k, v in got.items())
+
+
+def test_chain_of_links_in_few_rounds(spark):
+    n = 3000
+    order = random.Random(7).sample(range(n), n)
+    df = spark.createDataFrame([(a, b) for a, b in zip(order, order[1:], strict=False)] + [(5, 5), (None, 3), (9000, 9001)], "a long, b long")
+    roots = {r["node"]: r["root"] for r in components.components(df).collect()}
+    assert roots == {**dict.fromkeys(range(n), 0), 9000: 9000, 9001: 9000}
+
+
+def test_incident_scores(spark):
+    rows = [(1, 0.0, "a", 10.0, ["user:x"]), (2, 5.0, "a", 30.0, ["user:x", "host:y"]), (3, 9.0, "b", 20.0, ["host:y"]), (4, None, "b", 99.0, None)]
+    df = spark.createDataFrame(rows, "record_id long, at double, source string, score double, entities array<string>")
+    out = [tuple(r) for r in incidents.incidents(df, window=10, hub=5).orderBy("incident_id").collect()]
+    assert out == [(1, 3, 2, ["a", "b"], 0.0, 9.0, 9.0, 62.5), (4, 1, 0, ["b"], None, None, None, 99.0)]
+    assert incidents.incidents(df.limit(0), window=10, hub=5).count() == 0
+    with pytest.raises(ValueError):
+        incidents.assigned(df, window=0, hub=5)
