@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
 from .common import cut, free_names
 
 # Each pattern finds the same as the plain form in its comment, but starts only where a run of its first
@@ -46,22 +47,39 @@ SKETCHES = 8
 #: As many rows of terms are broadcast at most; more are joined by sorting.
 FEW = 100_000
 
+#: Spans that one fold collects.
+WIDTH = 256
+#: Of the counts by SKETCHES hash functions, the one (by size) that counts: two of them may take different settings for the same.
+COUNTED = 3
+
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
+def _runs(items: Column) -> Column:
+    """An array's items in arrays of WIDTH; folds that copy what they collect run over these."""
+    return F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / WIDTH).cast("int")), lambda c: F.slice(items, c * WIDTH + 1, F.lit(WIDTH))))
+
+
 def _placed(found: Column, gaps: Column, base: Column) -> Column:
     """Structs (start, end, value) of matches, given the text between them."""
-    n = F.size(found)
-    step = F.transform(found, lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), F.length(m).alias("len"), m.alias("value")))
-    start = F.struct(base.cast("int").alias("at"), F.lit(None).cast(_SPAN).alias("out"))
+    steps = F.filter(F.zip_with(found, gaps, lambda m, g: F.struct(F.length(g).alias("gap"), F.length(m).alias("len"), m.alias("value"))), lambda x: x["value"].isNotNull())
     none = F.array().cast(_SPAN)
 
+    def sum_up(acc: Column, run: Column) -> Column:
+        size = F.aggregate(run, F.lit(0), lambda n, x: n + x["gap"] + x["len"])
+        return F.struct((acc["at"] + size).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
     def add(acc: Column, x: Column) -> Column:
-        a = (acc["at"] + x["gap"]).cast("int")
-        b = (a + x["len"]).cast("int")
-        return F.struct(b.alias("at"), F.concat(F.coalesce(acc["out"], none), F.array(F.struct(a.alias("start"), b.alias("end"), x["value"].alias("value")))).alias("out"))
+        a = acc["at"] + x["gap"]
+        b = a + x["len"]
+        return F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), b.alias("end"), x["value"].alias("value")))).alias("out"))
 
-    return F.when(n > 0, F.coalesce(F.aggregate(step, start, add)["out"], none)).otherwise(none)
+    def place(run: Column, at: Column) -> Column:
+        return F.aggregate(run, F.struct(at.alias("at"), none.alias("out")), add, lambda acc: acc["out"])
+
+    first = F.struct(base.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
+    spread = lambda runs: F.flatten(F.zip_with(runs, F.aggregate(runs, first, sum_up, lambda acc: acc["out"]), place))
+    return F.coalesce(bound(steps, lambda own: bound(_runs(own), spread)), none)
 
 
 def _digits(value: Column) -> Column:
@@ -132,14 +150,22 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return df
 
 
-def _near_terms(text: Column, span: Column, reach: int) -> Column:
-    """Structs (start, end, value) of whole words within `reach` characters of a span."""
-    size = F.length(text)
-    left = F.substring(text, F.greatest(span["start"] - reach, F.lit(0)) + 1, F.least(span["start"], F.lit(reach)))
+def _near_terms(piece: Column, span: Column, reach: int) -> Column:
+    """Structs (start, end, value) of whole words within `reach` characters of a span; piece: what _piece() gives for it."""
+    text, lo, size = piece["text"], piece["lo"], piece["size"]
+    left = F.substring(text, F.greatest(span["start"] - reach, F.lit(0)) - lo + 1, F.least(span["start"], F.lit(reach)))
     left = F.when(span["start"] > reach, F.regexp_replace(left, r"^[\p{L}\p{M}]+", "")).otherwise(left)
-    right = F.substring(text, span["end"] + 1, F.lit(reach))
+    right = F.substring(text, span["end"] - lo + 1, F.lit(reach))
     right = F.when(span["end"] + reach < size, F.regexp_replace(right, r"[\p{L}\p{M}]++$", "")).otherwise(right)
-    return F.concat(_placed(*_split(left, TERM), span["start"] - F.length(left)), _placed(*_split(right, TERM), span["end"]))
+    near = lambda own, base: bound(own, lambda t: _placed(*_split(t, TERM), base(t)))
+    return F.concat(near(left, lambda t: span["start"] - F.length(t)), near(right, lambda t: span["end"]))
+
+
+def _piece(text: Column, run: Column, size: Column, reach: int) -> Column:
+    """The part of a text that holds a run of spans and what is within reach, where it starts, and the text's length."""
+    lo = F.greatest(F.get(run, F.lit(0))["start"] - reach, F.lit(0))
+    hi = F.element_at(run, -1)["end"] + reach
+    return F.struct(F.substring(text, lo + 1, hi - lo).alias("text"), lo.alias("lo"), size.alias("size"))
 
 
 def _entity(kind: str, value: Column) -> Column:
@@ -147,8 +173,15 @@ def _entity(kind: str, value: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), own)
 
 
-def _mention(span: Column, kind: str, reach: int) -> Column:
-    return F.struct(_entity(kind, span["value"]).alias("entity"), _near_terms(F.col("text"), span, reach).alias("terms"))
+def _mention(span: Column, kind: str, piece: Column, reach: int) -> Column:
+    return F.struct(_entity(kind, span["value"]).alias("entity"), _near_terms(piece, span, reach).alias("terms"))
+
+
+def _mentions_of(kind: str, reach: int) -> Column:
+    """Mentions of one kind; the text is cut for runs of spans, and each span looks at its run's piece."""
+    of_run = lambda size: lambda run: bound(_piece(F.col("text"), run, size, reach), lambda piece: F.transform(run, _each(_mention, kind, piece, reach)))
+    mine = bound(F.length("text"), lambda size: bound(_runs(F.col(kind)), lambda runs: F.flatten(F.transform(runs, of_run(size)))))
+    return F.coalesce(mine, F.array().cast(f"array<struct<entity:string,terms:{_SPAN}>>"))
 
 
 def _with_pairs(m: Column) -> Column:
@@ -167,14 +200,16 @@ def _with_setting(m: Column) -> Column:
 
 def _mentions(spans: DataFrame, reach: int) -> DataFrame:
     """spans without text, but with mentions array<struct<entity, terms, setting>>: of each entity the terms near it."""
-    per_kind = [F.transform(F.col(k), _each(_mention, k, reach)) for k in KINDS]
+    per_kind = [_mentions_of(k, reach) for k in KINDS]
     return spans.withColumn("mentions", F.transform(F.transform(F.concat(*per_kind), _with_pairs), _with_setting)).drop("text")
 
 
 def _settings(rows: DataFrame, *keys: str) -> DataFrame:
-    """keys, n: distinct settings of each key, at least one."""
+    """keys, n: distinct settings of each key, at least one. A hash function takes settings for the same that share their least hash,
+    so one common pair of words may hide a setting from some; copies but for a word are the same to nearly all."""
     each = rows.select(*keys, F.posexplode("setting").alias("k", "hash")).distinct()
-    return each.groupBy(*keys, "k").agg(F.count("hash").alias("n")).groupBy(*keys).agg(F.greatest(F.min("n"), F.lit(1)).alias("n"))
+    counts = each.groupBy(*keys, "k").agg(F.count("hash").alias("n")).groupBy(*keys).agg(F.array_sort(F.collect_list("n")).alias("n"))
+    return counts.withColumn("n", F.get("n", F.lit(COUNTED - 1)))
 
 
 def _terms(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -217,18 +252,8 @@ def disclosures(docs: DataFrame, found: DataFrame, *, generalise: float, remove:
 
 def _term_places(text: Column, verdicts: Column) -> Column:
     """Structs (start, end, action) of the words of a text that are in verdicts, a map of lower-case terms to actions."""
-    kind = "array<struct<start:int,end:int,action:string>>"
-    found, gaps = _split(text, TERM)
-    step = F.transform(found, lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), F.length(m).alias("len"), F.try_element_at(verdicts, F.lower(m)).alias("action")))
-    none = F.array().cast(kind)
-
-    def add(acc: Column, x: Column) -> Column:
-        a = (acc["at"] + x["gap"]).cast("int")
-        b = (a + x["len"]).cast("int")
-        more = F.concat(F.coalesce(acc["out"], none), F.array(F.struct(a.alias("start"), b.alias("end"), x["action"].alias("action"))))
-        return F.struct(b.alias("at"), F.when(x["action"].isNull(), acc["out"]).otherwise(more).alias("out"))
-
-    return F.coalesce(F.aggregate(step, F.struct(F.lit(0).alias("at"), F.lit(None).cast(kind).alias("out")), add)["out"], none)
+    each = F.transform(_placed(*_split(text, TERM), F.lit(0)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.try_element_at(verdicts, F.lower(s["value"])).alias("action")))
+    return F.filter(each, lambda s: s["action"].isNotNull())
 
 
 def _disclosing_places(docs: DataFrame, found: DataFrame, disclosing: DataFrame) -> DataFrame:
@@ -237,14 +262,16 @@ def _disclosing_places(docs: DataFrame, found: DataFrame, disclosing: DataFrame)
     Words that touch an entity's value are words only once it is cut off, so the terms near entities are looked at as well.
     """
     known = cut(disclosing.select("entity").distinct())
-    having = found.select("doc_id", "text_key", F.flatten("mentions.terms").alias("near"), F.explode(F.array_distinct(F.col("mentions.entity"))).alias("entity"))
-    having = having.join(known, "entity").groupBy(F.col("doc_id").alias("__d"), F.col("text_key").alias("__t")).agg(F.collect_set("entity").alias("entities"), F.first("near").alias("near"))
+    having = found.select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__t"), F.explode(F.array_distinct(F.col("mentions.entity"))).alias("entity"))
+    having = cut(having.join(known, "entity").groupBy("__d", "__t").agg(F.collect_set("entity").alias("entities")))
+    # the terms aren't carried along with every entity, and repeated rows weigh once
+    terms = found.join(having.drop("entities"), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("text_key") == F.col("__t"))).groupBy("doc_id", "text_key").agg(F.flatten(F.first("mentions.terms")).alias("near"))
+    having = having.join(terms, F.col("__d").eqNullSafe(F.col("doc_id")) & (F.col("__t") == F.col("text_key"))).select("__d", "__t", "entities", "near")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
     rows = rows.join(having, rows["doc_id"].eqNullSafe(having["__d"]) & (rows["text_key"] == having["__t"])).select("__d", "__t", "text", "near", "entities")
     rows = cut(rows.dropDuplicates(["__d", "__t"]))
-    words = F.concat(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.col("near.value"))
-    each = rows.select("__d", "__t", "entities", F.explode(F.array_distinct(F.transform(words, F.lower))).alias("term")).select("__d", "__t", "term", F.explode("entities").alias("entity"))
-    hits = each.join(disclosing, ["entity", "term"]).groupBy("__d", "__t", "term").agg(F.max("action").alias("action"))  # remove > generalise
+    # entities bring their few terms; a document's words are only looked up
+    hits = rows.select("__d", "__t", F.explode("entities").alias("entity")).join(disclosing, "entity").groupBy("__d", "__t", "term").agg(F.max("action").alias("action"))  # remove > generalise
     own = hits.groupBy(F.col("__d").alias("__e"), F.col("__t").alias("__u")).agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("verdicts"))
     rows = rows.join(own, rows["__d"].eqNullSafe(own["__e"]) & (rows["__t"] == own["__u"]))
     near = F.transform("near", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.try_element_at("verdicts", F.lower(t["value"])).alias("action")))
@@ -306,11 +333,21 @@ def sanitised(docs: DataFrame, **how) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     joined = docs.join(changes, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(text) == F.col(t)), "left")
 
-    def add(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        mark = F.coalesce(s["mark"], _class(F.substring(text, s["start"] + 1, s["end"] - s["start"])))
-        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), mark)
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, more).otherwise(acc["out"]).alias("out"))
+    def add(piece: Column, base: Column):
+        def one(acc: Column, s: Column) -> Column:
+            fresh = s["start"] >= acc["at"]
+            mark = F.coalesce(s["mark"], _class(F.substring(piece, s["start"] - base + 1, s["end"] - s["start"])))
+            more = F.concat(acc["out"], F.substring(piece, acc["at"] - base + 1, s["start"] - acc["at"]), mark)
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, more).otherwise(acc["out"]).alias("out"))
+
+        return one
+
+    def add_run(acc: Column, run: Column) -> Column:
+        end = F.array_max(F.transform(run, lambda s: s["end"]))
+        piece = F.substring(text, acc["at"] + 1, F.greatest(end - acc["at"], F.lit(0)))
+        changed = bound(piece, lambda p: F.aggregate(run, F.struct(acc["at"].alias("at"), F.lit("").alias("out")), add(p, acc["at"])))
+        return bound(changed, lambda c: F.struct(c["at"].alias("at"), F.concat(acc["out"], F.array(c["out"])).alias("out")))
 
-    done = F.aggregate(m, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    done = F.aggregate(_runs(F.col(m)), start, add_run, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
     return joined.withColumn("text", F.when(F.col(m).isNull(), F.col("text")).otherwise(done)).select(*[F.col(f"`{c}`") for c in docs.columns])
