@@ -83,7 +83,7 @@ def test_incidents_by_all_pairs(spark):
     rng = random.Random(6)
     names = [f"user:u{k}" for k in range(40)] + [f"host:h{k}" for k in range(15)]
     rows = []
-    for r in rng.sample(range(10_000), 500):
+    for r in rng.sample(range(10_000), 300):
         named = rng.sample(names, rng.choice([0, 1, 1, 2])) + (["address:hub"] if rng.random() < 0.5 else [])
         rows.append((r, rng.choice([None, *[round(rng.uniform(-500, 5000), 1)] * 20, 77.0]), rng.choice([named, named, named + named, None if not named else named])))
     df = spark.createDataFrame(rows, "record_id long, at double, entities array<string>")
@@ -93,7 +93,7 @@ def test_incidents_by_all_pairs(spark):
 
 
 def test_chain_of_links_in_few_rounds(spark):
-    n = 3000
+    n = 400
     order = random.Random(7).sample(range(n), n)
     df = spark.createDataFrame([(a, b) for a, b in zip(order, order[1:], strict=False)] + [(5, 5), (None, 3), (9000, 9001)], "a long, b long")
     roots = {r["node"]: r["root"] for r in components.components(df).collect()}
