@@ -1,14 +1,14 @@
-"""IP addresses and ranges: version 4 as arithmetic, the rest in Arrow batches."""
+"""IP addresses and ranges of both versions as numbers, without Python: version 4 as one long, version 6 as two."""
 
 from __future__ import annotations
 
 import ipaddress
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+
+from .text import bound
 
 STRICT_V4 = r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?=[0-9])|$)){4}$"
 LOOSE_V4 = r"^[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}$"
@@ -60,22 +60,72 @@ def in_v4(number: Column, cidrs: list[str]) -> Column:
     return F.coalesce(reduce(lambda a, b: a | b, tests, F.lit(False)), F.lit(False))
 
 
-def in_any(text: Column, cidrs: list[str]) -> Column:
-    """Whether a version 4 or 6 address lies in one of the ranges. Version 6 is only looked at where a colon is."""
-    nets = [ipaddress.ip_network(c, strict=False) for c in cidrs if ":" in c]
+def v6_bits(text: Column) -> Column:
+    """A version 6 address as struct (hi, lo) of two longs, its bits in order; null for any other text."""
+    body = F.regexp_replace(text, "%[^%]+$", "")
+    last = v4_number(F.regexp_extract(body, "([0-9.]+)$", 1))
+    body = F.when(F.contains(body, F.lit(".")), F.concat(F.regexp_replace(body, "[0-9.]+$", ""), F.hex(F.shiftright(last, 16)), F.lit(":"), F.hex(last.bitwiseAND(0xFFFF)))).otherwise(body)
+    groups = lambda side: F.filter(F.split(side, ":"), lambda g: g != "")
+
+    def filled(sides: Column) -> Column:
+        left, right = groups(F.get(sides, F.lit(0))), groups(F.coalesce(F.get(sides, F.lit(1)), F.lit("")))
+        return F.concat(left, F.array_repeat(F.lit("0"), F.lit(8) - F.size(left) - F.size(right)), right)
+
+    def number(all_groups: Column, at: int) -> Column:
+        parts = [F.shiftleft(F.conv(F.get(all_groups, F.lit(at + k)), 16, 10).cast("long"), 48 - 16 * k) for k in range(4)]
+        return reduce(lambda a, b: a.bitwiseOR(b), parts)
+
+    both = bound(bound(F.split(body, "::", -1), filled), lambda g: F.struct(number(g, 0).alias("hi"), number(g, 4).alias("lo")))
+    return F.when(is_v6(text), both)
 
-    @F.pandas_udf(BooleanType())
-    def in_v6(values: pd.Series) -> pd.Series:
-        def test(x: str | None) -> bool:
-            try:
-                own = ipaddress.ip_address(x or "")
-            except ValueError:
-                return False
-            return any(own.version == n.version and own in n for n in nets)
 
-        return values.map(test)
+def _long(n: int) -> int:
+    return n - (1 << 64) if n >> 63 else n
 
+
+def in_v6(bits: Column, cidrs: list[str]) -> Column:
+    """Whether v6_bits lie in one of the ranges; ranges of version 4 hold none."""
+    tests = []
+    for net in (ipaddress.ip_network(c, strict=False) for c in cidrs if ":" in c):
+        mask, first = int(net.netmask), int(net.network_address)
+        same = [bits[k].bitwiseAND(F.lit(_long(mask >> by & (1 << 64) - 1)).cast("long")) == F.lit(_long(first >> by & (1 << 64) - 1)).cast("long") for k, by in (("hi", 64), ("lo", 0))]
+        tests.append(same[0] & same[1])
+    return F.coalesce(reduce(lambda a, b: a | b, tests, F.lit(False)), F.lit(False))
+
+
+def in_any(text: Column, cidrs: list[str]) -> Column:
+    """Whether a version 4 or 6 address lies in one of the ranges. Version 6 is only looked at where a colon is."""
     four = in_v4(v4_number(text), cidrs)
-    if not nets:
+    if not any(":" in c for c in cidrs):
         return four
-    return four | (F.contains(text, F.lit(":")) & in_v6(F.when(F.contains(text, F.lit(":")), text)))
+    return four | F.when(F.contains(text, F.lit(":")), bound(v6_bits(text), lambda b: in_v6(b, cidrs))).otherwise(False)
+
+
+def prefix_key(text: Column, length: Column) -> Column:
+    """struct (version, length, hi, lo): the address's first `length` bits, by which it meets the range of that length; null if text
+    isn't an address or has fewer bits."""
+    # a shift by 64 is one by 0 in Java
+    ones = lambda n: F.when(n <= 0, F.lit(0).cast("long")).when(n >= 64, F.lit(-1).cast("long")).otherwise(F.call_function("shiftleft", F.lit(-1).cast("long"), (F.lit(64) - n).cast("int")))
+    part = lambda version, hi, lo: F.struct(F.lit(version).alias("version"), length.cast("int").alias("length"), hi.alias("hi"), lo.alias("lo"))
+    four = part(4, F.lit(0).cast("long"), v4_number(text).bitwiseAND(ones(length + 32)))
+    six = bound(v6_bits(text), lambda b: F.when(b.isNotNull(), part(6, b["hi"].bitwiseAND(ones(length)), b["lo"].bitwiseAND(ones(length - 64)))))
+    return F.when(is_strict_v4(text) & length.between(0, 32), four).when(F.contains(text, F.lit(":")) & length.between(0, 128), six)
+
+
+def in_ranges(addresses: DataFrame, ranges: DataFrame, *, value: str = "value", cidr: str = "cidr") -> DataFrame:
+    """value, cidr for each distinct address of either version: the longest of the ranges that hold it; addresses in none are left out.
+
+    Ranges meet addresses by equality of their first bits, once for each length that a range has (at most 33 and 129), so neither
+    side is compared with all of the other. Texts that aren't addresses or ranges hold nothing and lie in nothing.
+    """
+    slash = F.substring_index(cidr, "/", -1)
+    length = F.when(F.contains(F.col(cidr), F.lit("/")), slash.try_cast("int")).otherwise(F.when(F.contains(F.col(cidr), F.lit(":")), 128).otherwise(32))
+    own = ranges.select(F.col(cidr).alias("cidr"), prefix_key(F.substring_index(cidr, "/", 1), length).alias("key")).filter("key is not null")
+    own = own.groupBy("key").agg(F.min("cidr").alias("cidr"))
+    lengths = [tuple(r) for r in own.select("key.version", "key.length").distinct().collect()]  # 162 at most
+    asked = addresses.select(F.col(value).alias("value")).filter("value is not null").distinct()
+    colon = F.contains(F.col("value"), F.lit(":"))
+    of = {v: F.array(*[F.lit(n) for w, n in sorted(lengths) if w == v]).cast("array<int>") for v in (4, 6)}
+    each = asked.select("value", F.explode(F.when(colon, of[6]).otherwise(of[4])).alias("length"))
+    met = each.select("value", prefix_key(F.col("value"), F.col("length")).alias("key")).join(own, "key")
+    return met.groupBy("value").agg(F.max_by("cidr", "key.length").alias("cidr"))

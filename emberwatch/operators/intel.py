@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..content import intel_seed as seed
-from ..functions.net import in_any, in_v4, is_strict_v4, v4_number
+from ..functions.net import in_any, in_v4, in_v6, is_strict_v4, v4_number, v6_bits
+from ..functions.text import bound
 
 BASE = {"low": 0.3, "medium": 0.6, "high": 1.0}
 FLOOR = 0.15
@@ -59,20 +62,19 @@ def band(score: Column) -> Column:
     return F.when(score >= 0.75, "high").when(score >= 0.4, "medium").when(score >= FLOOR, "low").otherwise("none")
 
 
+SCOPES = {"private": INTERNAL, "loopback": ["127.0.0.0/8", "::1/128"], "link_local": ["169.254.0.0/16", "fe80::/10"], "multicast": ["224.0.0.0/4", "ff00::/8"]}
+
+
 def indicator_kind(value: Column) -> Column:
-    """private, loopback, link_local, multicast, public, domain or unknown; native for version 4."""
+    """private, loopback, link_local, multicast or public for addresses of both versions; domain or unknown otherwise."""
     v = F.lower(F.trim(value))
-    ip = is_strict_v4(v)
-    n = v4_number(v)
-    return (
-        F.when(ip & in_v4(n, INTERNAL), "private")
-        .when(ip & in_v4(n, ["127.0.0.0/8"]), "loopback")
-        .when(ip & in_v4(n, ["169.254.0.0/16"]), "link_local")
-        .when(ip & in_v4(n, ["224.0.0.0/4"]), "multicast")
-        .when(ip, "public")
-        .when(F.contains(v, F.lit(".")), "domain")
-        .otherwise("unknown")
-    )
+
+    def scope(number: Column, test) -> Column:
+        return reduce(lambda c, kv: c.when(test(number, kv[1]), kv[0]), list(SCOPES.items())[1:], F.when(test(number, INTERNAL), "private")).otherwise("public")
+
+    four = F.when(is_strict_v4(v), bound(v4_number(v), lambda n: scope(n, in_v4)))
+    six = F.when(F.contains(v, F.lit(":")), bound(v6_bits(v), lambda b: F.when(b.isNotNull(), scope(b, in_v6))))
+    return F.coalesce(four, six, F.when(F.contains(v, F.lit(".")), "domain").otherwise("unknown"))
 
 
 def verdicts(values: DataFrame, indicators: DataFrame, own_sources: DataFrame, as_of: Column, *, value: str = "value", never_flag: list[str] = seed.NEVER_FLAG) -> DataFrame:

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..content.intel_seed import NEVER_FLAG
 from ..functions.lineage import kept
-from ..operators import incidents
+from ..functions.net import in_any, in_ranges
+from ..operators import incidents, intel
 from ..sources import vendors
 from .adapter import table
 from .queries_more import RECORDS
@@ -94,3 +96,34 @@ round(least(100.0, sum(score) * (1 + 0.25 * (count(*) - 1))), 4)::DOUBLE AS scor
 def incident_scores(spark, sf_dir):
     found = incidents.incidents(incident_records(spark, sf_dir), window=WINDOW, hub=HUB)
     return found.withColumn("sources", F.array_join("sources", ","))
+
+
+#: Kinds of version 6 texts by event_id, with a number in hexadecimal as %X.
+SIX = [("fd00::%X", "private"), ("::1", "loopback"), ("fe80::%X%eth0", "link_local"), ("ff02::%X", "multicast"), ("2001:DB8:0:0:0:0:0:%X", "public"), ("::ffff:10.0.0.1", "public"), ("2001:db8::%X::1", "unknown"), ("2001:db8:%X", "unknown")]
+
+
+@query("indicator_kind_v6", f"""SELECT event_id, CASE event_id % {len(SIX)} {' '.join(f"WHEN {i} THEN '{k}'" for i, (_, k) in enumerate(SIX))} END AS kind, event_id % {len(SIX)} < 4 AS never_flag FROM events""")
+def indicator_kind_v6(spark, sf_dir):
+    text = F.element_at(F.array(*[F.lit(t) for t, _ in SIX]), (F.col("event_id") % len(SIX) + 1).cast("int"))
+    own = table(spark, sf_dir, "events").select("event_id", F.replace(text, F.lit("%X"), F.lower(F.hex(F.col("user_id") % 65536))).alias("value"))
+    return own.select("event_id", intel.indicator_kind(F.col("value")).alias("kind"), in_any(F.col("value"), NEVER_FLAG).alias("never_flag"))
+
+
+@query("address_ranges", """WITH a AS (SELECT DISTINCT o_custkey AS c, o_orderkey % 3 AS k, o_orderkey % 7 AS s, o_orderkey % 200 AS h FROM orders),
+v AS (SELECT c, k, s, CASE k WHEN 0 THEN '2001:db8:' || lower(hex(c)) || ':' || s || '::' || h WHEN 1 THEN '10.' || (c // 256 % 256) || '.' || (c % 256) || '.' || h ELSE '2001:0DB8:' || hex(c) || ':0:0:0:0.0.0.' || h END AS value FROM a)
+SELECT DISTINCT value, CASE WHEN k = 1 AND c % 2 = 0 AND c_custkey IS NOT NULL THEN '10.' || (c // 256 % 256) || '.' || (c % 256) || '.0/24' WHEN k = 1 THEN '10.0.0.0/8'
+WHEN c % 3 = 1 AND c_custkey IS NOT NULL AND c % 7 = CASE k WHEN 0 THEN s ELSE 0 END THEN '2001:db8:' || lower(hex(c)) || ':' || (c % 7) || '::/64' WHEN c % 3 < 2 AND c_custkey IS NOT NULL THEN '2001:db8:' || lower(hex(c)) || '::/48' ELSE '2001:db8::/32' END AS cidr
+FROM v LEFT JOIN customer ON c = c_custkey""")
+def address_ranges(spark, sf_dir):
+    """Addresses of orders in ranges of customers, of both versions and several lengths; the longest holds."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.lower(F.hex("c_custkey")).alias("x"))
+    k = F.col("c_custkey")
+    own = F.array(
+        F.when(k % 3 < 2, F.format_string("2001:db8:%s::/48", "x")),
+        F.when(k % 3 == 1, F.format_string("2001:db8:%s:%d::/64", F.col("x"), k % 7)),
+        F.when(k % 2 == 0, F.format_string("10.%d.%d.0/24", F.floor(k / 256) % 256, k % 256)),
+    )
+    ranges = c.select(F.explode(F.array_compact(own)).alias("cidr")).unionByName(spark.createDataFrame([("2001:db8::/32",), ("10.0.0.0/8",)], "cidr string"))
+    o, k, h = F.col("o_custkey"), F.col("o_orderkey") % 3, F.col("o_orderkey") % 200
+    value = F.when(k == 0, F.format_string("2001:db8:%s:%d::%d", F.lower(F.hex(o)), F.col("o_orderkey") % 7, h)).when(k == 1, F.format_string("10.%d.%d.%d", F.floor(o / 256) % 256, o % 256, h))
+    return in_ranges(table(spark, sf_dir, "orders").select(value.otherwise(F.format_string("2001:0DB8:%s:0:0:0:0.0.0.%d", F.hex(o), h)).alias("value")), ranges)

@@ -1,11 +1,13 @@
 """Scans that no task sees whole: parts by budget, numbered lines and tails of files, range joins, incidents."""
 
+import ipaddress
 import random
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
+from emberwatch.functions import net
 from emberwatch.operators import audit, budget, components, incidents, inventory
 
 
@@ -108,3 +110,45 @@ def test_incident_scores(spark):
     assert incidents.incidents(df.limit(0), window=10, hub=5).count() == 0
     with pytest.raises(ValueError):
         incidents.assigned(df, window=0, hub=5)
+
+
+def test_version_6_bits_as_by_the_standard_library(spark):
+    rng = random.Random(9)
+    texts = ["::", "::1", "1::", "fe80::1%eth0", "::ffff:1.2.3.4", "1:2:3:4:5:6:7::", "1::2::3", "1:2:3", "12345::", "::1.2.3", "::1.2.3.256", "1:2:3:4:5:6:7:8:9", "g::", "1.2.3.4", "", None, ":", "::%", "1:2:3:4:5:6:1.2.3.4", "ABCD::Ef"]
+    for _ in range(300):
+        own = ipaddress.IPv6Address(rng.getrandbits(128) & rng.choice([2**128 - 1, (2**16 - 1) << 64, 2**64 - 1, 255]))
+        texts += [str(own), own.exploded.upper()]
+
+    def bits(text):
+        try:
+            n = int(ipaddress.IPv6Address(text or ""))
+        except ValueError:
+            return None
+        return tuple(x - 2**64 if x >> 63 else x for x in (n >> 64, n & 2**64 - 1))
+
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", net.v6_bits(F.col("t")).alias("b")).collect()
+    assert all((r["b"] and tuple(r["b"])) == bits(r["t"]) for r in got)
+
+
+def test_addresses_in_a_hundred_thousand_ranges(spark):
+    """The longest range of either version, without comparing all with all."""
+    rng = random.Random(10)
+    v6 = lambda n: str(ipaddress.IPv6Address(0x20010DB8 << 96 | n))
+    nets = {ipaddress.ip_network((0x20010DB8 << 96 | rng.getrandbits(40) << 56, n), strict=False) for n in (0, 32, 48, 60, 64, 65, 72) for _ in range(15_000)}
+    nets |= {ipaddress.ip_network((rng.getrandbits(32), n), strict=False) for n in (4, 8, 16, 24, 31, 32) for _ in range(2000)}
+    listed = sorted(nets, key=str)
+    values = [v6(int(n.network_address) & 2**96 - 1 | 5) for n in rng.sample([n for n in listed if n.version == 6], 60)] + [v6(rng.getrandbits(96)) for _ in range(20)]
+    values += [str(ipaddress.IPv4Address(rng.getrandbits(32))) for _ in range(60)] + ["nothing", "::1", None]
+
+    def longest(value):
+        try:
+            own = ipaddress.ip_address(value or "")
+        except ValueError:
+            return None
+        return max((n for n in listed if n.version == own.version and own in n), key=lambda n: n.prefixlen, default=None)
+
+    ranges = spark.createDataFrame([(str(n),) for n in listed] + [("bad",), ("1.2.3.4/40",)], "cidr string")
+    df = net.in_ranges(spark.createDataFrame([(v,) for v in values], "value string"), ranges)
+    assert "NestedLoop" not in df._jdf.queryExecution().toString()
+    assert {r["value"]: r["cidr"] for r in df.collect()} == {v: str(n) for v in set(values) if (n := longest(v))}
+    assert net.in_ranges(spark.createDataFrame([("1.2.3.4",)], "value string"), ranges.limit(0)).count() == 0
