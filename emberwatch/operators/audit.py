@@ -13,6 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.canonical import canonical, quoted
 from .budget import numbered
 
 GENESIS = "0" * 64
@@ -145,20 +146,23 @@ def queue_counts(records: DataFrame) -> DataFrame:
     )
 
 
-def queue_digest() -> Column:
-    """Hash of an approval record: decision_id, payload (JSON text) and prev_hash as JSON with sorted keys.
+def queue_text() -> Column:
+    """Canonical JSON of an approval record: decision_id, payload (JSON text) and prev_hash; null where the payload's canonical
+    form can't be told (see canonical)."""
+    return F.concat(F.lit('{"decision_id":'), quoted(F.col("decision_id")), F.lit(',"payload":'), canonical(F.col("payload")), F.lit(',"prev":'), quoted(F.col("prev_hash")), F.lit("}"))
 
-    For payloads of ASCII text; others are escaped differently and don't verify.
-    """
-    payload = F.to_json(F.try_parse_json("payload"))
-    text = F.concat(F.lit('{"decision_id":'), F.to_json(F.try_parse_json(F.concat(F.lit('"'), F.replace(F.replace(F.col("decision_id"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')))), F.lit(',"payload":'), payload, F.lit(',"prev":"'), F.col("prev_hash"), F.lit('"}'))
-    return F.concat(F.lit("sha256:"), F.sha2(text.cast("binary"), 256))
+
+def queue_digest() -> Column:
+    """Hash of an approval record's canonical JSON."""
+    return F.concat(F.lit("sha256:"), F.sha2(queue_text().cast("binary"), 256))
 
 
 def queue_problems(records: DataFrame, genesis: str) -> DataFrame:
-    """records (line from 1, decision_id, payload, prev_hash, record_hash) with problem: hash mismatch, chain break or null."""
+    """records (line from 1, decision_id, payload, prev_hash, record_hash) with problem: chain break, malformed (the payload is
+    no JSON object), not checked (no digest can be told), hash mismatch, or null."""
     before = records.select((F.col("line") + 1).alias("__line"), F.col("record_hash").alias("__before"))
     out = records.join(before, F.col("line") == F.col("__line"), "left")
     expected = F.when(F.col("line") == 1, F.lit(genesis)).otherwise(F.col("__before"))
-    problem = F.when(~F.col("prev_hash").eqNullSafe(expected), "chain break").when(~queue_digest().eqNullSafe(F.col("record_hash")), "hash mismatch")
-    return out.withColumn("problem", problem).drop("__line", "__before")
+    problem = F.when(~F.col("prev_hash").eqNullSafe(expected), "chain break").when(F.json_object_keys("payload").isNull(), "malformed")
+    problem = problem.when(F.col("__digest").isNull(), "not checked").when(~F.col("__digest").eqNullSafe(F.col("record_hash")), "hash mismatch")
+    return out.withColumn("__digest", queue_digest()).withColumn("problem", problem).drop("__line", "__before", "__digest")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..content.intel_seed import NEVER_FLAG
 from ..functions.lineage import kept
 from ..functions.net import in_any, in_ranges
-from ..operators import incidents, intel
+from ..operators import audit, incidents, intel
 from ..sources import vendors
 from .adapter import table
 from .queries_more import RECORDS
@@ -127,3 +127,23 @@ def address_ranges(spark, sf_dir):
     o, k, h = F.col("o_custkey"), F.col("o_orderkey") % 3, F.col("o_orderkey") % 200
     value = F.when(k == 0, F.format_string("2001:db8:%s:%d::%d", F.lower(F.hex(o)), F.col("o_orderkey") % 7, h)).when(k == 1, F.format_string("10.%d.%d.%d", F.floor(o / 256) % 256, o % 256, h))
     return in_ranges(table(spark, sf_dir, "orders").select(value.otherwise(F.format_string("2001:0DB8:%s:0:0:0:0.0.0.%d", F.hex(o), h)).alias("value")), ranges)
+
+
+#: JSON of a text in ASCII: DuckDB escapes only what JSON demands, in lower case but for the letters of control characters.
+ASCII_SQL = """list_aggregate(list_transform(string_split({0}, ''), lambda c: CASE WHEN c = '"' THEN '\\"' WHEN c = chr(92) THEN chr(92) || chr(92) WHEN c = chr(10) THEN '\\n' WHEN c = chr(13) THEN '\\r' WHEN c = chr(9) THEN '\\t' WHEN unicode(c) BETWEEN 32 AND 126 THEN c
+WHEN unicode(c) > 65535 THEN printf('\\u%04x\\u%04x', 55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024) ELSE printf('\\u%04x', unicode(c)) END), 'string_agg', '')"""
+NOTE = "Überprüfung \U0001f600: "
+
+
+@query("approval_digests", f"""WITH p AS (SELECT doc_id, 'd-' || doc_id || '-é' AS decision, '{NOTE}' || coalesce(text, '') AS note, CAST(doc_id % 100 AS VARCHAR) || '.5' AS score, 'sha256:' || sha256(CAST(doc_id AS VARCHAR)) AS prev FROM documents),
+t AS (SELECT doc_id, '{{"decision_id":"' || {ASCII_SQL.format("decision")} || '","payload":{{"a":{{"note":"' || {ASCII_SQL.format("note")} || '","z":[' || score || ',null]}},"\\u00fc":' || doc_id || '}},"prev":"' || prev || '"}}' AS canonical FROM p)
+SELECT doc_id, 'sha256:' || sha256(canonical) AS digest, CAST(length(canonical) AS BIGINT) AS n_ascii FROM t""")
+def approval_digests(spark, sf_dir):
+    """Digests of approvals with the text of every document in an unsorted, nested payload."""
+    d = table(spark, sf_dir, "documents")
+    note = F.concat(F.lit(NOTE), F.coalesce("text", F.lit("")))
+    z = F.array(F.concat((F.col("doc_id") % 100).cast("string"), F.lit(".50")).cast("decimal(6,2)"), F.lit(None))
+    payload = F.to_json(F.struct(F.col("doc_id").alias("ü"), F.struct(z.alias("z"), note.alias("note")).alias("a")), {"ignoreNullFields": "false"})
+    rows = d.select("doc_id", F.format_string("d-%d-é", "doc_id").alias("decision_id"), payload.alias("payload"), F.concat(F.lit("sha256:"), F.sha2(F.col("doc_id").cast("string").cast("binary"), 256)).alias("prev_hash"))
+    own = audit.queue_text()
+    return rows.select("doc_id", own.alias("text")).select("doc_id", F.concat(F.lit("sha256:"), F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), F.length("text").cast("long").alias("n_ascii"))

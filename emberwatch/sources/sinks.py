@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.canonical import uuid5
+
 
 def write_vectors(chunks: DataFrame, path: str) -> None:
     """Appends source, index, char_start, text, vector; raises where vectors differ in dimension, from each other or from
@@ -23,9 +26,8 @@ def write_vectors(chunks: DataFrame, path: str) -> None:
 
 
 def point_id(source: Column, index: Column) -> Column:
-    """The same id for the same chunk: writing again replaces instead of adding."""
-    h = F.md5(F.concat_ws(":", source, index.cast("string")).cast("binary"))
-    return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    """The same id (version 5, of source:index) for the same chunk: writing again replaces instead of adding."""
+    return uuid5(uuid.NAMESPACE_URL, F.concat_ws(":", source, index.cast("string")))
 
 
 def keyed_overwrite(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
