@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.canonical import canonical, quoted
+from ..sources.lines import numbered_lines
 from .budget import numbered
 
 GENESIS = "0" * 64
@@ -65,14 +66,11 @@ def retained(entries: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
 
 
 def segments(spark: SparkSession, path: str) -> DataFrame:
-    """file_order, line, value of a log's files: numbered (oldest, the highest number, first), then the active one.
-
-    The line number is the place in its file, which is read whole: segments are bounded by rotation.
-    """
-    files = spark.read.format("binaryFile").load(path).select("path", F.col("content").cast("string").alias("text"))
-    number = F.regexp_extract("path", r"\.(\d+)$", 1).try_cast("long")
-    lines = files.select((-F.coalesce(number, F.lit(0))).alias("file_order"), F.posexplode(F.split("text", "\n")).alias("line", "value"))
-    return lines.filter(F.length(F.trim("value")) > 0)
+    """file_order, line, value of a log's files: numbered (oldest, the highest number, first), then the active one; line is the
+    place in its file, whatever its size."""
+    lines = numbered_lines(spark, path, blank=True)
+    number = F.regexp_extract("file", r"\.(\d+)$", 1).try_cast("long")
+    return lines.filter(F.length(F.trim("raw")) > 0).select((-F.coalesce(number, F.lit(0))).alias("file_order"), F.col("idx").alias("line"), F.col("raw").alias("value"))
 
 
 def parsed(lines: DataFrame) -> DataFrame:

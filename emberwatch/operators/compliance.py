@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.lines import tail_lines
+
 #: Statuses of a control result; manual ones don't count as automated. Fixed values.
 STATUSES = ["pass", "fail", "error", "attested", "manual"]
 PASSING = ["pass", "attested"]
@@ -91,9 +93,21 @@ def record_run(results: DataFrame, path: str, recorded_at: str) -> None:
     rows.select(*have).write.mode("append").option("ignoreNullFields", "false").json(path)
 
 
+def run_summary(results: DataFrame, recorded_at: str) -> DataFrame:
+    """The audit event of a run: one row of timestamp, actor, action, action_class, decision (pass where all automated controls
+    pass, else attention) and reason."""
+    n, passing = F.col("total"), F.col("passing")
+    said = {"timestamp": F.lit(recorded_at), "actor": F.lit("compliance-engine"), "action": F.lit("compliance_run"), "action_class": F.lit("read_only")}
+    said |= {"decision": F.when(passing == n, "pass").otherwise("attention"), "reason": F.format_string("%d/%d automated controls passing", passing, n)}
+    return score(results).select(*[c.alias(name) for name, c in said.items()])
+
+
 def load_evidence(spark, path: str, newest: int | None = None) -> DataFrame:
-    """Evidence rows that have just the fields they should; newest: only so many, newest first."""
-    raw = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
+    """Evidence rows that have just the fields they should; newest: only so many, newest first, of the last megabyte, which
+    alone is read then."""
+    if newest is not None and newest <= 0:
+        raise ValueError("newest has to be positive")
+    raw = spark.read.text(path).filter(F.length(F.trim("value")) > 0) if newest is None else tail_lines(spark, path).withColumnRenamed("raw", "value")
     keys = F.array_sort(F.json_object_keys("value"))
     own = raw.filter(keys == F.array(*map(F.lit, sorted(EVIDENCE)))).select(F.from_json("value", ", ".join(f"{c} string" for c in EVIDENCE)).alias("r")).select("r.*")
     return own if newest is None else own.orderBy(F.desc("recorded_at"), "control_id").limit(newest)

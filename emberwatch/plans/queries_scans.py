@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..content.intel_seed import NEVER_FLAG
-from ..functions.lineage import kept
+from ..functions.lineage import kept, scratch
 from ..functions.net import in_any, in_ranges
 from ..operators import audit, incidents, intel
-from ..sources import vendors
-from .adapter import table
+from ..sources import readers, vendors
+from .adapter import LOGS_SQL, logs, table
 from .queries_more import RECORDS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,17 @@ def approval_digests(spark, sf_dir):
     rows = d.select("doc_id", F.format_string("d-%d-é", "doc_id").alias("decision_id"), payload.alias("payload"), F.concat(F.lit("sha256:"), F.sha2(F.col("doc_id").cast("string").cast("binary"), 256)).alias("prev_hash"))
     own = audit.queue_text()
     return rows.select("doc_id", own.alias("text")).select("doc_id", F.concat(F.lit("sha256:"), F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), F.length("text").cast("long").alias("n_ascii"))
+
+
+#: Lines of a log before it is rotated.
+ROTATED = 1 << 16
+
+
+@query("numbered_log", f"WITH {LOGS_SQL} SELECT event_id // {ROTATED} AS log, row_number() OVER (PARTITION BY event_id // {ROTATED} ORDER BY event_id) - 1 AS idx, event_id || ' ' || text AS raw FROM soc0")
+def numbered_log(spark, sf_dir):
+    """Log lines of all events, written to files of ROTATED lines with blank ones between, and read back with their numbers."""
+    path = scratch(spark, "logs")
+    own = logs(spark, sf_dir).select(F.floor(F.col("event_id") / ROTATED).alias("log"), "event_id", F.concat(F.col("event_id").cast("string"), F.lit(" "), F.col("text"), F.when(F.col("event_id") % 7 == 0, "  \n \t").otherwise("")).alias("value"))
+    own.repartition("log").sortWithinPartitions("log", "event_id").drop("event_id").write.partitionBy("log").text(path)
+    lines = readers.log_lines(spark, path)
+    return lines.select(F.regexp_extract("file", "log=([0-9]+)", 1).cast("long").alias("log"), "idx", "raw")

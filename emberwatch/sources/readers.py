@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import parent_name, stripped
+from .lines import numbered_lines
 
 SUFFIXES = ("txt", "md", "rst")
 MOST_BYTES = 5_000_000
@@ -17,14 +14,12 @@ BATCH_LINES = 2000
 
 
 def log_lines(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """file, idx, raw of the lines that aren't blank, trimmed, idx from 0 in each file.
+    """file, idx, raw of the lines that aren't blank, trimmed, idx from 0 in each file, whatever the files' size.
 
-    Files are read whole to keep the order of their lines. limit: only the first lines of each file.
+    limit: only the first lines of each file.
     """
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("content").cast("string").alias("t"))
-    lines = F.filter(F.transform(F.split("t", r"\r\n|\n|\r"), stripped), lambda x: F.length(x) > 0)
-    lines = lines if limit is None else F.slice(lines, 1, limit)
-    return files.select("file", F.posexplode(lines).alias("idx", "raw"))
+    lines = numbered_lines(spark, path)
+    return lines if limit is None else lines.filter(F.col("idx") < limit)
 
 
 def unordered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -62,31 +57,20 @@ def checked_bytes(spark: SparkSession, path: str, pins: dict[str, str], most: in
 
 
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of JSON lines; lines that don't parse are left out."""
-    return spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path).filter("_bad is null").drop("_bad")
-
-
-def rules(path: str, keys: set[str] = frozenset({"name", "detection"})) -> list[dict]:
-    """Rule files (JSON objects, or lists of them) of a folder on the driver, by file name; files without the keys are skipped."""
-    out = []
-    for p in sorted(Path(path).glob("*.json")):
-        try:
-            found = json.loads(p.read_text(encoding="utf-8"))
-        except ValueError:
-            continue
-        out += [r for r in (found if isinstance(found, list) else [found]) if isinstance(r, dict) and keys <= set(r)]
-    return out
-
-
-def pinned_config(path: str, digest: str, most: int = 1 << 20) -> dict:
-    """A JSON object on the driver, if it is as pinned; raises otherwise."""
-    data = Path(path).read_bytes()
-    if len(data) > most or hashlib.sha256(data).hexdigest() != digest:
-        raise ValueError(f"{path} isn't as pinned")
-    out = json.loads(data)
-    if not isinstance(out, dict):
-        raise ValueError(f"{path} isn't an object")
-    return out
+    """Rows of JSON lines; lines that don't parse are left out (see broken_lines)."""
+    return _json(spark, path, schema).filter("_bad is null").drop("_bad", "_metadata")
+
+
+def broken_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """file, n: lines that jsonl leaves out, by file."""
+    own = _json(spark, path, schema).select("_bad", F.col("_metadata.file_path").alias("file"))
+    return own.filter("_bad is not null").groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    # what isn't an object is no record either
+    own = spark.read.text(path).filter(F.length(F.trim("value")) > 0).select("value", "_metadata", F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    return own.select("r.*", "_metadata")
 
 
 def vectors(spark: SparkSession, path: str) -> DataFrame:
