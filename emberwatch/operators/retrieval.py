@@ -17,6 +17,8 @@ STOPWORDS = ["the", "and", "for", "with", "that", "this", "from", "are", "was",
 TOKEN = "[a-z0-9]{3,}"
 #: Queries of a vector search that are broadcast at a time.
 QUERY_BLOCK = 1000
+#: Distinct terms of queries up to which chunks are cut to them before their terms become rows.
+MOST_TERMS = 1000
 
 
 def terms(text: Column, stopwords: bool = True) -> Column:
@@ -31,6 +33,15 @@ def chunks(docs: DataFrame, source: str = "source", text: str = "text", size: in
     return docs.select(F.col(source).alias("source"), F.explode(windows(body, size, overlap)).alias("c")).select("source", "c.*")
 
 
+def _asked_terms(own_chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """source, index, term of chunks, of terms that are asked for; only those leave their row where they are few."""
+    own = terms(F.col("text"))
+    wanted = [r[0] for r in queries.select(F.explode(terms(F.col("query")))).distinct().limit(MOST_TERMS + 1).collect()]
+    if len(wanted) <= MOST_TERMS:
+        own = F.array_intersect(own, F.array(*map(F.lit, wanted)).cast("array<string>"))
+    return own_chunks.select("source", "index", F.explode(own).alias("term"))
+
+
 def term_weights(own_chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, term, weight of every query term: ln(1 + N / (1 + df)) over chunks; queries: query_id, query.
 
@@ -39,7 +50,7 @@ def term_weights(own_chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """
     asked = queries.select("query_id", F.explode(terms(F.col("query"))).alias("term"))
     wanted = asked.select("term").distinct()
-    df = own_chunks.select(F.explode(terms(F.col("text"))).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = _asked_terms(own_chunks, queries).select("term").join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = own_chunks.agg(F.count(F.lit(1)).alias("n"))
     out = asked.join(df, "term", "left").crossJoin(F.broadcast(n))  # one row beside
     return out.select("query_id", "term", F.log1p(F.col("n") / (1 + F.coalesce("df", F.lit(0)))).alias("weight"))
@@ -52,7 +63,7 @@ def scored_chunks(own_chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """
     weights = term_weights(own_chunks, queries)
     total = weights.groupBy("query_id").agg(F.sum("weight").alias("total"))
-    each = own_chunks.select("source", "index", F.explode(terms(F.col("text"))).alias("term")).join(weights, "term")
+    each = _asked_terms(own_chunks, queries).join(weights, "term")
     own = each.groupBy("query_id", "source", "index").agg(F.sum("weight").alias("own"))
     return own.join(total, "query_id").select("query_id", "source", "index", F.round(F.col("own") / F.col("total"), 12).alias("score"))
 
