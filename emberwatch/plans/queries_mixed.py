@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import kept
 from ..operators import sequence, soc
 from .adapter import table
 
@@ -62,6 +63,11 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return soc.triaged(soc.normalised_input(own))
 
 
+def correlated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What correlation needs of mixed(), triaged once."""
+    return kept(mixed(spark, sf_dir).select("sequence_id", "idx", "source", "event_type", "privileged", "severity", "severity_score", "parse_status"))
+
+
 #: Words by class: each group needs one. The first class of which all groups have one holds.
 WORDS = [
     ("authentication failure", ["failed password", "invalid user"]),
@@ -127,9 +133,20 @@ def mixed_findings(spark, sf_dir):
     return sequence.findings(mixed(spark, sf_dir)).select("sequence_id", "source", "pattern", "severity", "event_count", F.array_join("evidence", ",").alias("evidence"))
 
 
+@query("mixed_summary", _sql(FOUND + "SELECT sequence_id, source, pattern, severity, CAST(len(own) AS BIGINT) AS event_count, own[1] AS first_idx, own[-1] AS last_idx FROM found"))
+def mixed_summary(spark, sf_dir):
+    return sequence.summary(correlated(spark, sf_dir)).drop("block")
+
+
+@query("mixed_evidence", _sql(FOUND + "SELECT sequence_id, source, pattern, CAST(unnest(range(len(own))) AS BIGINT) AS place, unnest(own) AS idx FROM found"))
+def mixed_evidence(spark, sf_dir):
+    own = correlated(spark, sf_dir)
+    return sequence.evidence(own, sequence.summary(own))
+
+
 @query("mixed_rollup", _sql(FOUND + """, k AS (SELECT sequence_id, count(*) AS n FROM found GROUP BY 1)
 SELECT CAST(seq AS VARCHAR) AS sequence_id, count(*) AS event_count, count(*) FILTER (source IS NULL) AS uncorrelated_count, count(*) FILTER (parse_status = 'malformed_json') AS malformed_count, CAST(any_value(coalesce(n, 0)) AS BIGINT) AS finding_count
 FROM soc LEFT JOIN k ON sequence_id = CAST(seq AS VARCHAR) GROUP BY seq"""))
 def mixed_rollup(spark, sf_dir):
-    own = mixed(spark, sf_dir)
-    return sequence.roll_up(own, sequence.findings(own)).select("sequence_id", "event_count", "uncorrelated_count", "malformed_count", "finding_count")
+    own = correlated(spark, sf_dir)
+    return sequence.roll_up(own, sequence.summary(own)).select("sequence_id", "event_count", "uncorrelated_count", "malformed_count", "finding_count")
