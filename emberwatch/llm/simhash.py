@@ -26,6 +26,12 @@ from .components import Forest, connected_components
 
 #: Fingerprints of a key that one task compares with each other or with as many others.
 CELL = 512
+#: Members of a larger key that all of its members are compared with first.
+LEADERS = 32
+#: How often those that no leader has linked choose new ones.
+ROUNDS = 4
+#: Slots in which shingles are counted to order them; their counts (8 MB) are broadcast.
+SLOTS = 1 << 20
 CHUNK = 65_536
 
 
@@ -219,22 +225,111 @@ def _verify(similarity: float):
     return _by_cell(links)
 
 
-def _cells(dealt: DataFrame, counted: DataFrame) -> DataFrame:
-    """dealt (key, nid, more), sorted by cell (key, x, y), with part.
+def _sorted(cells: DataFrame) -> DataFrame:
+    return cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+
+
+def _whole(rows: DataFrame) -> DataFrame:
+    return _sorted(rows.withColumns({"x": F.lit(0), "y": F.lit(0), "part": F.lit(0)}))
+
+
+def _led(rows: DataFrame) -> DataFrame:
+    """Cells of large keys (rows with `cells`) that hold a share of the key's members and its leaders each."""
+    leaders = rows.groupBy("key", F.pmod(F.xxhash64("nid"), F.lit(LEADERS)).alias("slot")).agg(F.min("nid").alias("nid")).select("key", "nid")
+    every = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
+    lead = rows.join(leaders, ["key", "nid"]).withColumns({"x": every, "part": F.lit(1)})
+    members = rows.withColumns({"x": F.pmod(F.xxhash64("nid"), F.col("cells")).cast("int"), "part": F.lit(0)})
+    return _sorted(members.unionByName(lead).drop("cells").withColumn("y", F.lit(-1)))
+
+
+def _across(rows: DataFrame) -> DataFrame:
+    """Cells that hold each pair of a key's rows (key, nid, root, more) with different roots: all that aren't of the key's most
+    frequent root meet all, CELL of each at once. Keys of one root have no cells."""
+    by_root = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = by_root.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
+    main = main.filter("n > most").select("key", "main", F.ceil(F.col("n") / CELL).cast("int").alias("cells"), F.ceil((F.col("n") - F.col("most")) / CELL).cast("int").alias("rests"))
+    own = rows.join(cut(main), "key")
+
+    def place(n: str):
+        return F.pmod(F.xxhash64("nid"), F.col(n)).cast("int")
 
-    A key with many members (rows of counted) is cut into cells of at most CELL members and each pair of cells is
-    compared in a place of its own, so no task gets an unbounded group and no pair is skipped.
+    def every(n: str):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    rest = own.filter("root <> main").withColumns({"x": place("rests"), "y": every("cells"), "part": F.lit(0)})
+    all_ = own.withColumns({"x": every("rests"), "y": place("cells"), "part": F.lit(1)})
+    return _sorted(rest.unionByName(all_).withColumn("y", -1 - F.col("y")).drop("main", "cells", "rests", "root"))
+
+
+def _forest(rows: DataFrame, counted: DataFrame, check, across=_across) -> DataFrame:
+    """check's links (a, b) over the rows (key, nid, more) of each key, enough to join all that its links join.
+
+    A key of at most CELL members (rows of counted) is one cell. Of a larger one, cells of members first meet LEADERS of them,
+    in up to ROUNDS rounds, which makes one component of near copies in linear time; then only pairs of different components
+    are compared, and those all.
     """
-    large = counted.select("key").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL)
-    large = large.select("key", F.ceil(F.col("n") / CELL).cast("int").alias("cells"))
-    part = F.pmod(F.xxhash64("nid"), F.col("cells")).cast("int")
-    cells = (
-        dealt.join(large, "key", "left")
-        .withColumn("part", F.when(F.col("cells").isNull(), 0).otherwise(part))
-        .withColumn("other", F.explode(F.when(F.col("cells").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("cells") - 1))))
-        .select("key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", *[c for c in dealt.columns if c != "key"])
-    )
-    return cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    large = counted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL)
+    large = cut(large.select("key", F.ceil(F.col("n") / CELL).cast("int").alias("cells")))
+    if large.isEmpty():
+        return check(_whole(rows))
+    own = cut(rows.join(large, "key"))
+    left, first = own, None
+    for _ in range(ROUNDS):  # those that no leader has linked choose leaders again; what is left over is compared below
+        found = cut(check(_led(left)))
+        first = found if first is None else first.unionByName(found)
+        linked = found.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
+        left = left.drop("cells").join(linked, "nid", "left_anti")
+        still = left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL)
+        still = cut(still.select("key", F.ceil(F.col("n") / CELL).cast("int").alias("cells")))
+        if still.isEmpty():
+            break
+        left = left.join(still, "key").select(*own.columns)
+    roots = connected_components(first)
+    named = own.drop("cells").join(roots, F.col("nid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "nid")).drop("node")
+    small = check(_whole(rows.join(large, "key", "left_anti")))
+    return small.unionByName(first).unionByName(check(across(named)))
+
+
+def _prefixes(similarity: float):
+    """Postings of sets' prefixes, for _forest: key (of group and shingle), nid, root, own.
+
+    Within a group, sets of that similarity share one of the shingles that are rarest in their common order, |set| -
+    ceil(similarity * |set|) + 1 of each. The order goes by counts in SLOTS slots, over all sets of groups of several roots,
+    then by the shingle. Only postings of several roots have their sets moved.
+    """
+
+    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(SLOTS, np.int64)
+        for pdf in batches:
+            for s in pdf["own"]:
+                np.add.at(n, np.frombuffer(s, np.int64) & (SLOTS - 1), 1)
+        slots = np.flatnonzero(n)
+        yield pd.DataFrame({"slot": slots, "n": n[slots]})
+
+    def across(named: DataFrame) -> DataFrame:
+        several = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+        rows = named.join(cut(several.select("key")), "key")
+        summed = rows.select("own").mapInPandas(counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+        often = np.zeros(SLOTS, np.int64)
+        often[summed["slot"].to_numpy(np.int64)] = summed["n"]
+        held = named.sparkSession.sparkContext.broadcast(often)
+
+        def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                first = []
+                for s in pdf["own"]:
+                    s = np.frombuffer(s, np.int64)
+                    order = np.lexsort((s, held.value[s & (SLOTS - 1)]))
+                    first.append(s[order[: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1]])
+                sizes = [len(f) for f in first]
+                at = np.repeat(np.arange(len(pdf)), sizes)
+                yield pd.DataFrame({**{c: pdf[c].to_numpy()[at] for c in ("key", "nid", "root")}, "shingle": np.concatenate([*first, np.zeros(0, np.int64)])})
+
+        posts = rows.mapInPandas(post, "key long, nid long, root long, shingle long").select(F.xxhash64("key", "shingle").alias("key"), "nid", "root")
+        mixed = posts.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+        return _across(posts.join(cut(mixed.select("key")), "key").join(rows.select("nid", "own"), "nid"))
+
+    return across
 
 
 def links(distinct: DataFrame, keys: list[list[int]], most: int, alike: float = 0.0) -> DataFrame:
@@ -244,7 +339,7 @@ def links(distinct: DataFrame, keys: list[list[int]], most: int, alike: float =
     """
     more = [c for c in ("n",) if c in distinct.columns]
     dealt = distinct.select("nid", "fp", *more).mapInPandas(_deal(keys), ", ".join(["key long, nid long, fp binary", *[f"{c} int" for c in more]]))
-    return _cells(dealt, dealt).mapInPandas(_link(most, alike), "a long, b long")
+    return _forest(dealt, dealt, lambda cells: cells.mapInPandas(_link(most, alike), "a long, b long"))
 
 
 def simhash_groups(docs: DataFrame, *, ngram: int = 3, bits: int = 64, most: int = 3, keys: list[list[int]] | None = None) -> DataFrame:
@@ -287,8 +382,8 @@ def near_groups(docs: DataFrame, *, ngram: int = 5, bits: int = 128, most: int =
     of the group with the smallest doc_id (null last), then text_key. Links are pairs whose sets of shingles have a
     Jaccard similarity of `similarity` or more; groups are what links reach.
 
-    Fingerprints only find the candidates: what their links join is a group, and in each group all pairs are
-    compared by their sets, so that neither a chance likeness joins nor a pair is lost to one. Only the
+    Fingerprints only find the candidates: what their links join is a group, and in each group no pair of different
+    components is left uncompared by its sets, so that neither a chance likeness joins nor a pair is lost to one. Only the
     members of such groups have their sets moved, once. Equal sets are one node.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -312,7 +407,7 @@ def near_groups(docs: DataFrame, *, ngram: int = 5, bits: int = 128, most: int =
     members = cut(distinct.join(likely, distinct["nid"] == likely["node"]).select(F.col("root").alias("key"), "nid", F.col("doc_id").alias("__d"), F.col("text_key").alias("__t")))
     held = rows.join(members, rows["doc_id"].eqNullSafe(members["__d"]) & (rows["text_key"] == members["__t"]))
     held = held.select("key", "nid", "text").dropDuplicates(["nid"]).mapInPandas(sets, "key long, nid long, own binary")
-    comps = connected_components(_cells(held, members).mapInPandas(_verify(similarity), "a long, b long"))
+    comps = connected_components(_forest(held, members, lambda cells: cells.mapInPandas(_verify(similarity), "a long, b long"), _prefixes(similarity)))
     named = cut(distinct.join(comps, distinct["nid"] == comps["node"], "left").select("same", "no", "doc_id", "text_key", F.coalesce("root", "nid").alias("root")))
     roots = named.groupBy("root").agg(F.min(F.struct("no", "doc_id", "text_key")).alias("least"))
     roots = cut(roots.select("root", F.col("least.doc_id").alias("component_id"), F.col("least.text_key").alias("component_key")))

@@ -55,6 +55,7 @@ def test_chunks_change_nothing(monkeypatch):
 def test_groups_against_all_pairs(spark, monkeypatch, cell):
     """Random fingerprints in clusters, linked at three bits; small cells cut the large keys."""
     monkeypatch.setattr(simhash, "CELL", cell)
+    monkeypatch.setattr(simhash, "LEADERS", cell // 4)
     rng = random.Random(5)
     values = []
     for _ in range(12):
@@ -157,6 +158,8 @@ def planted(rng, low, high, count):
 def test_near_groups_are_verified(spark, monkeypatch, cell):
     """No pair below the limit joins, not in a family of related texts either; true links inside the family do."""
     monkeypatch.setattr(simhash, "CELL", cell)
+    monkeypatch.setattr(simhash, "LEADERS", cell // 4)
+    monkeypatch.setattr(simhash, "ROUNDS", 1)
     rng = random.Random(4)
     pairs = planted(rng, 0.65, 0.79, 120)
     family = [[f"v{rng.randrange(5000)}" for _ in range(200)]]
@@ -207,3 +210,39 @@ def test_near_groups_of_the_table_by_exact_similarity(spark):
                 up[max(a, b)] = min(a, b)
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(rows, **simhash.NEAR).collect()}
     assert got == {i: find(i) for i in own}
+
+
+def test_large_groups_cost_what_their_size_costs(spark, monkeypatch):
+    """Near copies of five related templates in one group: rows that are compared grow with the members, not with their square."""
+    rng, words = random.Random(6), [f"w{i}" for i in range(5000)]
+    base = [rng.choice(words) for _ in range(120)]
+    templates = []
+    for _ in range(5):  # 0.5 to 0.7 alike each other
+        own = list(base)
+        for at in rng.sample(range(120), 6):
+            own[at] = rng.choice(words)
+        templates.append(own)
+
+    def group(n):
+        out = []
+        for i in range(n):
+            own = list(templates[i % 5])
+            own[rng.randrange(120)] = f"x{i}"
+            out.append(" ".join(own))
+        return out
+
+    seen, plain = [], simhash._sorted
+    monkeypatch.setattr(simhash, "CELL", 32)
+    monkeypatch.setattr(simhash, "LEADERS", 8)
+    monkeypatch.setattr(simhash, "_sorted", lambda cells: seen.append(cells.count() if "own" in cells.columns else 0) or plain(cells))
+    moved = {}
+    for n in (400, 1600):
+        seen.clear()
+        texts = group(n)
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs(spark, texts), keys=[[]], most=128).collect()}
+        first = [t.split() for t in texts[:10]]
+        apart = {i for i in range(5) if not any(jaccard(" ".join(first[i]), " ".join(first[j])) >= 0.8 for j in range(5) if j != i)}
+        assert len(apart) >= 3 and all(got[i] == min(j for j in range(n) if got[j] == got[i]) for i in range(n))
+        assert all({got[k] for k in range(i, n, 5)} == {i} for i in apart)
+        moved[n] = sum(seen)
+    assert moved[1600] <= 8 * moved[400], moved
