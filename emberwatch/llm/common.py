@@ -36,6 +36,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: As many rows of keys are broadcast at most; more are joined by sorting.
+FEW = 100_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df, which has been cut, to be broadcast in joins if it has few rows."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -70,15 +70,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Null ends and loops are ignored; repeated edges count once; no edges give no rows. First, shares of
     AT_ONCE links are cut to stars, each share in a task of its own, so that a group whose links were found in
-    many places has few left. Every round then is two hash aggregations and joins over the links, which are cut to one
-    star per group as it goes; the minima are cut before they are joined, so that adaptive execution can
+    many places has few left; one share is all there is to do. Every round then is two hash aggregations and joins
+    over the links, which are cut to one star per group as it goes; the minima are cut before they are joined, so that adaptive execution can
     split the joins' hubs.
     """
     now = cut(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u <> v"))
     shares = max(1, -(-now.count() // AT_ONCE))
     now = cut(now.repartition(shares).mapInPandas(_stars, "u long, v long").distinct())
-    last = _mark(now)
-    while True:
+    last = _mark(now) if shares > 1 else None
+    while shares > 1:
         now = cut(_small_star(_large_star(now)).distinct())
         mark = _mark(now)
         if mark == last:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_names
+from .common import cut, few, free_names
 from .components import Forest, connected_components
 
 #: Fingerprints of a key that one task compares with each other or with as many others.
@@ -33,6 +33,11 @@ ROUNDS = 4
 #: Slots in which shingles are counted to order them; their counts (8 MB) are broadcast.
 SLOTS = 1 << 20
 CHUNK = 65_536
+#: Hashes that find similar sets, each of the least values of ROWS hash functions: sets of a similarity of 0.8 agree in none of them
+#: with a probability of (1 - 0.8 ** ROWS) ** BANDS, 1 in 9000, however many sets there are.
+BANDS, ROWS = 30, 6
+TIMES, PLUS = np.random.default_rng(11).integers(0, 1 << 32, (2, BANDS * ROWS, 1), np.uint32) | np.uint32(1)
+MIXED = np.random.default_rng(12).integers(0, 1 << 64, ROWS, np.uint64) | np.uint64(1)
 
 
 def _digests(text: str | None, ngram: int, bits: int) -> Iterator[np.ndarray]:
@@ -71,6 +76,18 @@ def signature(text: str | None, ngram: int, bits: int) -> tuple[bytes, np.ndarra
     return _majority(digests, bits), np.unique(np.concatenate(own)) if own else np.zeros(0, np.int64)
 
 
+def bands(own: np.ndarray) -> np.ndarray:
+    """BANDS hashes of a set of 64-bit hashes; two sets agree in each with a probability of their similarity ** ROWS."""
+    if not len(own):
+        return np.zeros(0, np.int64)
+    short, least = (own.view(np.uint64) >> np.uint64(32)).astype(np.uint32), np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
+    for k in range(0, len(short), 512):
+        values = TIMES * short[k : k + 512]
+        values += PLUS
+        np.minimum(least, values.min(axis=1), out=least)
+    return (least.reshape(BANDS, ROWS) * MIXED).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
 def fingerprints(docs: DataFrame, ngram: int = 3, bits: int = 64) -> DataFrame:
     """doc_id, fp (binary) of every row, whole texts."""
 
@@ -236,6 +253,7 @@ def _whole(rows: DataFrame) -> DataFrame:
 def _led(rows: DataFrame) -> DataFrame:
     """Cells of large keys (rows with `cells`) that hold a share of the key's members and its leaders each."""
     leaders = rows.groupBy("key", F.pmod(F.xxhash64("nid"), F.lit(LEADERS)).alias("slot")).agg(F.min("nid").alias("nid")).select("key", "nid")
+    leaders = few(cut(leaders))
     every = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
     lead = rows.join(leaders, ["key", "nid"]).withColumns({"x": every, "part": F.lit(1)})
     members = rows.withColumns({"x": F.pmod(F.xxhash64("nid"), F.col("cells")).cast("int"), "part": F.lit(0)})
@@ -248,7 +266,7 @@ def _across(rows: DataFrame) -> DataFrame:
     by_root = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     main = by_root.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
     main = main.filter("n > most").select("key", "main", F.ceil(F.col("n") / CELL).cast("int").alias("cells"), F.ceil((F.col("n") - F.col("most")) / CELL).cast("int").alias("rests"))
-    own = rows.join(cut(main), "key")
+    own = rows.join(few(cut(main)), "key")
 
     def place(n: str):
         return F.pmod(F.xxhash64("nid"), F.col(n)).cast("int")
@@ -261,8 +279,9 @@ def _across(rows: DataFrame) -> DataFrame:
     return _sorted(rest.unionByName(all_).withColumn("y", -1 - F.col("y")).drop("main", "cells", "rests", "root"))
 
 
-def _forest(rows: DataFrame, counted: DataFrame, check, across=_across) -> DataFrame:
+def _forest(rows: DataFrame, counted: DataFrame, check, across=_across, dear: bool = False) -> DataFrame:
     """check's links (a, b) over the rows (key, nid, more) of each key, enough to join all that its links join.
+    dear: the rows cost much to compute, and are kept if they are needed more than once.
 
     A key of at most CELL members (rows of counted) is one cell. Of a larger one, cells of members first meet LEADERS of them,
     in up to ROUNDS rounds, which makes one component of near copies in linear time; then only pairs of different components
@@ -272,18 +291,22 @@ def _forest(rows: DataFrame, counted: DataFrame, check, across=_across) -> DataF
     large = cut(large.select("key", F.ceil(F.col("n") / CELL).cast("int").alias("cells")))
     if large.isEmpty():
         return check(_whole(rows))
-    own = cut(rows.join(large, "key"))
+    large, rows = few(large), cut(rows) if dear else rows
+    own = rows.join(large, "key")
+    own = own if dear else cut(own)
     left, first = own, None
     for _ in range(ROUNDS):  # those that no leader has linked choose leaders again; what is left over is compared below
         found = cut(check(_led(left)))
+        if first is not None and found.isEmpty():  # more leaders would hardly find any
+            break
         first = found if first is None else first.unionByName(found)
-        linked = found.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
+        linked = few(found.select(F.explode(F.array("a", "b")).alias("nid")))
         left = left.drop("cells").join(linked, "nid", "left_anti")
         still = left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL)
         still = cut(still.select("key", F.ceil(F.col("n") / CELL).cast("int").alias("cells")))
         if still.isEmpty():
             break
-        left = left.join(still, "key").select(*own.columns)
+        left = left.join(few(still), "key").select(*own.columns)
     roots = connected_components(first)
     named = own.drop("cells").join(roots, F.col("nid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "nid")).drop("node")
     small = check(_whole(rows.join(large, "key", "left_anti")))
@@ -308,10 +331,10 @@ def _prefixes(similarity: float):
 
     def across(named: DataFrame) -> DataFrame:
         several = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
-        rows = named.join(cut(several.select("key")), "key")
-        summed = rows.select("own").mapInPandas(counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+        rows = named.join(few(cut(several.select("key"))), "key")
+        summed = rows.select("own").mapInPandas(counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # 12 bytes a slot
         often = np.zeros(SLOTS, np.int64)
-        often[summed["slot"].to_numpy(np.int64)] = summed["n"]
+        often[summed["slot"].to_numpy()] = summed["n"].to_numpy()
         held = named.sparkSession.sparkContext.broadcast(often)
 
         def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -332,13 +355,16 @@ def _prefixes(similarity: float):
     return across
 
 
-def links(distinct: DataFrame, keys: list[list[int]], most: int, alike: float = 0.0) -> DataFrame:
+def links(distinct: DataFrame, keys: list[list[int]] | None, most: int, alike: float = 0.0) -> DataFrame:
     """Rows (a, b): enough links between rows (nid, fp) at most `most` bits apart that share a key, to
     join all that such links join. With a column n (sizes of sets), only sets that can have a Jaccard
-    similarity of `alike` are linked.
+    similarity of `alike` are linked. keys: positions of bits of fp; None: the hashes of a column `bands`.
     """
     more = [c for c in ("n",) if c in distinct.columns]
-    dealt = distinct.select("nid", "fp", *more).mapInPandas(_deal(keys), ", ".join(["key long, nid long, fp binary", *[f"{c} int" for c in more]]))
+    if keys is None:
+        dealt = distinct.select("nid", "fp", *more, F.posexplode("bands").alias("k", "hash")).select(F.xxhash64("k", "hash").alias("key"), "nid", "fp", *more)
+    else:
+        dealt = distinct.select("nid", "fp", *more).mapInPandas(_deal(keys), ", ".join(["key long, nid long, fp binary", *[f"{c} int" for c in more]]))
     return _forest(dealt, dealt, lambda cells: cells.mapInPandas(_link(most, alike), "a long, b long"))
 
 
@@ -382,9 +408,10 @@ def near_groups(docs: DataFrame, *, ngram: int = 5, bits: int = 128, most: int =
     of the group with the smallest doc_id (null last), then text_key. Links are pairs whose sets of shingles have a
     Jaccard similarity of `similarity` or more; groups are what links reach.
 
-    Fingerprints only find the candidates: what their links join is a group, and in each group no pair of different
-    components is left uncompared by its sets, so that neither a chance likeness joins nor a pair is lost to one. Only the
-    members of such groups have their sets moved, once. Equal sets are one node.
+    Hashes of least values (bands), or keys of fingerprint bits if they are given, and fingerprints only find the candidates:
+    what their links join is a group, and in each group no pair of different components is left uncompared by its sets, so
+    that neither a chance likeness joins nor a pair is lost to one. Only the members of such groups have their sets moved.
+    Equal sets are one node.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
@@ -393,21 +420,20 @@ def near_groups(docs: DataFrame, *, ngram: int = 5, bits: int = 128, most: int =
         for pdf in batches:
             own = [signature(t, ngram, bits) for t in pdf["text"]]
             same = [xxhash.xxh128_digest(s.tobytes()) for _, s in own]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_key": pdf["text_key"], "fp": [f for f, _ in own], "same": same, "n": [len(s) for _, s in own]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_key": pdf["text_key"], "fp": [f for f, _ in own], "same": same, "n": [len(s) for _, s in own], "bands": [bands(s) for _, s in own]})
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"key": pdf["key"], "nid": pdf["nid"], "own": [signature(t, ngram, bits)[1].tobytes() for t in pdf["text"]]})
 
-    signed = cut(rows.mapInPandas(sign, "doc_id long, text_key long, fp binary, same binary, n int"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_key", "fp", "n")).alias("first")
+    signed = cut(rows.mapInPandas(sign, "doc_id long, text_key long, fp binary, same binary, n int, bands array<long>"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_key", "fp", "n", "bands")).alias("first")
     distinct = cut(signed.groupBy("same").agg(first).select("same", "first.*").withColumn("nid", F.monotonically_increasing_id()))
-    keys = keys or near_keys(distinct.count(), bits=bits, similarity=similarity)
     likely = connected_components(links(distinct, keys, most, similarity))
     members = cut(distinct.join(likely, distinct["nid"] == likely["node"]).select(F.col("root").alias("key"), "nid", F.col("doc_id").alias("__d"), F.col("text_key").alias("__t")))
     held = rows.join(members, rows["doc_id"].eqNullSafe(members["__d"]) & (rows["text_key"] == members["__t"]))
     held = held.select("key", "nid", "text").dropDuplicates(["nid"]).mapInPandas(sets, "key long, nid long, own binary")
-    comps = connected_components(_forest(held, members, lambda cells: cells.mapInPandas(_verify(similarity), "a long, b long"), _prefixes(similarity)))
+    comps = connected_components(_forest(held, members, lambda cells: cells.mapInPandas(_verify(similarity), "a long, b long"), _prefixes(similarity), dear=True))
     named = cut(distinct.join(comps, distinct["nid"] == comps["node"], "left").select("same", "no", "doc_id", "text_key", F.coalesce("root", "nid").alias("root")))
     roots = named.groupBy("root").agg(F.min(F.struct("no", "doc_id", "text_key")).alias("least"))
     roots = cut(roots.select("root", F.col("least.doc_id").alias("component_id"), F.col("least.text_key").alias("component_key")))

@@ -246,3 +246,28 @@ def test_large_groups_cost_what_their_size_costs(spark, monkeypatch):
         assert all({got[k] for k in range(i, n, 5)} == {i} for i in apart)
         moved[n] = sum(seen)
     assert moved[1600] <= 8 * moved[400], moved
+
+
+def test_bands_find_sets_whatever_the_number_of_sets():
+    """30 keys a set; of 1000 pairs at the limit hardly one shares none, and each is shared with the similarity to the power of six."""
+    rng, shared, missed = np.random.default_rng(3), 0, 0
+    for _ in range(1000):
+        own = rng.integers(-(2**63), 2**63 - 1, 110)
+        same = simhash.bands(np.sort(own[:90])) == simhash.bands(np.sort(np.r_[own[:80], own[90:100]]))  # 80 of 100
+        shared, missed = shared + same.mean(), missed + (not same.any())
+    assert len(same) == simhash.BANDS and missed <= 2 and abs(shared / 1000 - 0.8**6) < 0.02
+    assert len(simhash.bands(np.zeros(0, np.int64))) == 0
+
+
+def test_large_groups_send_no_rows_of_counts_to_the_driver(spark, monkeypatch):
+    """The shingles' counts of a group of several components come as Arrow columns, not as a million rows of Python."""
+    rng, arrow = random.Random(9), []
+    bases = [[f"w{rng.randrange(5000)}" for _ in range(80)] for _ in range(3)]
+    texts = [" ".join([*bases[i % 3][:40], f"x{i}", *bases[i % 3][40:]]) for i in range(60)]
+    kind, plain = type(spark.range(1)), type(spark.range(1)).toArrow
+    monkeypatch.setattr(simhash, "CELL", 8)
+    monkeypatch.setattr(simhash, "LEADERS", 2)
+    monkeypatch.setattr(kind, "toPandas", lambda self: pytest.fail("rows of Python on the driver"))
+    monkeypatch.setattr(kind, "toArrow", lambda self: arrow.append(1) or plain(self))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs(spark, texts), keys=[[]], most=128).collect()}
+    assert arrow and got == {i: i % 3 for i in range(60)}
