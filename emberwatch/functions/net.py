@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -101,31 +102,40 @@ def in_any(text: Column, cidrs: list[str]) -> Column:
     return four | F.when(F.contains(text, F.lit(":")), bound(v6_bits(text), lambda b: in_v6(b, cidrs))).otherwise(False)
 
 
-def prefix_key(text: Column, length: Column) -> Column:
-    """struct (version, length, hi, lo): the address's first `length` bits, by which it meets the range of that length; null if text
-    isn't an address or has fewer bits."""
+def numbered(text: Column) -> Column:
+    """struct (version, hi, lo): an address of either version as its bits; null for any other text."""
+    part = lambda version, hi, lo: F.struct(F.lit(version).alias("version"), hi.alias("hi"), lo.alias("lo"))
+    six = bound(v6_bits(text), lambda b: F.when(b.isNotNull(), part(6, b["hi"], b["lo"])))
+    return F.when(is_strict_v4(text), part(4, F.lit(0).cast("long"), v4_number(text))).when(F.contains(text, F.lit(":")), six)
+
+
+def prefix_key(address: Column, length: Column) -> Column:
+    """struct (version, length, hi, lo): the first `length` bits of a numbered address, by which it meets the range of that length;
+    null if there is no address or it has fewer bits."""
     # a shift by 64 is one by 0 in Java
     ones = lambda n: F.when(n <= 0, F.lit(0).cast("long")).when(n >= 64, F.lit(-1).cast("long")).otherwise(F.call_function("shiftleft", F.lit(-1).cast("long"), (F.lit(64) - n).cast("int")))
-    part = lambda version, hi, lo: F.struct(F.lit(version).alias("version"), length.cast("int").alias("length"), hi.alias("hi"), lo.alias("lo"))
-    four = part(4, F.lit(0).cast("long"), v4_number(text).bitwiseAND(ones(length + 32)))
-    six = bound(v6_bits(text), lambda b: F.when(b.isNotNull(), part(6, b["hi"].bitwiseAND(ones(length)), b["lo"].bitwiseAND(ones(length - 64)))))
-    return F.when(is_strict_v4(text) & length.between(0, 32), four).when(F.contains(text, F.lit(":")) & length.between(0, 128), six)
+    four = address["version"] == 4
+    hi, lo = address["hi"].bitwiseAND(F.when(four, ones(length + 64)).otherwise(ones(length))), address["lo"].bitwiseAND(F.when(four, ones(length + 32)).otherwise(ones(length - 64)))
+    own = F.struct(address["version"].alias("version"), length.cast("int").alias("length"), hi.alias("hi"), lo.alias("lo"))
+    return F.when(length.between(0, F.when(four, 32).otherwise(128)) & address.isNotNull(), own)
 
 
-def in_ranges(addresses: DataFrame, ranges: DataFrame, *, value: str = "value", cidr: str = "cidr") -> DataFrame:
+def in_ranges(addresses: DataFrame, ranges: DataFrame, *, value: str = "value", cidr: str = "cidr", read: Callable[[Column], Column] = lambda text: text) -> DataFrame:
     """value, cidr for each distinct address of either version: the longest of the ranges that hold it; addresses in none are left out.
 
     Ranges meet addresses by equality of their first bits, once for each length that a range has (at most 33 and 129), so neither
     side is compared with all of the other. Texts that aren't addresses or ranges hold nothing and lie in nothing.
+    read: the address that a text of either side stands for, where they are written in a way of their own.
     """
     slash = F.substring_index(cidr, "/", -1)
     length = F.when(F.contains(F.col(cidr), F.lit("/")), slash.try_cast("int")).otherwise(F.when(F.contains(F.col(cidr), F.lit(":")), 128).otherwise(32))
-    own = ranges.select(F.col(cidr).alias("cidr"), prefix_key(F.substring_index(cidr, "/", 1), length).alias("key")).filter("key is not null")
-    own = own.groupBy("key").agg(F.min("cidr").alias("cidr"))
+    # texts are columns before they are read, and are read in an explosion, below which no filter repeats what reads them
+    address = F.explode(F.array_compact(F.array(numbered(F.col("text"))))).alias("address")
+    own = ranges.select(F.col(cidr).alias("cidr"), length.alias("length"), read(F.substring_index(cidr, "/", 1)).alias("text")).select("cidr", "length", address)
+    own = own.select("cidr", prefix_key(F.col("address"), F.col("length")).alias("key")).filter("key is not null").groupBy("key").agg(F.min("cidr").alias("cidr"))
     lengths = [tuple(r) for r in own.select("key.version", "key.length").distinct().collect()]  # 162 at most
-    asked = addresses.select(F.col(value).alias("value")).filter("value is not null").distinct()
-    colon = F.contains(F.col("value"), F.lit(":"))
+    asked = addresses.select(F.col(value).alias("value"), read(F.col(value)).alias("text")).distinct().select("value", address)
     of = {v: F.array(*[F.lit(n) for w, n in sorted(lengths) if w == v]).cast("array<int>") for v in (4, 6)}
-    each = asked.select("value", F.explode(F.when(colon, of[6]).otherwise(of[4])).alias("length"))
-    met = each.select("value", prefix_key(F.col("value"), F.col("length")).alias("key")).join(own, "key")
+    each = asked.select("value", "address", F.explode(F.when(F.col("address.version") == 6, of[6]).otherwise(of[4])).alias("length"))
+    met = each.select("value", prefix_key(F.col("address"), F.col("length")).alias("key")).join(own, "key")
     return met.groupBy("value").agg(F.max_by("cidr", "key.length").alias("cidr"))

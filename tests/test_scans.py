@@ -152,3 +152,22 @@ def test_addresses_in_a_hundred_thousand_ranges(spark):
     assert "NestedLoop" not in df._jdf.queryExecution().toString()
     assert {r["value"]: r["cidr"] for r in df.collect()} == {v: str(n) for v in set(values) if (n := longest(v))}
     assert net.in_ranges(spark.createDataFrame([("1.2.3.4",)], "value string"), ranges.limit(0)).count() == 0
+
+
+def test_ranges_of_customers_whose_number_fills_more_than_a_group(spark, tmp_path):
+    from emberwatch.plans import registry
+
+    keys = [0, 5, 65_535, 65_536, 65_541, 84_025, 1_000_000]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    orders = [(k, n) for i, k in enumerate([*keys, 70_000_001]) for n in range(21 * i, 21 * i + 21)]
+    spark.createDataFrame(orders, "o_custkey long, o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted(tuple(r) for r in registry.QUERIES["address_ranges"](spark, str(tmp_path)).collect())
+    want = set()
+    for c, n in orders:
+        k, s, h, known = n % 3, n % 7, n % 200, c in keys
+        if k == 1:
+            want.add((f"10.{c // 256 % 256}.{c % 256}.{h}", f"10.{c // 256 % 256}.{c % 256}.0/24" if c % 2 == 0 and known else "10.0.0.0/8"))
+            continue
+        value, group = (f"2001:db8:{c:x}:{s}::{h}", s) if k == 0 else (f"2001:0DB8:{c:X}:0:0:0:0.0.0.{h}", 0)
+        want.add((value, f"2001:db8:{c:x}:{group}::/64" if c % 3 == 1 and known and c % 7 == group else f"2001:db8:{c:x}::/48" if c % 3 < 2 and known else "2001:db8::/32"))
+    assert got == sorted(want)
