@@ -59,8 +59,10 @@ def normalised_input(df: DataFrame, raw: str = "raw") -> DataFrame:
     """
     own = stripped(F.col(raw))
     looks_json = F.startswith(own, F.lit("{")) | F.startswith(own, F.lit("["))
-    parsed = F.from_json(own, "map<string,string>", {"mode": "PERMISSIVE", "allowUnquotedControlChars": "false"})
-    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(own)).startswith("OBJECT"), F.lit(False))
+    # only what may be an object is parsed
+    braced = F.when(F.startswith(own, F.lit("{")), own)
+    parsed = F.from_json(braced, "map<string,string>", {"mode": "PERMISSIVE", "allowUnquotedControlChars": "false"})
+    is_object = F.coalesce(F.when(braced.isNotNull(), F.schema_of_variant(F.try_parse_json(braced)).startswith("OBJECT")), F.lit(False))
     fields = F.when(is_object, F.transform_values(parsed, lambda k, v: F.coalesce(v, F.lit("None")))).otherwise(F.create_map().cast("map<string,string>"))
     status = F.when(F.coalesce(own, F.lit("")) == "", "rejected").when(is_object, "structured").when(looks_json, "malformed_json").otherwise("text")
     df = df.withColumns({"fields": fields, "parse_status": status})

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..content.sigma_rules import BASE, BEHAVIOR
+from ..functions.lineage import kept
 from ..operators import detection, intel, mapping, ocsf, report, response, retrieval, risk, sequence, sigma, soc
 from ..sources import vendors
 
@@ -43,38 +44,56 @@ def questions(events: DataFrame) -> DataFrame:
 def process_events(logs: DataFrame, as_of, docs: DataFrame, *, key: str = "event_id", raw: str = "raw", k: int = 3) -> dict[str, DataFrame]:
     """All that is said about each event of logs (key, raw), given a corpus (docs: source, text).
 
-    events: process_log's columns with detections, behaviors and plan (arrays, without a shuffle), question_id, and
-    verdicts (array of (needle, risk, confidence), in order of needle; empty without indicators). knowledge and
-    citations: the k best sources and the verified quotes of each question_id. Blank rows get no verdict and no question.
+    events: process_log's columns with detections, behaviors and plan (arrays), question_id, and verdicts (array of (needle,
+    risk, confidence), in order of needle; empty without indicators). knowledge and citations: the k best sources and the
+    verified quotes of each question_id. Blank rows get no verdict and no question. All of it follows from the line alone, so
+    distinct lines are read once and kept: lines has events' columns by line, seen the line of each event (see of_events).
+    Where logs has other columns, which rules may look at, each event is a line of its own.
     """
-    events = process_log(logs, raw)
+    alone = {c.lower() for c in logs.columns} == {key.lower(), raw.lower()}
+    read = process_log(logs.select(raw).distinct() if alone else logs, raw).withColumn("line", F.col(raw if alone else key))
     found = F.col("techniques.technique_id")
-    events = events.withColumns({"detections": detection.rules_of(found, BASE), "behaviors": detection.rules_of(found, BEHAVIOR), "plan": response.plan_of(found, F.col("source"))})
-    live = events.filter("parse_status <> 'rejected'")
-    asked = questions(live)
+    read = read.withColumns({"detections": detection.rules_of(found, BASE), "behaviors": detection.rules_of(found, BEHAVIOR), "plan": response.plan_of(found, F.col("source"))})
+    question = F.when(F.col("parse_status") != "rejected", F.concat_ws("/", "event_type", F.coalesce(F.get(found, F.lit(0)), F.lit(""))))
+    lines = kept(read.withColumns({"question_id": question, "__n": F.monotonically_increasing_id()}))
+    live = lines.filter("parse_status <> 'rejected'")
+    asked = kept(questions(live))
     own_chunks = retrieval.chunks(docs)
-    each = live.select(key, F.explode("indicators").alias("indicator")).withColumn("needle", F.lower(F.trim("indicator")))
-    said = each.join(indicator_verdicts(live, as_of), "needle").groupBy(key).agg(F.array_sort(F.collect_set(F.struct("needle", "risk", "confidence"))).alias("verdicts"))
+    each = live.select("__n", F.explode("indicators").alias("indicator")).withColumn("needle", F.lower(F.trim("indicator")))
+    said = each.join(indicator_verdicts(live, as_of), "needle").groupBy("__n").agg(F.array_sort(F.collect_set(F.struct("needle", "risk", "confidence"))).alias("verdicts"))
     none = F.array().cast("array<struct<needle: string, risk: string, confidence: string>>")
-    question = F.when(F.col("parse_status") != "rejected", F.concat_ws("/", "event_type", F.coalesce(F.get(found, F.lit(0)), F.lit(""))))
-    out = events.join(said, key, "left").withColumns({"verdicts": F.coalesce("verdicts", none), "question_id": question})
+    lines = lines.join(said, "__n", "left").drop("__n").withColumn("verdicts", F.coalesce("verdicts", none))
+    seen = logs.select(key, F.col(raw if alone else key).alias("line"))
     queries = asked.select(F.col("question_id").alias("query_id"), "query")
     cited = retrieval.verified(retrieval.citations(own_chunks, queries, k=k), docs)
     # citations of a question stand only if all of them do
     false = cited.filter(~F.col("valid")).select("query_id").distinct()
     return {
-        "events": out,
+        "events": of_events(seen, lines) if alone else lines.drop("line"),
+        "lines": lines,
+        "seen": seen,
         "knowledge": retrieval.retrieve(own_chunks, queries, k).withColumnRenamed("query_id", "question_id"),
         "citations": cited.join(false, "query_id", "left_anti").withColumnRenamed("query_id", "question_id").drop("valid"),
     }
 
 
-def incident_reports(tables: dict[str, DataFrame], as_of: str, key: str = "event_id") -> DataFrame:
-    """key, report of each event of process_events: knowledge and citations are gathered by question first, a few each."""
+def of_events(seen: DataFrame, rows: DataFrame) -> DataFrame:
+    """The columns of rows (a row per line) for each event of seen (key, line); a null line is one, too."""
+    return seen.join(rows.withColumnRenamed("line", "__line"), F.col("line").eqNullSafe(F.col("__line"))).drop("line", "__line")
+
+
+def line_reports(tables: dict[str, DataFrame], as_of: str) -> DataFrame:
+    """line, report of each line of process_events: knowledge and citations are gathered by question first, a few each."""
     known = tables["knowledge"].groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "source", "score", "snippet"))).alias("knowledge"))
     cited = tables["citations"].groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "source", "char_start", "char_end", "score", "quote"))).alias("citations"))
-    rows = tables["events"].join(known, "question_id", "left").join(cited, "question_id", "left")
-    return report.incident_reports(rows, as_of).select(key, "report")
+    # a row for each question, of which there are few
+    rows = tables["lines"].join(F.broadcast(known), "question_id", "left").join(F.broadcast(cited), "question_id", "left")
+    return report.incident_reports(rows, as_of).select("line", "report")
+
+
+def incident_reports(tables: dict[str, DataFrame], as_of: str) -> DataFrame:
+    """key, report of each event of process_events."""
+    return of_events(tables["seen"], line_reports(tables, as_of))
 
 
 def process_sequence(logs: DataFrame, as_of, raw: str = "raw") -> dict[str, DataFrame]:

@@ -98,12 +98,14 @@ CASE WHEN plan = '' THEN 'No plan is proposed on this evidence.' ELSE 'Proposed
  || CASE WHEN contains(plan, 'reset') THEN chr(10) || '- tier 3: reset-account-credentials on ' || replace(target, '-', '\-') || ', by human-identity-administrator' ELSE '' END END AS plan FROM whole""")
 def incident_reports(spark, sf_dir):
     """Reports of all events: the number of their sections, and four of them."""
-    own = pipeline.incident_reports(_tables(spark, sf_dir), AS_OF).select("event_id", F.split("report", r"(?m)^## ").alias("s"))
+    tables = _tables(spark, sf_dir)
+    own = pipeline.line_reports(tables, AS_OF).select("line", F.split("report", r"(?m)^## ").alias("s"))
 
     def body(title: str):
         return F.trim(F.regexp_replace(F.get(F.filter("s", lambda x: F.startswith(x, F.lit(f"{title}\n"))), F.lit(0)), "^[^\n]*\n\n|\n+$", ""))
 
-    return own.select("event_id", (F.size("s") - 1).alias("n_sections"), body("Techniques").alias("techniques"), body("Severity score").alias("score"), body("Indicators").alias("indicators"), body("Response plan (draft)").alias("plan"))
+    parts = own.select("line", (F.size("s") - 1).alias("n_sections"), body("Techniques").alias("techniques"), body("Severity score").alias("score"), body("Indicators").alias("indicators"), body("Response plan (draft)").alias("plan"))
+    return pipeline.of_events(tables["seen"], parts)
 
 
 @query("event_citations", f"""WITH {WHOLE_SQL}, {QUESTIONS_SQL}, top AS (SELECT query_id, source, own / total AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(own / total, 12) DESC, source) AS rank FROM s JOIN total USING (query_id) QUALIFY rank <= 3)

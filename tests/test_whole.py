@@ -53,6 +53,21 @@ def test_whole_triage_of_odd_events(spark):
     assert "malicious" in reports[0] and "ssh.md" in reports[0].replace("\\", "")
 
 
+def test_whole_triage_reads_a_line_once(spark):
+    """Events of the same line, or of none, have the same said of them, from one reading; other columns keep events apart."""
+    lines = ["Failed password for root from 203.0.113.66 port 22 ssh2", None, " ", "useradd: new user: name=u1"] * 50
+    logs = spark.createDataFrame(list(enumerate(lines)), "event_id int, raw string")
+    docs = spark.createDataFrame([("a.md", "Brute force shows as authentication failure.")], "source string, text string")
+    as_of = F.lit("2026-08-21").cast("date")
+    out = pipeline.process_events(logs, as_of, docs)
+    rows = {r["event_id"]: r.asDict(recursive=True) for r in out["events"].collect()}
+    assert sorted(rows) == list(range(200)) and out["lines"].count() == 4
+    apart = pipeline.process_events(logs.withColumn("host", F.lit("h")), as_of, docs)["events"].drop("host")
+    assert {r["event_id"]: r.asDict(recursive=True) for r in apart.collect()} == rows and rows[0]["verdicts"] and rows[3]["plan"]
+    reports = {r["event_id"]: r["report"] for r in pipeline.incident_reports(out, "2026-08-21").collect()}
+    assert len(reports) == 200 and all(reports[k] == reports[k % 4] for k in reports)
+
+
 def test_plans_and_rules_as_literals_agree_with_the_joins(spark):
     from emberwatch.content.sigma_rules import BASE
     from emberwatch.operators import response
