@@ -60,10 +60,12 @@ whole AS (SELECT *, CASE event_type WHEN 'authentication failure' THEN 'ssh_fail
 def event_dossiers(spark, sf_dir):
     """Verdicts, detections, plan and question of every event."""
     join = lambda c, f: F.array_join(F.transform(c, f), ",")
-    return _tables(spark, sf_dir)["events"].select(
-        "event_id", join("detections", lambda r: r["rule_id"]).alias("detections"), join("behaviors", lambda r: r["rule_id"]).alias("behaviors"), join("plan", lambda a: a["action_id"]).alias("plan"),
+    tables = _tables(spark, sf_dir)
+    own = tables["lines"].select(
+        "line", join("detections", lambda r: r["rule_id"]).alias("detections"), join("behaviors", lambda r: r["rule_id"]).alias("behaviors"), join("plan", lambda a: a["action_id"]).alias("plan"),
         F.coalesce(F.get("plan", F.lit(0))["target"], F.lit("")).alias("target"), join("verdicts", lambda v: F.concat_ws("=", v["needle"], v["risk"])).alias("verdicts"), "question_id",
     )
+    return pipeline.of_events(tables["seen"], own)
 
 
 #: The questions of the event types that occur.

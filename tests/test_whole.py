@@ -68,6 +68,16 @@ def test_whole_triage_reads_a_line_once(spark):
     assert len(reports) == 200 and all(reports[k] == reports[k % 4] for k in reports)
 
 
+def test_dossiers_are_made_of_distinct_lines(spark, monkeypatch):
+    from emberwatch.plans import queries_whole
+
+    made = []
+    monkeypatch.setattr(pipeline, "of_events", lambda seen, rows, own=pipeline.of_events: made.append(rows) or own(seen, rows))
+    found = queries_whole.QUERIES["event_dossiers"](spark, "/root/testdata/sf0.001")
+    events = found.count()
+    assert "detections" in made[-1].columns and "fields" not in made[-1].columns and made[-1].count() < events == made[0].sparkSession.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+
+
 def test_plans_and_rules_as_literals_agree_with_the_joins(spark):
     from emberwatch.content.sigma_rules import BASE
     from emberwatch.operators import response
