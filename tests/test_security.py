@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,3 +208,28 @@ def test_mitigations(spark):
     rows = spark.createDataFrame([("isolate_host",), ("enable_account",), ("odd",), (None,)], "capability string")
     got = {r["capability"]: (r["primary"], r["mitigation_id"]) for r in response.mitigations(rows).collect()}
     assert got == {"isolate_host": ("isolate_host", "M1030"), "enable_account": ("disable_account", "M1026"), "odd": ("odd", None), None: (None, None)}
+
+
+def test_running_totals_of_dense_windows(spark):
+    """Totals as by adding up each row's window: many rows a second, borders of windows and stretches, negative and no times, no scores."""
+    import random
+    from decimal import Decimal
+
+    rng = random.Random(4)
+    times = [0.0, 9.5, 10.0, 11.0, 99.0, 100.0, 101.0, 109.9, 110.0, 111.0, 200.0, -0.5, -1.0, -100.0, -101.0, None]
+    rows = [(rng.choice(["a", "b", None]), rng.choice(["port scan", "log tampering", "other"]), rng.choice([1.5, 2.0, None, 45.0]), rng.choice([*times, rng.uniform(-300, 300)]), k) for k in range(600)]
+    rows += [("unscored", "other", None, 5.0, 600), ("unscored", "other", 3.0, 16.0, 601)]
+    df = spark.createDataFrame(rows, "entity string, event_type string, score double, timestamp double, idx long")
+    weights, second = {"port scan": "0.8", "log tampering": "1.5", "other": "1"}, lambda t: None if t is None else math.floor(t)
+    want = {}
+    for e, _, _, t, k in rows:
+        near = [Decimal(str(s)) * Decimal(weights[y]) for f, y, s, u, _ in rows if f == e and s is not None and ((t is None and u is None) or (None not in (t, u) and 0 <= second(t) - second(u) <= 10))]
+        want[k] = float(sum(near)) if near else None
+    assert {r["idx"]: r["running_total"] for r in risk.running_totals(df, 10).collect()} == want
+
+
+def test_running_totals_add_up_seconds_not_rows(spark, capsys):
+    df = spark.range(10).select(F.lit("a").alias("entity"), F.lit("other").alias("event_type"), F.lit(1.0).alias("score"), F.lit(1.0).alias("timestamp"), F.col("id").alias("idx"))
+    risk.running_totals(df, 10).explain()
+    plan = capsys.readouterr().out
+    assert "RangeFrame" not in plan and "unboundedpreceding" in plan.lower()
