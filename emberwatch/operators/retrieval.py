@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.text import sentences, squeezed, windows
-from ..functions.vector import cosine, letter_histogram
+from ..functions.vector import letter_histogram
 
 #: Words that don't count in retrieval. Fixed values.
 STOPWORDS = ["the", "and", "for", "with", "that", "this", "from", "are", "was", "were", "has", "have", "may", "any", "into", "use", "used", "uses", "per", "via", "not"]
 TOKEN = "[a-z0-9]{3,}"
-#: Queries of a vector search that are broadcast at a time.
-QUERY_BLOCK = 1000
+#: Queries and vectors of a search that one group compares, and how many of their scores it holds at a time.
+QUERY_BLOCK, VECTOR_SHARE, ROUGH = 8192, 16_384, 1 << 22
 #: Distinct terms of queries up to which chunks are cut to them before their terms become rows.
 MOST_TERMS = 1000
 
@@ -122,22 +125,93 @@ def verified(cited: DataFrame, sources: DataFrame) -> DataFrame:
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 3, *, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, key, score: exact cosine top k of stated queries (query_id, query).
 
-    Queries are dealt by their id to blocks of about QUERY_BLOCK / 2, and each block is broadcast in a pass of its own over the vectors.
+    Every query meets every vector: shares of about VECTOR_SHARE vectors meet blocks of about QUERY_BLOCK queries, each pair of them in a group
+    of its own, which returns its k best. Scores order as rounded to nine digits, then by key, so that the way in which they are added up
+    doesn't decide between equals. Scores of null vectors, or of those that hold a null, are null and come last, of zero vectors 0; vectors
+    of several dimensions raise.
     """
-    blocks = -(-queries.count() * 2 // QUERY_BLOCK)
-    if blocks < 2 or queries.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK:
-        return _search_block(vectors, queries, k, key, vector)
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    return reduce(DataFrame.unionByName, [_search_block(vectors, queries.filter(block == b), k, key, vector) for b in range(blocks)])
-
-
-def _search_block(vectors: DataFrame, queries: DataFrame, k: int, key: str, vector: str) -> DataFrame:
-    scored = vectors.select(key, vector).crossJoin(F.broadcast(queries)).select("query_id", key, cosine(F.col(vector), F.col("query")).alias("score"))
-    # the k best of each partition first, so that no query's scores meet in one task
-    best = scored.withColumn("__p", F.spark_partition_id())
-    local = best.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "__p").orderBy(F.desc("score"), key))).filter(F.col("n") <= k)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", key, "score")
+    shares, blocks = (max(1, -(-df.count() // most)) for df, most in ((vectors, VECTOR_SHARE), (queries, QUERY_BLOCK)))
+
+    def all_of(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    def one_of(name: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+
+    asked = queries.select("query_id", F.col("query").alias("vector"), one_of("query_id", blocks).alias("block"), all_of(shares).alias("share"))
+    own = vectors.select(F.col(key).alias("key"), F.col(vector).alias("vector"), all_of(blocks).alias("block"), one_of(key, shares).alias("share"))
+    schema = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField("key", vectors.schema[key].dataType), StructField("score", DoubleType())])
+    found = asked.groupBy("share", "block").cogroup(own.groupBy("share", "block")).applyInArrow(_nearest(k), schema)
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "key")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("key").alias(key), "score")
+
+
+def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows, zeros where one is null or holds a null, and which ones these aren't."""
+    own = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    sizes = pc.list_value_length(own).drop_null().unique().to_pylist()
+    if len(sizes) > 1:
+        raise ValueError("vector dimensions differ")
+    valid = own.is_valid().to_numpy(zero_copy_only=False)
+    rows = np.zeros((len(own), sizes[0] if sizes else 0))
+    values = own.flatten()
+    rows[valid] = values.to_numpy(zero_copy_only=False).reshape(valid.sum(), -1)
+    if values.null_count:
+        valid[valid] = values.is_valid().to_numpy(zero_copy_only=False).reshape(valid.sum(), -1).all(axis=1)
+        rows[~valid] = 0
+    return rows, valid
+
+
+def _nearest(k: int):
+    """The k best of a share of vectors for each of a block of queries; those that one matrix product finds are scored again, in a fixed order."""
+
+    def lengths(rows: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(rows))
+        for column in rows.T:
+            total += column * column
+        return np.sqrt(total)
+
+    def run(asked: pa.Table, own: pa.Table) -> pa.Table:
+        queries, said = _matrix(asked["vector"])
+        vectors, whole = _matrix(own["vector"])
+        if said.any() and whole.any() and queries.shape[1] != vectors.shape[1]:
+            raise ValueError("vector dimensions differ")
+        keys = pa.table({"key": own["key"]})
+        while any(pa.types.is_struct(f.type) for f in keys.schema):
+            keys = keys.flatten()
+        keys = keys.rename_columns([str(i) for i in range(keys.num_columns)])
+        place = np.empty(len(own), np.int64)  # of keys, in their order
+        place[pc.sort_indices(keys, sort_keys=[(c, "ascending") for c in keys.column_names], null_placement="at_start").to_numpy()] = np.arange(len(own))
+        by_key = np.argsort(place)
+        q, v, score, size, norm = [], [], [], lengths(queries), lengths(vectors)
+        full, none = by_key[whole[by_key]], by_key[~whole[by_key]][:k]
+        some = min(k, len(full))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            unit = vectors[full] / np.where(norm[full] > 0, norm[full], 1)[:, None]
+            for at in np.array_split(np.flatnonzero(said), max(1, said.sum() * len(full) // ROUGH)) if some else []:
+                rough = (queries[at] / np.where(size[at] > 0, size[at], 1)[:, None]) @ unit.T
+                rough[np.isnan(rough)] = np.inf
+                least = np.partition(rough, len(full) - some, axis=1)[:, len(full) - some]
+                i, j = np.nonzero(rough >= least[:, None] - 1e-8)
+                i, j = at[i], full[j]
+                both, dots = size[i] * norm[j], np.zeros(len(i))
+                for a, b in zip(queries.T, vectors.T, strict=True):
+                    dots += a[i] * b[j]
+                exact = np.where(both == 0, 0.0, dots / both)
+                scaled = np.abs(exact) * 1e9
+                rank = np.where(np.isnan(exact), np.inf, np.copysign(np.floor(scaled + 0.5), exact))
+                order = np.lexsort((place[j], -rank, i))
+                i, j, exact = i[order], j[order], exact[order]
+                best = np.arange(len(i)) - np.searchsorted(i, i) < some
+                q, v, score = [*q, i[best]], [*v, j[best]], [*score, exact[best]]
+        # without a score: vectors that are null, where there are too few others, and all of them for a query that is null
+        for i, rest in ((np.flatnonzero(said), none[: k - some]), (np.flatnonzero(~said), by_key[:k])):
+            q, v, score = [*q, np.repeat(i, len(rest))], [*v, np.tile(rest, len(i))], [*score, np.full(len(i) * len(rest), np.nan)]
+        unscored = np.repeat([False, True], [sum(map(len, score[:-2])), sum(map(len, score[-2:]))])
+        q, v = np.concatenate(q).astype(np.int64), np.concatenate(v).astype(np.int64)
+        return pa.table({"query_id": asked["query_id"].take(pa.array(q)), "key": own["key"].take(pa.array(v)), "score": pa.array(np.concatenate(score), mask=unscored)})
+
+    return run
 
 
 def embedded(own_chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:

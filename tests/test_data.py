@@ -3,6 +3,7 @@ import json
 import random
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from emberwatch.operators import audit, compliance, graph, intake, inventory, retrieval, vulnerability
@@ -236,3 +237,33 @@ def test_vector_search_of_many_queries_in_blocks(spark):
     ids = {r["vec_id"] for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id").collect()}
     found = registry.QUERIES["vector_topk_hundredths"](spark, folder).collect()
     assert {r["query_id"] for r in found} == {i for i in ids if i % 100 == 0} and len(found) == 3 * len({r["query_id"] for r in found})
+
+
+def test_vector_search_as_by_all_pairs_with_odd_vectors(spark, monkeypatch, capsys):
+    """Copies, scores that differ by less than they are rounded to, nulls, zeros, keys of structs; no join of all with all by rows."""
+    import numpy as np
+
+    from emberwatch.functions.vector import cosine
+
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(retrieval, "VECTOR_SHARE", 20)
+    monkeypatch.setattr(retrieval, "ROUGH", 50)
+    rng = np.random.default_rng(5)
+    own = rng.normal(size=(30, 5)).tolist() * 4
+    own += [[1.0, 1e-7 * (9 - i), 0.0, 0.0, 0.0] for i in range(9)] + [[0.0] * 5, None, [1.0, None, 0.0, 0.0, 0.0]] + [[1.0, 0.0, 0.0, 0.0, 0.0]]
+    rows = spark.createDataFrame(list(enumerate(own)), "vec_id long, embedding array<double>").repartition(3)
+    asked = rows.filter("vec_id % 6 = 0 or vec_id >= 120").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    scored = rows.crossJoin(asked).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("query")).alias("s")).collect()
+    want = {}
+    for q in {r["query_id"] for r in scored}:
+        best = sorted((r for r in scored if r["query_id"] == q), key=lambda r: (r["s"] is None, -round(r["s"] or 0, 9), r["vec_id"]))
+        want |= {(q, n + 1): (r["vec_id"], r["s"]) for n, r in enumerate(best[:6])}
+    found = retrieval.vector_search(rows, asked, 6)
+    assert {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in found.collect()} == want
+    keyed = rows.select(F.struct(F.lit("s").alias("source"), F.col("vec_id").alias("index")).alias("key"), "embedding")
+    assert {(r["query_id"], r["rank"]): (r["key"]["index"], r["score"]) for r in retrieval.vector_search(keyed, asked, 6, key="key").collect()} == want
+    found.explain()
+    assert "NestedLoop" not in (plan := capsys.readouterr().out) and "Cartesian" not in plan
+    with pytest.raises(PySparkException):
+        retrieval.vector_search(rows, asked.limit(1).select("query_id", F.array(F.lit(1.0)).alias("query"))).collect()
+    assert retrieval.vector_search(rows, asked.limit(0)).count() == 0 == retrieval.vector_search(rows.limit(0), asked).count()
