@@ -267,3 +267,14 @@ def test_vector_search_as_by_all_pairs_with_odd_vectors(spark, monkeypatch, caps
     with pytest.raises(PySparkException):
         retrieval.vector_search(rows, asked.limit(1).select("query_id", F.array(F.lit(1.0)).alias("query"))).collect()
     assert retrieval.vector_search(rows, asked.limit(0)).count() == 0 == retrieval.vector_search(rows.limit(0), asked).count()
+
+
+def test_vectors_of_equal_rounded_scores_come_by_id(spark, tmp_path):
+    from emberwatch.plans import registry
+
+    own = [[1.0, 0.0]] + [[1.0, 1e-6 * (9 - k)] for k in range(1, 6)]
+    rows = spark.createDataFrame([(100 + k, v) for k, v in enumerate(own)], "vec_id long, embedding array<double>")
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name, most in (("vector_topk_hundredths", 3), ("vector_topk", 6)):
+        found = registry.QUERIES[name](spark, str(tmp_path)).orderBy("rank").collect()
+        assert [(r["query_id"], r["vec_id"]) for r in found] == [(100, 100 + k) for k in range(most)]
