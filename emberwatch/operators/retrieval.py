@@ -155,9 +155,9 @@ def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     valid = own.is_valid().to_numpy(zero_copy_only=False)
     rows = np.zeros((len(own), sizes[0] if sizes else 0))
     values = own.flatten()
-    rows[valid] = values.to_numpy(zero_copy_only=False).reshape(valid.sum(), -1)
+    rows[valid] = values.to_numpy(zero_copy_only=False).reshape(valid.sum(), rows.shape[1])
     if values.null_count:
-        valid[valid] = values.is_valid().to_numpy(zero_copy_only=False).reshape(valid.sum(), -1).all(axis=1)
+        valid[valid] = values.is_valid().to_numpy(zero_copy_only=False).reshape(valid.sum(), rows.shape[1]).all(axis=1)
         rows[~valid] = 0
     return rows, valid
 
@@ -188,7 +188,7 @@ def _nearest(k: int):
         some = min(k, len(full))
         with np.errstate(divide="ignore", invalid="ignore"):
             unit = vectors[full] / np.where(norm[full] > 0, norm[full], 1)[:, None]
-            for at in np.array_split(np.flatnonzero(said), max(1, said.sum() * len(full) // ROUGH)) if some else []:
+            for at in np.array_split(np.flatnonzero(said), max(1, said.sum() * len(full) // ROUGH)) if some and said.any() else []:
                 rough = (queries[at] / np.where(size[at] > 0, size[at], 1)[:, None]) @ unit.T
                 rough[np.isnan(rough)] = np.inf
                 least = np.partition(rough, len(full) - some, axis=1)[:, len(full) - some]
