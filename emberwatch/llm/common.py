@@ -37,12 +37,17 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 #: As many rows of keys are broadcast at most; more are joined by sorting.
-FEW = 100_000
+FEW = 20_000
+
+
+def sorted_in(df: DataFrame) -> DataFrame:
+    """df, to be joined by sorting whatever its size seems to be: a broadcast passes through the driver, and many of a plan do so at once."""
+    return df.hint("merge")
 
 
 def few(df: DataFrame) -> DataFrame:
     """df, which has been cut, to be broadcast in joins if it has few rows."""
-    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else sorted_in(df)
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, few, free_names
+from .common import cut, few, free_names, sorted_in
 from .components import Forest, connected_components
 
 #: Fingerprints of a key that one task compares with each other or with as many others.
@@ -308,7 +308,7 @@ def _forest(rows: DataFrame, counted: DataFrame, check, across=_across, dear: bo
             break
         left = left.join(few(still), "key").select(*own.columns)
     roots = connected_components(first)
-    named = own.drop("cells").join(roots, F.col("nid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "nid")).drop("node")
+    named = own.drop("cells").join(sorted_in(roots), F.col("nid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "nid")).drop("node")
     small = check(_whole(rows.join(large, "key", "left_anti")))
     return small.unionByName(first).unionByName(check(across(named)))
 
@@ -350,7 +350,7 @@ def _prefixes(similarity: float):
 
         posts = rows.mapInPandas(post, "key long, nid long, root long, shingle long").select(F.xxhash64("key", "shingle").alias("key"), "nid", "root")
         mixed = posts.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
-        return _across(posts.join(cut(mixed.select("key")), "key").join(rows.select("nid", "own"), "nid"))
+        return _across(posts.join(sorted_in(cut(mixed.select("key"))), "key").join(sorted_in(rows.select("nid", "own")), "nid"))
 
     return across
 
@@ -430,14 +430,14 @@ def near_groups(docs: DataFrame, *, ngram: int = 5, bits: int = 128, most: int =
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_key", "fp", "n", "bands")).alias("first")
     distinct = cut(signed.groupBy("same").agg(first).select("same", "first.*").withColumn("nid", F.monotonically_increasing_id()))
     likely = connected_components(links(distinct, keys, most, similarity))
-    members = cut(distinct.join(likely, distinct["nid"] == likely["node"]).select(F.col("root").alias("key"), "nid", F.col("doc_id").alias("__d"), F.col("text_key").alias("__t")))
-    held = rows.join(members, rows["doc_id"].eqNullSafe(members["__d"]) & (rows["text_key"] == members["__t"]))
+    members = cut(distinct.join(sorted_in(likely), distinct["nid"] == likely["node"]).select(F.col("root").alias("key"), "nid", F.col("doc_id").alias("__d"), F.col("text_key").alias("__t")))
+    held = rows.join(sorted_in(members), rows["doc_id"].eqNullSafe(members["__d"]) & (rows["text_key"] == members["__t"]))
     held = held.select("key", "nid", "text").dropDuplicates(["nid"]).mapInPandas(sets, "key long, nid long, own binary")
     comps = connected_components(_forest(held, members, lambda cells: cells.mapInPandas(_verify(similarity), "a long, b long"), _prefixes(similarity), dear=True))
-    named = cut(distinct.join(comps, distinct["nid"] == comps["node"], "left").select("same", "no", "doc_id", "text_key", F.coalesce("root", "nid").alias("root")))
+    named = cut(distinct.join(sorted_in(comps), distinct["nid"] == comps["node"], "left").select("same", "no", "doc_id", "text_key", F.coalesce("root", "nid").alias("root")))
     roots = named.groupBy("root").agg(F.min(F.struct("no", "doc_id", "text_key")).alias("least"))
     roots = cut(roots.select("root", F.col("least.doc_id").alias("component_id"), F.col("least.text_key").alias("component_key")))
-    return signed.join(named.join(roots, "root").select("same", "component_id", "component_key"), "same").select("doc_id", "text_key", "component_id", "component_key")
+    return signed.join(sorted_in(named.join(sorted_in(roots), "root").select("same", "component_id", "component_key")), "same").select("doc_id", "text_key", "component_id", "component_key")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
@@ -453,7 +453,7 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     groups = cut(near_groups(docs, **(NEAR | how)))
     is_first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("component_key"))
     gone = groups.filter(~is_first).select(F.col("doc_id").alias(d), F.col("text_key").alias(t)).distinct()
-    kept = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(text) == F.col(t)), "left_anti")
+    kept = docs.join(sorted_in(gone), F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(text) == F.col(t)), "left_anti")
     again = cut(groups.filter(is_first).groupBy(F.col("doc_id").alias(d), F.col("text_key").alias(t)).agg(F.count(F.lit(1)).alias(n)).filter(F.col(n) > 1))
     if again.isEmpty():
         return kept

@@ -271,3 +271,13 @@ def test_large_groups_send_no_rows_of_counts_to_the_driver(spark, monkeypatch):
     monkeypatch.setattr(kind, "toArrow", lambda self: arrow.append(1) or plain(self))
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs(spark, texts), keys=[[]], most=128).collect()}
     assert arrow and got == {i: i % 3 for i in range(60)}
+
+
+def test_tables_of_more_than_a_few_rows_are_joined_by_sorting(spark, monkeypatch, capsys):
+    from emberwatch.llm import common
+
+    monkeypatch.setattr(common, "FEW", 5)
+    for n, way, other in ((5, "BroadcastHashJoin", "SortMergeJoin"), (6, "SortMergeJoin", "Broadcast")):
+        spark.range(100).toDF("k").join(common.few(spark.range(n).toDF("k")), "k").explain()
+        plan = capsys.readouterr().out
+        assert way in plan and other not in plan
